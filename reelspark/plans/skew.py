@@ -30,7 +30,7 @@ QUANTILE_ACCURACY = 20_000
 
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a DataFrame's optimised plan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 @dataclass
