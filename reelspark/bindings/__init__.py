@@ -1,5 +1,5 @@
 """Every operator bound to the test tables, with the SQL its result must equal."""
-from . import packets  # noqa: F401
+from . import packets, timing  # noqa: F401
 from .tables import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

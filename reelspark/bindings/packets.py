@@ -184,8 +184,9 @@ def field_timeline(load):
 @query("unit_inventory")
 def unit_inventory(load):
     """Documents as Annex B packets: every sentence a unit behind a start code."""
+    code = "\x00\x00\x00\x01"
     framed = load("documents").select(
         "source", "doc_id",
-        F.unhex(F.concat(F.lit("00000001"), F.regexp_replace(F.hex("text"), "2E20", "2E00000001"))).alias("payload"))
+        F.encode(F.concat(F.lit(code), F.replace("text", F.lit(". "), F.lit("." + code))), "UTF-8").alias("payload"))
     units = op.unit_inventory(framed, ["source", "doc_id"], "payload", "annex-b")
     return op.unit_summary(units, "source", "doc_id", "annex-b")

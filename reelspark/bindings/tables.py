@@ -37,14 +37,14 @@ def events(load) -> DataFrame:
     return load("events").select(
         "user_id", "event_id", micros("ts").alias("us"), "event_type", "value",
         half_up(F.col("value") * 1000).alias("dur"),
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
+        F.get_json_object("props", "$.k").cast("long").alias("k"),
     )
 
 
 EVENTS = """ev AS (
   SELECT user_id, event_id, epoch_us(ts) AS us, event_type, value,
          CAST(floor(value * 1000 + 0.5) AS BIGINT) AS dur,
-         CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS INTEGER) AS k
+         CAST(regexp_extract(props, '"k": *([0-9]+)', 1) AS BIGINT) AS k
   FROM events)"""
 
 #: Event types as picture classes

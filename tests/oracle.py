@@ -69,8 +69,8 @@ def main():
         try:
             result = compare(spark, con, name, sf, queries, oracle)
         except Exception as error:
-            result = f"{type(error).__name__}: {str(error)[:1500]}"
-        print(f"{'ok  ' if result is None else 'FAIL'} {name} {time.time() - began:.2f}s {'' if name in oracle else '(rows)'} {result or ''}", flush=True)
+            result = f"{type(error).__name__}: {str(error)[:900]}"
+        print(f"\n{'ok  ' if result is None else 'FAIL'} {name} {time.time() - began:.2f}s {'' if name in oracle else '(rows)'} {result or ''}", flush=True)
 
 
 if __name__ == "__main__":
