@@ -336,10 +336,10 @@ def read_cues_(load):
     return read_cues(files_, "conv_id", "vtt")
 
 
-def _luts(load):
+def luts(load):
     """A table of eight rows per supplier, some of them malformed."""
     account = F.col("s_acctbal") / 10_000
-    rows = [F.concat_ws(" ", *[F.format_string("%.6f", account * weight + n * 0.1) for weight in (1, 0.5, 0.25)]) for n in range(8)]
+    rows = [F.concat_ws(" ", *[F.format_string("%.6f", account * weight + n * 0.1) for weight in (1, 2, 3)]) for n in range(8)]
     head = F.expr("""CASE s_suppkey % 7 WHEN 0 THEN 'LUT_3D_SIZE 300' WHEN 1 THEN 'LUT_1D_SIZE 2' WHEN 2 THEN 'TITLE "none"' WHEN 3 THEN 'LUT_3D_SIZE 3'
         WHEN 4 THEN 'LUT_3D_SIZE 2\nDOMAIN_MIN 0 0 1\nDOMAIN_MAX 1 1 1' ELSE 'LUT_3D_SIZE 2\nDOMAIN_MAX 2 2 2' END""")
     return load("supplier").select("s_suppkey", "s_acctbal", F.concat_ws("\n", F.lit("# made by a grader"), head, F.lit(""), *rows).alias("cube"))
@@ -348,12 +348,12 @@ def _luts(load):
 @query("lut_headers", """SELECT s_suppkey, CASE s_suppkey % 7 WHEN 0 THEN 300 WHEN 3 THEN 3 WHEN 4 THEN 2 WHEN 5 THEN 2 WHEN 6 THEN 2 END AS size, CAST(8 AS BIGINT) AS rows,
   CASE s_suppkey % 7 WHEN 0 THEN 'size-invalid' WHEN 1 THEN 'one-dimensional' WHEN 2 THEN 'size-missing' WHEN 3 THEN 'row-count' WHEN 4 THEN 'domain-invalid' ELSE 'ok' END AS lut_status FROM supplier""")
 def lut_headers_(load):
-    return lut_headers(_luts(load), "s_suppkey", "cube").select("s_suppkey", "size", "rows", "lut_status")
+    return lut_headers(luts(load), "s_suppkey", "cube").select("s_suppkey", "size", "rows", "lut_status")
 
 
 @query("read_lut", """SELECT s_suppkey, CAST(i % 2 AS INTEGER) AS r, CAST(i // 2 % 2 AS INTEGER) AS g, CAST(i // 4 AS INTEGER) AS b,
-  round(s_acctbal / 10000 + i * 0.1::DOUBLE, 4) AS out_r, round(s_acctbal / 10000 * 0.5::DOUBLE + i * 0.1::DOUBLE, 4) AS out_g, round(s_acctbal / 10000 * 0.25::DOUBLE + i * 0.1::DOUBLE, 4) AS out_b
+  round(s_acctbal / 10000 + i * 0.1::DOUBLE, 4) AS out_r, round(s_acctbal / 10000 * 2 + i * 0.1::DOUBLE, 4) AS out_g, round(s_acctbal / 10000 * 3 + i * 0.1::DOUBLE, 4) AS out_b
 FROM supplier, range(8) t(i) WHERE s_suppkey % 7 IN (5, 6)""")
 def read_lut_(load):
-    return read_lut(_luts(load), "s_suppkey", "cube").select(
+    return read_lut(luts(load), "s_suppkey", "cube").select(
         "s_suppkey", "r", "g", "b", *[F.round(f"out_{c}", 4).alias(f"out_{c}") for c in "rgb"])
