@@ -318,7 +318,7 @@ def encode_display(load):
 
 @query("reshape", f"""WITH {_SAMPLES}, cv AS (SELECT s_suppkey, 0.2::DOUBLE + (s_suppkey % 5) * 0.1::DOUBLE AS p, s_acctbal / 100000 AS q FROM supplier),
 j AS (SELECT sm.*, p, q FROM sm JOIN cv ON l_suppkey = s_suppkey)
-SELECT {_sql_out(*[f"least(greatest(CASE WHEN c{n} >= p THEN (q * c{n} + 0.5::DOUBLE) * c{n} + 0.1::DOUBLE ELSE (0.2::DOUBLE * c{n} + q) * c{n} + 0.05::DOUBLE END, 0.05::DOUBLE), 0.95::DOUBLE)" for n in range(3)], digits=9)} FROM j""")
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, {", ".join(f"least(greatest(CASE WHEN c{n} >= p THEN (q * c{n} + 0.5::DOUBLE) * c{n} + 0.1::DOUBLE ELSE (0.2::DOUBLE * c{n} + q) * c{n} + 0.05::DOUBLE END, 0.05::DOUBLE), 0.95::DOUBLE) AS {name}" for n, name in enumerate("rgb"))} FROM j""")
 def reshape(load):
     cut = F.lit(0.2) + (F.col("s_suppkey") % 5) * 0.1
     q = F.col("s_acctbal") / 100000
@@ -329,7 +329,7 @@ def reshape(load):
         F.array(segment(F.lit(0.05), q, F.lit(0.2)), segment(F.lit(0.1), F.lit(0.5), q)).alias("segments"))
     curves = load("supplier").select(F.col("s_suppkey").alias("l_suppkey"), *[curve.alias(f"curve{n}") for n in range(3)])
     shaped = color.reshape(_samples(load), curves, "l_suppkey", ("c0", "c1", "c2"), out=("r", "g", "b"))
-    return _rounded(shaped, digits=9)
+    return shaped.select(*_ID, "r", "g", "b")
 
 
 @query("apply_lut", f"""WITH {_SAMPLES}, lt AS (SELECT s_suppkey, s_acctbal / 10000 AS a FROM supplier WHERE s_suppkey % 7 IN (5, 6)),

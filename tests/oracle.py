@@ -50,7 +50,8 @@ def compare(spark, con, name, sf, queries, oracle):
     odd = {c: (spark_types[c], types[c]) for c in columns if kinds.get(spark_types[c], types[c]) != types[c]}
     want = sorted(str([plain(row[i]) for i in where]) for row in relation.fetchall())
     if got != want:
-        left, right = [r for r in got if r not in set(want)][:3], [r for r in want if r not in set(got)][:3]
+        has, wants = set(got), set(want)
+        left, right = [r for r in got if r not in wants][:3], [r for r in want if r not in has][:3]
         return f"{len(got)} rows against {len(want)}; {columns}\n  spark {left}\n  sql   {right}"
     return f"types {odd}" if odd else (None if got else "no rows")
 
