@@ -19,15 +19,25 @@ def _with(df: DataFrame, names, values) -> DataFrame:
     return df.withColumns(dict(zip(names, values)))
 
 
+def _temporary(name: str) -> list[str]:
+    return [f"__{name}{n}" for n in range(3)]
+
+
 def yuv_to_rgb(samples: DataFrame, yuv, range_: str, depth: str, matrix: str, out=RGB) -> DataFrame:
     """F8. Nonlinear RGB of normalised YUV codes, unclipped, by each row's range, bit depth and matrix."""
-    expanded = c.expand_range(_cols(yuv), F.col(range_), F.col(depth))
-    return _with(samples, out, c.yuv_to_rgb(expanded, F.col(matrix)))
+    staged = _with(samples, _temporary("yuv"), c.expand_range(_cols(yuv), F.col(range_), F.col(depth)))
+    return _with(staged, out, c.yuv_to_rgb(_cols(_temporary("yuv")), F.col(matrix))).drop(*_temporary("yuv"))
 
 
 def to_nits(samples: DataFrame, rgb, transfer: str, primaries: str, white: str, peak: str, out=RGB) -> DataFrame:
-    """F9. Linear light in nits of nonlinear RGB, by each row's transfer."""
-    return _with(samples, out, c.to_nits(_cols(rgb), F.col(transfer), F.col(primaries), F.col(white), F.col(peak)))
+    """F9. Linear light in nits of nonlinear RGB, by each row's transfer pq, sdr or hlg."""
+    kind = F.col(transfer)
+    staged = _with(samples, _temporary("xyz"), [
+        F.when(kind == "pq", c.pq_eotf(value)).when(kind == "sdr", c.sdr_eotf(value, F.col(white)))
+        .when(kind == "hlg", c.hlg_inverse_oetf(value)) for value in _cols(rgb)])
+    scene = _cols(_temporary("xyz"))
+    staged = staged.withColumn("__k", F.when(kind == "hlg", c.hlg_scale(scene, F.col(primaries), F.col(peak))).otherwise(1.0))
+    return _with(staged, out, [value * F.col("__k") for value in scene]).drop(*_temporary("xyz"), "__k")
 
 
 def pq_oetf(samples: DataFrame, nits, out=RGB) -> DataFrame:
@@ -38,19 +48,26 @@ def pq_oetf(samples: DataFrame, nits, out=RGB) -> DataFrame:
 def convert_gamut(samples: DataFrame, rgb, source: str, target: str, out=RGB) -> DataFrame:
     """F10. Linear RGB between primaries, through BT.709; equal primaries pass unchanged."""
     own = _cols(rgb)
-    converted = c.from_bt709(c.to_bt709(own, F.col(source)), F.col(target))
+    staged = _with(samples, _temporary("xyz"), c.to_bt709(own, F.col(source)))
+    converted = c.from_bt709(_cols(_temporary("xyz")), F.col(target))
     same = F.col(source) == F.col(target)
-    return _with(samples, out, [F.when(same, a).otherwise(b) for a, b in zip(own, converted)])
+    return _with(staged, out, [F.when(same, a).otherwise(b) for a, b in zip(own, converted)]).drop(*_temporary("xyz"))
 
 
 def nits_to_ipt(samples: DataFrame, rgb, primaries: str, out=("i", "p", "t")) -> DataFrame:
     """F10. IPTPQc4 coordinates of linear RGB in nits."""
-    return _with(samples, out, c.nits_to_ipt(_cols(rgb), F.col(primaries)))
+    positive = [F.greatest(value, F.lit(0.0)) for value in _cols(rgb)]
+    staged = _with(samples, _temporary("lms"), c.matrix_by_name(F.col(primaries), c.RGB_TO_LMS, positive, None))
+    staged = _with(staged, _temporary("lms"), [c.pq_oetf(value) for value in _cols(_temporary("lms"))])
+    return _with(staged, out, c.matrix(c.LMS_TO_IPT, _cols(_temporary("lms")))).drop(*_temporary("lms"))
 
 
-def ipt_to_nits(samples: DataFrame, ipt, primaries: str, out=RGB) -> DataFrame:
-    """F10. Linear RGB in nits of IPTPQc4 coordinates."""
-    return _with(samples, out, c.ipt_to_nits(_cols(ipt), F.col(primaries)))
+def ipt_to_nits(samples: DataFrame, ipt, primaries: str | None, out=RGB) -> DataFrame:
+    """F10. Linear RGB in nits of IPTPQc4 coordinates; BT.709 without a primaries column."""
+    staged = _with(samples, _temporary("lms"), [c.pq_eotf(value) for value in c.matrix(c.IPT_TO_LMS, _cols(ipt))])
+    lms = _cols(_temporary("lms"))
+    rgb = c.matrix_by_name(F.col(primaries), c.LMS_TO_RGB, lms, None) if primaries else c.matrix(c.LMS_TO_RGB["bt709"], lms)
+    return _with(staged, out, rgb).drop(*_temporary("lms"))
 
 
 DEFAULT_TONE = {"input_peak": 1000.0, "output_peak": 100.0, "paper_white": 203.0, "exposure": 0.0, "desaturation": 0.5}
@@ -84,22 +101,25 @@ def tone_map(samples: DataFrame, rgb, primaries: str, operator: str, settings: d
 
 
 def _perceptual(samples, rgb, primaries, operator, s, exposure, out) -> DataFrame:
-    exposed = [F.greatest(value * exposure, F.lit(0.0)) for value in _cols(rgb)]
-    staged = _with(samples, ("__i", "__p", "__t"), c.nits_to_ipt(exposed, F.col(primaries)))
+    staged = _with(samples, ("__x", "__y", "__z"), [F.greatest(value * exposure, F.lit(0.0)) for value in _cols(rgb)])
+    staged = nits_to_ipt(staged, ("__x", "__y", "__z"), primaries, ("__i", "__p", "__t"))
     own = F.col("__i")
     if operator == "spline":
         mapped = c.spline_pq(own, s["input_peak"], s["output_peak"])
     else:
-        mapped = c.pq_oetf(c.brightness_curve(c.pq_eotf(own) / s["input_peak"], s["input_peak"], s["output_peak"]) * s["output_peak"])
+        staged = staged.withColumn("__relative", c.pq_eotf(own) / s["input_peak"])
+        mapped = c.brightness_curve(F.col("__relative"), s["input_peak"], s["output_peak"])
+        staged = staged.withColumn("__relative", mapped * s["output_peak"])
+        mapped = c.pq_oetf(F.col("__relative"))
     staged = staged.withColumn("__m", mapped)
     now = F.col("__m")
     black = (own <= c.EPSILON) | (now <= c.EPSILON)
     chroma = clamp(F.least(
         F.try_divide(own, now), c.chroma_hull(now) / F.greatest(c.chroma_hull(own), F.lit(c.EPSILON))), 0.0, 1.0)
     staged = staged.withColumn("__chroma", chroma)
-    target = c.ipt_to_nits([now, F.col("__p") * F.col("__chroma"), F.col("__t") * F.col("__chroma")], F.lit("bt709"))
-    neutral = c.ipt_to_nits([now, F.lit(0.0), F.lit(0.0)], F.lit("bt709"))
-    staged = _with(staged, ("__x", "__y", "__z", "__nx", "__ny", "__nz"), [*target, *neutral])
+    staged = _with(staged, ("__p", "__t", "__zero"), [F.col("__p") * F.col("__chroma"), F.col("__t") * F.col("__chroma"), F.lit(0.0)])
+    staged = ipt_to_nits(staged, ("__m", "__p", "__t"), None, ("__x", "__y", "__z"))
+    staged = ipt_to_nits(staged, ("__m", "__zero", "__zero"), None, ("__nx", "__ny", "__nz"))
     full, grey = _cols(("__x", "__y", "__z")), _cols(("__nx", "__ny", "__nz"))
 
     def fit(value, base):
@@ -119,7 +139,8 @@ def _perceptual(samples, rgb, primaries, operator, s, exposure, out) -> DataFram
         floor = s["output_peak"] / c.SDR_CONTRAST
         values = [F.greatest(value - floor, F.lit(0.0)) * (s["output_peak"] / (s["output_peak"] - floor)) for value in values]
     return _with(staged, out, values).drop(
-        "__i", "__p", "__t", "__m", "__chroma", "__x", "__y", "__z", "__nx", "__ny", "__nz", "__hard")
+        "__i", "__p", "__t", "__m", "__chroma", "__x", "__y", "__z", "__nx", "__ny", "__nz", "__hard",
+        "__zero", "__relative")
 
 
 def encode_display(

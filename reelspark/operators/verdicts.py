@@ -46,16 +46,17 @@ def upsert_verdicts(current: DataFrame, updates: DataFrame) -> DataFrame:
     """
     both = current.select(*VERDICT).unionByName(updates.select(*VERDICT))
     known = definitive(both, "result").where("is_definitive").drop("is_definitive", "timed_out")
-    eras = known.groupBy("host", "fingerprint", "schema_version").agg(F.max("written_at").alias("__last"))
+    # The newest result under each version of a host decides for that version, so all older ones go first
+    kept = known.groupBy("host", "probe", "fingerprint", "schema_version").agg(
+        F.max_by("result", "written_at").alias("result"), F.max("written_at").alias("written_at"))
+    eras = kept.groupBy("host", "fingerprint", "schema_version").agg(F.max("written_at").alias("__last"))
     version = F.struct("fingerprint", "schema_version")
     latest = eras.groupBy("host").agg(F.max_by(version, F.col("__last")).alias("__now"))
     cutoffs = eras.join(latest, "host").groupBy("host").agg(
         F.first("__now").alias("__now"), F.max(F.when(version != F.col("__now"), F.col("__last"))).alias("__cutoff"))
-    live = known.join(cutoffs, "host").where(
+    live = kept.join(cutoffs, "host").where(
         (version == F.col("__now")) & (F.col("__cutoff").isNull() | (F.col("written_at") > F.col("__cutoff"))))
-    newest = live.groupBy("host", "probe").agg(
-        F.max_by(F.struct("fingerprint", "schema_version", "result", "written_at"), F.col("written_at")).alias("__row"))
-    return newest.select("host", "probe", "__row.*").select(*VERDICT)
+    return live.select(*VERDICT)
 
 
 def in_flight(calls: DataFrame, page: str, call: str, start: str, end: str, bytes_: str, decoders: str) -> DataFrame:

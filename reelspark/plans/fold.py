@@ -1,7 +1,7 @@
 """Order-dependent decisions: a step function applied to each key's rows in order.
 
-Only rules whose next decision depends on their own earlier decisions are folded, over narrow rows. A key's rows
-stream through the step function in Arrow batches, so its group is never held in memory. Hot keys are cut into
+Only rules whose next decision depends on their own earlier decisions are folded, over narrow rows. Rows are partitioned
+by key, sorted, and stream through the step function in Arrow batches, so no key's rows are held in memory. Hot keys are cut into
 chunks that run in parallel: every chunk is folded from a guessed entry state, and re-folded while the state its
 predecessor ends in differs from the state it started from. The first chunk is right at once and each round settles
 at least one more, so the result is exactly the sequential one; rules that forget their past settle in two rounds.
@@ -9,11 +9,12 @@ at least one more, so the result is exactly the sequential one; rules that forge
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .skew import CHUNK, find_chunks
 
@@ -34,18 +35,12 @@ class Fold:
         raise NotImplementedError
 
 
-def _native(value):
-    if value is None or value is pd.NaT:
-        return None
-    if hasattr(value, "tolist"):
-        value = value.tolist()
-    if isinstance(value, float) and value != value:
-        return None
-    return value
+def parse_schema(ddl: str) -> T.StructType:
+    return T.StructType.fromDDL(ddl)
 
 
-def fold_batch(rule: Fold, state: Any, columns: list[list]) -> tuple[Any, list[tuple]]:
-    """Run a rule over rows given as columns."""
+def fold_rows(rule: Fold, state: Any, columns: list[list]) -> tuple[Any, list[tuple]]:
+    """Run a rule over rows of one key given as columns."""
     out = []
     for row in zip(*columns):
         state, produced = rule.step(state, row)
@@ -53,23 +48,36 @@ def fold_batch(rule: Fold, state: Any, columns: list[list]) -> tuple[Any, list[t
     return state, out
 
 
-def read_columns(pdf: pd.DataFrame, names: list[str]) -> list[list]:
-    return [[_native(value) for value in pdf[name].tolist()] for name in names]
-
-
-def output_frame(pdf: pd.DataFrame, carried: list[str], schema: T.StructType, produced: list[tuple]) -> pd.DataFrame:
-    """Key and order columns of a batch beside the rule's outputs, in nullable pandas types."""
-    frame = pdf[carried].reset_index(drop=True)
-    columns = list(zip(*produced)) if produced else [() for _ in schema]
-    for field, values in zip(schema, columns):
-        kinds = {"bigint": "Int64", "int": "Int32", "boolean": "boolean", "double": "Float64"}
-        kind = kinds.get(field.dataType.simpleString())
-        frame[field.name] = pd.array(list(values), dtype=kind) if kind else pd.Series(list(values), dtype="object")
-    return frame
-
-
-def parse_schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+def run_sorted(
+    batches: Iterator[pa.RecordBatch], rule: Fold, key: list[str], carried: list[str], schema: pa.Schema,
+    finished: Callable[[tuple, Any], None] | None = None,
+) -> Iterator[pa.RecordBatch]:
+    """Fold a partition whose rows lie in key and order; a key may span batches and a batch many keys.
+
+    Yields the carried columns beside the rule's outputs; ``finished`` is told each key's last state. A column
+    ``__entry`` holds the state, in JSON, a key starts from.
+    """
+    current, state = None, None
+    produced = schema.names[len(carried):]
+    for batch in batches:
+        inputs = [batch.column(name).to_pylist() for name in rule.inputs]
+        keys = list(zip(*[batch.column(name).to_pylist() for name in key]))
+        entries = batch.column("__entry").to_pylist() if "__entry" in batch.schema.names else None
+        out = []
+        for n, row in enumerate(zip(*inputs)):
+            if keys[n] != current:
+                if current is not None and finished:
+                    finished(current, state)
+                current = keys[n]
+                state = json.loads(entries[n]) if entries and entries[n] else rule.initial()
+            state, values = rule.step(state, row)
+            out.append(values)
+        columns = zip(*out) if out else [()] * len(produced)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(name).cast(schema.field(name).type) for name in carried]
+            + [pa.array(list(values), schema.field(name).type) for name, values in zip(produced, columns)], schema=schema)
+    if current is not None and finished:
+        finished(current, state)
 
 
 def fold(df: DataFrame, key, order, rule: Fold) -> DataFrame:
@@ -81,21 +89,12 @@ def fold(df: DataFrame, key, order, rule: Fold) -> DataFrame:
     carried = list(dict.fromkeys([*key, *order]))
     produced = parse_schema(rule.schema)
     schema = T.StructType([narrow.schema[name] for name in carried] + list(produced))
-
-    def outputs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state = None
-        for pdf in batches:
-            if state is None:
-                entry = pdf["__entry"].iloc[0] if "__entry" in pdf.columns and len(pdf) else None
-                state = json.loads(entry) if entry else rule.initial()
-            state, rows = fold_batch(rule, state, read_columns(pdf, rule.inputs))
-            yield output_frame(pdf, carried, produced, rows)
+    arrow_schema = to_arrow_schema(schema)
 
     chunks = find_chunks(narrow, key, order[0])
     if not chunks:
-        # A group of applyInPandas arrives in the order its partition was sorted in
         laid_out = narrow.repartition(*key).sortWithinPartitions(*key, *order)
-        return laid_out.groupBy(*key).applyInPandas(outputs, schema)
+        return laid_out.mapInArrow(lambda batches: run_sorted(batches, rule, key, carried, arrow_schema), schema)
 
     chunked = chunks.assign(narrow)
     hot_key = [*key, CHUNK]
@@ -116,14 +115,15 @@ def fold(df: DataFrame, key, order, rule: Fold) -> DataFrame:
     final_schema = T.StructType([narrow.schema[name] for name in key] + [
         T.StructField(CHUNK, T.IntegerType()), T.StructField("__final", T.StringType())])
 
-    def finals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, last = None, None
-        for pdf in batches:
-            if state is None:
-                state = json.loads(pdf["__entry"].iloc[0])
-            state, _ = fold_batch(rule, state, read_columns(pdf, rule.inputs))
-            last = pdf.iloc[-1:]
-        yield last[[*key, CHUNK]].assign(__final=json.dumps(state))
+    final_arrow = to_arrow_schema(final_schema)
+
+    def finals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ended: list[tuple] = []
+        for _ in run_sorted(batches, rule, hot_key, carried, arrow_schema, lambda name, state: ended.append((*name, json.dumps(state)))):
+            pass
+        columns = zip(*ended) if ended else [()] * len(final_arrow)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(values), field.type) for values, field in zip(columns, final_arrow)], schema=final_arrow)
 
     start = json.dumps(rule.initial())
     entries = {(*name, n): start for name, cuts in chunks.cuts.items() for n in range(len(cuts) + 1)}
@@ -132,7 +132,7 @@ def fold(df: DataFrame, key, order, rule: Fold) -> DataFrame:
     while pending:
         rows = with_entries(chunked.where("__hot"), pending, "inner")
         # One state per pending chunk, of which there are at most twice skew.MAXIMUM_HOT_KEYS
-        for row in laid_out(rows).groupBy(*hot_key).applyInPandas(finals, final_schema).collect():
+        for row in laid_out(rows).mapInArrow(finals, final_schema).collect():
             final[tuple(row[part] for part in hot_key)] = row["__final"]
         pending = {}
         for name in entries:
@@ -141,4 +141,4 @@ def fold(df: DataFrame, key, order, rule: Fold) -> DataFrame:
                 pending[name] = final[before]
         entries.update(pending)
     rows = with_entries(chunked, entries, "left")
-    return laid_out(rows).groupBy(*hot_key).applyInPandas(outputs, schema)
+    return laid_out(rows).mapInArrow(lambda batches: run_sorted(batches, rule, hot_key, carried, arrow_schema), schema)

@@ -8,7 +8,23 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..plans.fold import Fold, fold_batch, output_frame, parse_schema, read_columns
+from ..plans.fold import Fold, fold_rows, parse_schema
+
+_KINDS = {"bigint": "Int64", "int": "Int32", "boolean": "boolean", "double": "Float64"}
+
+
+def _native(value):
+    value = value.tolist() if hasattr(value, "tolist") else value
+    return None if value is None or value is pd.NaT or value != value else value
+
+
+def _frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
+    """Rows as a frame of nullable types."""
+    columns = {}
+    for field, values in zip(schema, zip(*rows)):
+        kind = _KINDS.get(field.dataType.simpleString())
+        columns[field.name] = pd.array(list(values), dtype=kind) if kind else pd.Series(list(values), dtype="object")
+    return pd.DataFrame(columns)
 
 
 def fold_stream(stream: DataFrame, key, ts: str, order: list[str], rule: Fold, delay: str) -> DataFrame:
@@ -29,16 +45,17 @@ def fold_stream(stream: DataFrame, key, ts: str, order: list[str], rule: Fold, d
         entry, held = json.loads(state.get[0]) if state.exists else [rule.initial(), []]
         for pdf in batches:
             times = (pdf[ts].astype("datetime64[us]").astype("int64")).tolist()
-            held += [[at, *row] for at, row in zip(times, zip(*read_columns(pdf, held_columns)))]
+            values = [[_native(value) for value in pdf[part].tolist()] for part in held_columns]
+            held += [[at, *row] for at, row in zip(times, zip(*values))]
         watermark = state.getCurrentWatermarkMs() * 1000
         places = [held_columns.index(part) + 1 for part in order]
         held.sort(key=lambda row: (row[0], *[row[place] for place in places]))
         ready = [row for row in held if row[0] <= watermark]
         held = held[len(ready):]
         if ready:
-            frame = pd.DataFrame([[*name, *row[1:]] for row in ready], columns=[*key, *held_columns])
-            entry, rows = fold_batch(rule, entry, [[row[held_columns.index(c) + 1] for row in ready] for c in rule.inputs])
-            yield output_frame(frame, carried, produced, rows)
+            entry, rows = fold_rows(rule, entry, [[row[held_columns.index(c) + 1] for row in ready] for c in rule.inputs])
+            known = [[name[key.index(c)] if c in key else row[held_columns.index(c) + 1] for c in carried] for row in ready]
+            yield _frame([(*left, *right) for left, right in zip(known, rows)], schema)
         state.update((json.dumps([entry, held]),))
         if held:
             # Woken when the watermark passes the earliest waiting row
