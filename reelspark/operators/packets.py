@@ -114,7 +114,7 @@ def _vp9_hidden(frame: bytes) -> bool:
         return False
     profile = ((frame[0] >> 4) & 1) << 1 | (frame[0] >> 5) & 1
     shift = 1 if profile == 3 else 0
-    return not (frame[0] >> (3 - shift)) & 1 and not (frame[0] >> (2 - shift)) & 1
+    return not (frame[0] >> (3 - shift)) & 1 and not (frame[0] >> (1 - shift)) & 1
 
 
 def split_units(data: bytes, framing: str) -> list[tuple]:
