@@ -197,10 +197,11 @@ class Timeline:
         framed = {name: scan for name, scan in scans.items() if isinstance(scan, Framed)}
         carried = {name: scan for name, scan in scans.items() if not isinstance(scan, Framed)}
         df = self._df
-        if carried:
-            df = self._carried(df, carried)
+        # Frames first: they repeat rows, which is cheaper and plans better before structs of neighbours are added
         if framed:
             df = self._framed(df, framed)
+        if carried:
+            df = self._carried(df, carried)
         return Timeline(df, self.key, self.order, self.chunks)
 
     def _carried(self, df: DataFrame, scans: dict[str, Scan]) -> DataFrame:
