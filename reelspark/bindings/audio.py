@@ -95,11 +95,19 @@ for _algorithm in mixing.FIVE_POINT_ONE:
     _downmix(_algorithm)
 
 
-@query("downmix_ramp")
+def _ramp_sql():
+    rows = [f"('{name}', {c}, {left!r}::DOUBLE, {right!r}::DOUBLE, {level == 'fixed'})" for name in _LAYOUTS
+            for c, (left, right, level) in enumerate(mixing.downmix_weights(name, "ac4"))]
+    return "w AS (SELECT * FROM (VALUES " + ", ".join(rows) + ") t(layout, c, l, r, fixed))"
+
+
+@query("downmix_ramp", f"""WITH {_CHUNKS}, {_ramp_sql()},
+f AS (SELECT vec_id, layout, i, sum(x * l) AS a, sum(x * r) AS b, any_value(CASE WHEN fixed THEN 1 ELSE 0.5::DOUBLE + least((i + 1 + vec_id % 50 * 8) / 160::DOUBLE, 1) * 1.5::DOUBLE END) AS g FROM sm JOIN w USING (layout, c) GROUP BY ALL)
+SELECT vec_id, layout, round(sum(CAST(a * g AS FLOAT)::DOUBLE), 4) + 0 AS left_total, round(sum(CAST(b * g AS FLOAT)::DOUBLE), 4) + 0 AS right_total FROM f GROUP BY ALL""")
 def downmix_ramp(load):
     chunks = _chunks(load).withColumn("rate", F.lit(8000)).withColumn("position", (F.col("vec_id") % 50) * 8)
     mixed = op.downmix(chunks, "layout", "ac4", output=2.0, ramp_from=(1.0, 1.0, 0.5), rate="rate", position="position")
-    return mixed.select("vec_id", "layout", F.round(_total("left"), 4).alias("left_total"), F.round(_total("right"), 4).alias("right_total"))
+    return mixed.select("vec_id", "layout", *[(F.round(_total(n), 4) + 0.0).alias(f"{n}_total") for n in ("left", "right")])
 
 
 @query("route_channels", f"""WITH {_CHUNKS}, w AS (SELECT * FROM (VALUES {", ".join(
@@ -119,10 +127,21 @@ def _stereo(load):
         F.array(*[F.transform(F.slice("embedding", n * 32 + 1, 32), lambda x: (x * 6).cast("float")) for n in range(2)]).alias("channels"))
 
 
-@query("resample")
+_PCM = """pcm AS (SELECT vec_id // 50 AS stream_id, c, vec_id % 50 * 32 + i AS f, CAST(embedding[c * 32 + i + 1] * 6 AS FLOAT)::DOUBLE AS x FROM embeddings, range(2) a(c), range(32) b(i)),
+ln AS (SELECT stream_id, max(f) + 1 AS n FROM pcm GROUP BY stream_id)"""
+
+
+@query("resample", f"""WITH {_PCM},
+d AS (SELECT p, t, t - 31 - p / 2048::DOUBLE AS d FROM range(2049) a(p), range(64) b(t)),
+k AS (SELECT p, t, CASE WHEN abs(d / 32) >= 1 THEN 0 ELSE (CASE WHEN d = 0 THEN 1 ELSE sin(pi() * 0.863625::DOUBLE * d) / (pi() * 0.863625::DOUBLE * d) END) * (0.42::DOUBLE + 0.5::DOUBLE * cos(pi() * d / 32) + 0.08::DOUBLE * cos(2 * pi() * d / 32)) END AS k FROM d),
+w AS (SELECT p, t, k / sum(k) OVER (PARTITION BY p) AS w FROM k),
+o AS (SELECT stream_id, n, unnest(range((n * 44100 + 47999) // 48000)) AS j FROM ln),
+ps AS (SELECT *, j * 48000 // 44100 AS sf, CAST(floor((j * 48000 - j * 48000 // 44100 * 44100) * 2048 / 44100 + 0.5) AS BIGINT) AS p FROM o),
+y AS (SELECT ps.stream_id, j, CAST(sum(x * w) AS FLOAT)::DOUBLE AS y FROM ps JOIN w ON w.p = ps.p JOIN pcm ON pcm.stream_id = ps.stream_id AND c = 0 AND f = least(greatest(sf - 31 + t, 0), n - 1) GROUP BY ALL)
+SELECT stream_id, CAST(0 AS BIGINT) AS out_start, CAST(count(*) AS INTEGER) AS frames, round(sum(y), 3) + 0 AS total FROM y GROUP BY stream_id""")
 def resample(load):
     out = op.resample(_stereo(load), "stream_id", "start_frame", 48_000, 44_100)
-    return out.select("stream_id", "out_start", F.size(F.col("channels")[0]).alias("frames"), F.round(_total(F.col("channels")[0]), 3).alias("total"))
+    return out.select("stream_id", "out_start", F.size(F.col("channels")[0]).alias("frames"), (F.round(_total(F.col("channels")[0]), 3) + 0.0).alias("total"))
 
 
 @query("signal_stats", """WITH s AS (SELECT vec_id // 50 AS stream_id, vec_id * 10000 // 100000 * 100000 AS window_us, CASE WHEN i = 7 AND vec_id % 9 = 0 THEN 'nan'::DOUBLE ELSE CAST(embedding[i + 1] * 6 AS FLOAT)::DOUBLE END AS x FROM embeddings, range(64) r(i))
@@ -149,7 +168,17 @@ def normalization_gain(load):
     return op.normalization_gain(items, "track", "album", "mode").select("event_id", "mode", F.round("linear_gain", 9).alias("linear_gain"))
 
 
-@query("limit_peaks")
+# Every peak's ramp, and the release as a maximum of decaying reductions; 144 and 480 frames are 3 and 10 ms at 48 kHz
+@query("limit_peaks", f"""WITH {_PCM},
+pk AS (SELECT stream_id, f, max(abs(x)) AS p FROM pcm GROUP BY ALL),
+hi AS (SELECT stream_id, f, pow(10, -1 / 20::DOUBLE) / p AS need FROM pk WHERE p > pow(10, -1 / 20::DOUBLE)),
+le AS (SELECT *, CAST(floor(144 + 336 * least(1, -20 * log10(need) / 12) + 0.5) AS BIGINT) AS len FROM hi),
+rp AS (SELECT stream_id, g, need, 1 - (f - g) / CAST(len AS DOUBLE) AS t FROM (SELECT *, unnest(range(greatest(f - len, 0), f + 1)) AS g FROM le)),
+al AS (SELECT stream_id, g AS f, min(1 - (1 - need) * t * t * t * (t * (6 * t - 15) + 10)) AS a FROM rp GROUP BY ALL),
+rd AS (SELECT pk.stream_id, pk.f, p, 1 - coalesce(a, 1) AS d FROM pk LEFT JOIN al ON pk.stream_id = al.stream_id AND pk.f = al.f),
+rl AS (SELECT *, coalesce(exp(max(CASE WHEN d > 0 THEN ln(d) + f / 4800::DOUBLE END) OVER (PARTITION BY stream_id ORDER BY f) - f / 4800::DOUBLE), 0) AS e FROM rd)
+SELECT stream_id, CAST(0 AS BIGINT) AS block_no, CAST(0 AS BIGINT) AS start_frame, count(*) FILTER (1 - e < 1 - 1e-7) AS limited_frames, round(min(1 - e), 6) AS minimum_gain, round(max(p), 6) AS input_peak, round(max(p * (1 - e)), 6) AS output_peak
+FROM rl GROUP BY stream_id""")
 def limit_peaks(load):
     out = op.limit_peaks(_stereo(load), "stream_id", "start_frame", 48_000)
     return out.drop("channels").withColumns({n: F.round(n, 6) for n in ("minimum_gain", "input_peak", "output_peak")})
