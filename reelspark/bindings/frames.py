@@ -289,12 +289,82 @@ def tone_map_reinhard(load):
     return _rounded(_tone(load, "reinhard"))
 
 
-@query("tone_map_spline")
+def _oetf(nits):
+    power = min(max(nits / 10_000, 0), 1) ** (2610 / 16384)
+    return ((3424 / 4096 + 2413 / 128 * power) / (1 + 2392 / 128 * power)) ** (2523 / 32)
+
+
+def _eotf(code):
+    power = code ** (32 / 2523)
+    return 10_000 * (max(power - 3424 / 4096, 0) / (2413 / 128 - 2392 / 128 * power)) ** (16384 / 2610)
+
+
+def _knee_of(low, high, out_low, out_high):
+    """The static knee between PQ ends: with both at 40 % the tuning is zero."""
+    source = low + (high - low) * 0.4
+    adapted = out_low + (out_high - out_low) * 0.4
+    wanted = source + (adapted - source) * 0.4
+    return source, min(max(wanted, out_low + (out_high - out_low) * 0.1), out_low + (out_high - out_low) * 0.8)
+
+
+def _num(value):
+    return f"({value!r}::DOUBLE)"
+
+
+def _spline_sql():
+    low, high, out_low, out_high = _oetf(1e-6), _oetf(1000), _oetf(0.1), _oetf(100)
+    source, target = _knee_of(low, high, out_low, out_high)
+    slope = ((target - out_low) / (source - low)) ** (0.5 * min(max(1.5 * (high / out_high - 1), 0.2), 1.2))
+    a, b, x, y = low - source, high - source, out_low - target, out_high - target
+    below, twice = (x - slope * a) / (a * a), 2 * b * b
+    cubic, square = (slope * b - y) / (b * twice), -3 * (slope * b - y) / twice
+    at = f"(least(greatest(i, {_num(low)}), {_num(high)}) - {_num(source)})"
+    mapped = (f"CASE WHEN {at} > 0 THEN (({_num(cubic)} * {at} + {_num(square)}) * {at} + {_num(slope)}) * {at} "
+              f"ELSE ({_num(below)} * {at} + {_num(slope)}) * {at} END")
+    return f"least(greatest({mapped} + {_num(target)}, {_num(out_low)}), {_num(out_high)})"
+
+
+def _bezier_sql():
+    import math
+    source, target = _knee_of(_oetf(1e-6), _oetf(1000), _oetf(0.1), _oetf(100))
+    knee_x, knee_y = _eotf(source) / 1000, (_eotf(target) - 0.1) / 99.9
+    slope = knee_y / knee_x * (1 - knee_x) / (1 - knee_y)
+    degree = min(max(math.ceil(slope), 2), 16)
+    intercept = min(slope / degree, 1)
+    x = f"least(greatest({_pq('i')} / 1000, 0), 1)"
+    at = f"least(greatest(({x} - {_num(knee_x)}) / {_num(1 - knee_x)}, 0), 1)"
+    curve = (f"CASE WHEN {x} <= {_num(knee_x)} THEN {x} * {_num(knee_y / knee_x)} ELSE {_num(knee_y)} + {_num(1 - knee_y)} * "
+             f"(1 - pow(1 - {at}, {degree}) - {degree} * {at} * pow(1 - {at}, {degree - 1}) * {_num(1 - intercept)}) END")
+    return _code(f"({curve}) * 100")
+
+
+def _sql_perceptual(mapped, floor):
+    from ..functions import color as c
+    lms = _sql_matrix("primaries", c.RGB_TO_LMS, ("n0", "n1", "n2"), ("NULL",) * 3)
+    back = [_sql_row(row, ("q0", "q1", "q2")) for row in c.LMS_TO_RGB["bt709"]]
+    grey = [_sql_row(row, ("g0", "g0", "g0")) for row in c.LMS_TO_RGB["bt709"]]
+    fits = [f"CASE WHEN x{n} > 100 AND x{n} - z{n} > 0 THEN (100 - z{n}) / (x{n} - z{n}) WHEN x{n} < 0 AND x{n} - z{n} < 0 THEN -z{n} / (x{n} - z{n}) ELSE 1 END" for n in range(3)]
+    out = [f"least(greatest(z{n} + (x{n} - z{n}) * (h * (1 - 0.5::DOUBLE * (1 - h) * (1 - h))), 0), 100)" for n in range(3)]
+    if floor:
+        out = [f"greatest({value} - {_num(0.1)}, 0) * {_num(100 / 99.9)}" for value in out]
+    hull = "(({0} - 6) * {0} + 9) * {0}"
+    return f"""nt AS (SELECT *, c0 * 1200 AS n0, c1 * 1200 AS n1, c2 * 1200 AS n2 FROM sm),
+lm AS (SELECT *, {", ".join(f"{_code(lms[n])} AS l{n}" for n in range(3))} FROM nt),
+ip AS (SELECT *, {", ".join(f"{_sql_row(row, ('l0', 'l1', 'l2'))} AS {name}" for row, name in zip(c.LMS_TO_IPT, "ipt"))} FROM lm),
+mp AS (SELECT *, {mapped} AS m FROM ip),
+ch AS (SELECT *, least(greatest(least(i / nullif(m, 0), {hull.format("m")} / greatest({hull.format("i")}, 2.220446049250313e-16::DOUBLE)), 0), 1) AS k FROM mp),
+tq AS (SELECT *, {", ".join(f"{_pq(_sql_row(row, ('m', 'p * k', 't * k')))} AS q{n}" for n, row in enumerate(c.IPT_TO_LMS))}, {_pq("m")} AS g0 FROM ch),
+xs AS (SELECT *, {", ".join(f"{back[n]} AS x{n}, {grey[n]} AS z{n}" for n in range(3))} FROM tq),
+hd AS (SELECT *, least(greatest(least({", ".join(fits)}, 1), 0), 1) AS h FROM xs)
+SELECT {_sql_out(*[f"CASE WHEN i <= 2.220446049250313e-16 OR m <= 2.220446049250313e-16 THEN 0 ELSE {value} END" for value in out])} FROM hd"""
+
+
+@query("tone_map_spline", f"WITH {_SAMPLES}, {_sql_perceptual(_spline_sql(), True)}")
 def tone_map_spline(load):
     return _rounded(_tone(load, "spline"))
 
 
-@query("tone_map_st2094_40")
+@query("tone_map_st2094_40", f"WITH {_SAMPLES}, {_sql_perceptual(_bezier_sql(), False)}")
 def tone_map_st2094_40(load):
     return _rounded(_tone(load, "st2094-40"))
 
