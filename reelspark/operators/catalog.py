@@ -286,14 +286,14 @@ def known_defects(calls: DataFrame, defects: DataFrame, call_id: str) -> DataFra
 class _Rule:
     """A numeric rule as Columns: its value and whether it divides by zero."""
 
-    def __init__(self, facts: set[str]):
-        self.facts, self.unknown, self.divisors, self.names = facts, False, [], []
+    def __init__(self, facts: set[str], spelled: dict[str, str]):
+        self.facts, self.spelled, self.unknown, self.divisors, self.names = facts, spelled, False, [], []
 
     def build(self, node: ast.AST) -> Column:
         if isinstance(node, ast.Constant) and type(node.value) in (int, float):
             return F.lit(float(node.value))
-        if isinstance(node, (ast.Name, ast.Attribute)):
-            name = ast.unparse(node)
+        if isinstance(node, ast.Name):
+            name = self.spelled.get(node.id, "")
             if name not in self.facts:
                 self.unknown = True
                 return F.lit(None).cast("double")
@@ -333,9 +333,17 @@ def rule_columns(text: str, facts: set[str]) -> tuple[Column, Column]:
 
     Rules use ``+ - * / %``, comparisons, ``&& || !``, abs, ceil, floor, max, min, round and dotted fact names.
     """
-    spelled = text.replace("&&", " and ").replace("||", " or ")
-    spelled = re.sub(r"!(?!=)", "~", spelled).strip()
-    rule = _Rule(facts)
+    names: dict[str, str] = {}
+
+    def placeholder(match: re.Match) -> str:
+        if match[2]:
+            return match[0]
+        return names.setdefault(match[1], f"v{len(names)}")
+
+    # Fact names may be dotted or Python keywords, so they are read as placeholders
+    spelled = re.sub(r"(?<![\w.])([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*)(\s*\()?", placeholder, text)
+    spelled = re.sub(r"!(?!=)", "~", spelled.replace("&&", " and ").replace("||", " or ")).strip()
+    rule = _Rule(facts, {short: name for name, short in names.items()})
     value = rule.build(ast.parse(spelled, mode="eval").body)
     zero = reduce(lambda a, b: a | b, [F.coalesce(d == 0, F.lit(False)) for d in rule.divisors], F.lit(False))
     missing = reduce(lambda a, b: a | b, [name.isNull() for name in rule.names], F.lit(rule.unknown))
