@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import clamp, half_up
 from ..functions.tables import (
@@ -188,10 +188,9 @@ def eligibility_funnel(items: DataFrame, gates: Sequence[tuple[str, Column]] | N
 def reason_counts(decided: DataFrame) -> DataFrame:
     """C7. Items per reason with their share of all items."""
     counts = decided.groupBy(F.coalesce("reason", F.lit("eligible")).alias("reason")).agg(F.count(F.lit(1)).alias("items"))
-    # One row per reason of a fixed ladder
-    total = counts.agg(F.sum("items").alias("__total"), F.lit(1).alias("__one"))
-    return counts.withColumn("__one", F.lit(1)).join(total, "__one").select(
-        "reason", "items", (F.col("items") / F.col("__total")).alias("share"))
+    # One row per reason of a fixed ladder, so the window over all of them is small
+    total = F.sum("items").over(Window.partitionBy(F.lit(1)))
+    return counts.withColumn("share", F.col("items") / total)
 
 
 # ---- C5, C6 ---------------------------------------------------------------------------------------------------
