@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import mixing, simhash
+from . import decontaminate, langid, mixing, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -21,6 +21,37 @@ def query(build):
     return build
 
 
+def fold(parts: int):
+    """crc32 of the document's id as text, modulo ``parts``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
+
+
+@query
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(fold(5) != 0))
+    return toxicity.score(docs, model).select(
+        F.col("id").alias("doc_id"), "score", "predicted").withColumn("held_out", fold(5) == 0)
+
+
+@query
+def op3_decontaminate(spark, sf_dir):
+    found = decontaminate.longest_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.transform("matches", lambda match: match["item"])))
+    hits = decontaminate.hit_words(F.col("matches"))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_words", hits.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"),
+        F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size("matches") > 0).alias("contaminated"))
+
+
+@query
+def op6_langid(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(fold(3) != 1))
+    return langid.identify(docs, model).select(
+        F.col("id").alias("doc_id"), "lang_pred", "score", "rejected").withColumn("held_out", fold(3) == 1)
+
+
 @query
 def op7_simhash(spark, sf_dir):
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"))
@@ -68,3 +99,31 @@ SELECT rows.doc_id, rows.size, source_size, target, coalesce(taken.copies, 0)::B
        coalesce(taken.copies, 0)::BIGINT AS copies
 FROM rows JOIN targets ON rows.source IS NOT DISTINCT FROM targets.source LEFT JOIN taken ON rows.doc_id = taken.doc_id
 """
+
+ORACLE["op3_decontaminate"] = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+items AS (
+  SELECT item_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark),
+windows AS (
+  SELECT DISTINCT item_id, least(10, len(words)) AS size, array_to_string(words[i:i + least(10, len(words)) - 1], ' ') AS piece
+  FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 10, 0) + 2)) AS i FROM items WHERE len(words) > 0)),
+pieces AS (SELECT DISTINCT size, piece FROM windows),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM docs),
+found AS (
+  SELECT DISTINCT doc_id, i, sizes.size, array_to_string(words[i:i + sizes.size - 1], ' ') AS piece
+  FROM starts, (SELECT DISTINCT size FROM pieces) sizes WHERE i + sizes.size - 1 <= len(words)
+  AND array_to_string(words[i:i + sizes.size - 1], ' ') IN (SELECT piece FROM pieces)),
+exact AS (SELECT found.* FROM found JOIN pieces USING (size, piece)),
+hits AS (SELECT doc_id, count(DISTINCT w) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + size)) AS w FROM exact) GROUP BY doc_id),
+held AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM exact JOIN windows USING (size, piece)) GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN held USING (doc_id)
+"""
