@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import Scratch, quoted
 
 #: Rows that one range of a running sum holds on average
-RANGE_ROWS = 100_000
+RANGE_ROWS = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 #: A digest's first digits that name a range: up to 16**4 ranges of a source
 RANGE_DIGITS = 4
@@ -75,7 +75,7 @@ def mix(
     counted = rows.count()
     targets = scratch.keep(source_targets(rows, list(weights), repeats), "targets")
     # A range of a source is named by the digest's first bits, enough for RANGE_ROWS rows to a range if all rows are one source's
-    bits = min(4 * RANGE_DIGITS, max(4, math.ceil(math.log2(max(1, counted) / RANGE_ROWS + 1))))
+    bits = min(4 * RANGE_DIGITS, max(6, math.ceil(math.log2(max(1, counted) / RANGE_ROWS + 1))))
     cut = F.shiftright(F.conv(F.substring("digest", 1, RANGE_DIGITS), 16, 10).cast("int"), 4 * RANGE_DIGITS - bits)
     sent = rows.where("size > 0").withColumn("cut", cut)
     before = _sums_before(sent.groupBy("source", "cut").agg(F.sum("size").alias("words")), ["source"], "cut")
@@ -87,7 +87,7 @@ def mix(
         "*", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))).alias("copy"),
     ).withColumn("finish", (F.col("copy") * F.col("source_size") + F.col("words_before") + F.col("so_far")) / F.col("target"))
     # Sources send at an even pace, so equal spans of time hold about equal numbers of words
-    spans = max(16, math.ceil(repeats * counted / RANGE_ROWS))
+    spans = max(256, math.ceil(repeats * counted / RANGE_ROWS))
     copies = scratch.keep(copies.select(
         "id", "digest", "source_rank", "copy", "size", "budget", "finish",
         F.floor(F.col("finish") * spans).alias("span")), "queue")
