@@ -1,7 +1,61 @@
-"""The corpus pipeline; its stages follow."""
+"""The corpus pipeline: toxic documents go, repeated lines go, near copies go, benchmark passages go, and the rest is mixed.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is written as Parquet and read again as the next one's
+``docs``. All but the last return the columns of ``documents``.
+"""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from reelspark.llm import decontaminate, lines, mixing, simhash, toxicity
+from reelspark.llm.common import Scratch
+from reelspark.llm.queries import fold, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5; the model learns from labels outside the held-out fold."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(fold(5) != 0))
+    return toxicity.keep_clean(docs, model)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the lines that an earlier line equals or nearly equals; every document stays."""
+    return lines.dedup_lines(docs, length_column="n_chars")
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of linked fingerprints."""
+    return simhash.keep_first(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of the benchmark."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents of the mix, with the number of their copies in ``mix_copies``."""
+    return mixing.take_mix(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("SimHash near-dedup", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+]
+
+#: The first stage learns a model, which SQL cannot say; the pipeline is tested against brute force instead
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for number, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if number + 1 < len(STAGES):
+            docs = scratch.keep(docs, name.replace(" ", "-").lower())
+    return docs

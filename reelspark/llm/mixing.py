@@ -121,3 +121,13 @@ def _null_safe(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
     for name in key:
         condition = condition & F.col(name).eqNullSafe(F.col(f"__{name}"))
     return left.join(renamed, condition).drop(*[f"__{name}" for name in key])
+
+
+def take_mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
+    """The documents of the mix: the columns of ``docs`` and ``mix_copies``, how often the mix takes the row.
+
+    Rows that repeat an id go by the most copies of any of them.
+    """
+    mixed = mix(docs, id_column, text_column, source_column, **options).where("copies > 0")
+    chosen = mixed.groupBy(F.col("id").alias("__id")).agg(F.max("copies").alias("mix_copies"))
+    return docs.join(chosen, quoted(id_column).eqNullSafe(F.col("__id"))).drop("__id")

@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, langid, mixing, simhash, toxicity
+from . import decontaminate, langid, lines, mixing, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -59,6 +59,12 @@ def op7_simhash(spark, sf_dir):
     return groups.select(F.col("id").alias("doc_id"), printed.alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+@query
+def op8_lines(spark, sf_dir):
+    kept = lines.dedup_lines(table(spark, sf_dir, "documents"), length_column="n_chars")
+    return kept.select("doc_id", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 @query
 def op10_mixing(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
