@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, langid, lines, mixing, simhash, toxicity
+from . import decontaminate, embeddings, langid, lines, mixing, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,6 +34,12 @@ def op1_toxicity(spark, sf_dir):
         F.col("id").alias("doc_id"), "score", "predicted").withColumn("held_out", fold(5) == 0)
 
 
+@query
+def op2_embeddings(spark, sf_dir):
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings")).select(
+        F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
 @query
 def op3_decontaminate(spark, sf_dir):
     found = decontaminate.longest_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
