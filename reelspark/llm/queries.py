@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, embeddings, langid, lines, mixing, simhash, toxicity
+from . import decontaminate, embeddings, langid, lines, mixing, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,6 +50,15 @@ def op3_decontaminate(spark, sf_dir):
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size("matches") > 0).alias("contaminated"))
 
 
+@query
+def op5_substrings(spark, sf_dir):
+    found = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda total, span: total + span["end"] - span["start"])
+    return found.select(
+        F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op6_langid(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
