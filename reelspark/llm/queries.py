@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, embeddings, langid, lines, mixing, simhash, substrings, toxicity
+from . import chat, decontaminate, embeddings, langid, lines, mixing, pii, simhash, substrings, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -50,6 +50,15 @@ def op3_decontaminate(spark, sf_dir):
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.size("matches") > 0).alias("contaminated"))
 
 
+@query
+def op4_pii(spark, sf_dir):
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"), with_text=False)
+    count = lambda kind: F.size(F.filter("base", lambda span: span["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select(
+        F.col("id").alias("doc_id"), *[count(kind) for kind in pii.KINDS[:4]],
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
 @query
 def op5_substrings(spark, sf_dir):
     found = substrings.dedup_substrings(table(spark, sf_dir, "documents"))
@@ -80,6 +89,11 @@ def op8_lines(spark, sf_dir):
     return kept.select("doc_id", "n_chars", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+@query
+def op9_chat(spark, sf_dir):
+    return chat.render_turns(table(spark, sf_dir, "conversations")).withColumnRenamed("conversation", "conv_id")
+
+
 @query
 def op10_mixing(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
@@ -148,3 +162,18 @@ SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hi
        sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN held USING (doc_id)
 """
+
+ORACLE["op9_chat"] = r"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turn_no, role, text
+  FROM conversations),
+whole AS (
+  SELECT conv_id, count(*) AS n_turns, list(struct_pack(r := role, t := text) ORDER BY turn_no) AS said FROM turns GROUP BY conv_id),
+snapshots AS (
+  SELECT DISTINCT a.conv_id FROM whole a JOIN whole b
+    ON a.said[1] IS NOT DISTINCT FROM b.said[1] AND a.said = b.said[1:a.n_turns]
+   AND (b.n_turns > a.n_turns OR (b.n_turns = a.n_turns AND b.conv_id < a.conv_id)))
+SELECT conv_id, turn_no, n_turns,
+       '<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10) AS segment
+FROM turns JOIN whole USING (conv_id) WHERE conv_id NOT IN (SELECT conv_id FROM snapshots)
+"""
