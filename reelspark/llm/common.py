@@ -11,14 +11,25 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..session import configure, work_dir
 
 #: Bytes of text that one vectorised step works on; a single longer text is still taken whole
-SLAB_BYTES = 2 << 20
+SLAB_BYTES = 1 << 20
+
+
+#: Rows and bytes of one Arrow batch: a Python worker holds a batch and what it makes of it
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+
+
+def tune(spark: SparkSession) -> None:
+    """The library's settings, with Arrow batches small enough for texts."""
+    configure(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 class Scratch:
     """A folder of its own below the shared checkpoint folder, for tables that several steps read."""
 
     def __init__(self, spark: SparkSession, name: str):
-        configure(spark)
+        tune(spark)
         self.spark = spark
         self.folder = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._step = 0
@@ -31,6 +42,16 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, *, rows: int = 250_000, values: str | None = None) -> DataFrame:
+    """A written table, marked for broadcast only if it has been counted to hold at most ``rows`` rows and eight times as many list items.
+
+    Beyond that Spark shuffles both sides.
+    """
+    items = F.sum(F.size(values)) if values else F.lit(0)
+    counted, listed = df.agg(F.count(F.lit(1)), items).first()
+    return F.broadcast(df) if counted <= rows and (listed or 0) <= 8 * rows else df
+
+
 def quoted(name: str):
     """A column whose name may hold dots."""
     return F.col(f"`{name}`")

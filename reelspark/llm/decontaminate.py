@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import SLAB_BYTES, ascii_lower, quoted, slabs, text_bytes
+from .common import ascii_lower, quoted, slabs, text_bytes, tune
 
 WINDOW = 10
 #: Words of the benchmark that one pass over the documents holds; a larger benchmark takes several passes
@@ -244,6 +244,7 @@ def longest_matches(
     one id. Every document row gives one row. The benchmark is held ``block_words`` words at a time, one narrow pass over the
     documents for each block.
     """
+    tune(docs.sparkSession)
     narrow = docs.select(quoted(id_column).alias("id"), quoted(text_column).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
     result = None
@@ -277,7 +278,7 @@ def _pass(docs: DataFrame, block: Needles, kind: str, first_pass: bool) -> DataF
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             counts, found = [], []
-            for begin, end in slabs(offsets, 2 * SLAB_BYTES):
+            for begin, end in slabs(offsets):
                 part = offsets[begin:end + 1] - offsets[begin]
                 words, matches = shard.search(data[offsets[begin]:offsets[end]], part)
                 counts.append(words)
@@ -317,6 +318,7 @@ def decontaminate(
     *, window: int = WINDOW, block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """``docs``, all columns as they are, without the rows whose text holds a window of the benchmark."""
+    tune(docs.sparkSession)
     place = docs.columns.index(text_column)
     for block in benchmark_blocks(benchmark, item_column, item_text_column, window, block_words):
         docs = _without(docs, block, place)
@@ -331,7 +333,7 @@ def _without(docs: DataFrame, block: Needles, place: int) -> DataFrame:
         for batch in batches:
             data, offsets = text_bytes(batch.column(place))
             clean = np.ones(batch.num_rows, bool)
-            for begin, end in slabs(offsets, 2 * SLAB_BYTES):
+            for begin, end in slabs(offsets):
                 _, matches = shard.search(data[offsets[begin]:offsets[end]], offsets[begin:end + 1] - offsets[begin])
                 clean[matches[0] + begin] = False
             yield batch.filter(pa.array(clean))

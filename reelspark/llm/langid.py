@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import quoted
+from .common import quoted, tune
 from .ngrams import word_ngrams
 
 SIZES = (1, 2, 3)
@@ -109,6 +109,7 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     Document frequencies cover all of them. Centroids come from at most ``LANGUAGE_ROWS`` documents of a language and about
     ``SAMPLE_ROWS`` in all, the first by a hash of the id, of at most ``SAMPLE_CHARS`` characters. Without any such document every text is ``und``.
     """
+    tune(docs.sparkSession)
     known = docs.select(quoted(id_column).alias("id"), quoted(text_column).alias("text"), quoted(lang_column).cast("string").alias("lang")).where(
         "text IS NOT NULL AND lang IS NOT NULL AND text <> ''")
 
