@@ -16,7 +16,7 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, quoted, text_bytes
+from .common import Scratch, broadcast_if_small, quoted, text_bytes
 
 #: Lines of fewer words have only exact duplicates: one word is too much of them
 FUZZY_WORDS = 8
@@ -80,11 +80,12 @@ def _spread_lines(docs: DataFrame, kind: str) -> DataFrame:
                         number.append(at)
                         digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
                         keys.append(half_keys(words))
+            line = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(owner, pa.int64())), pa.array(number, pa.int32()), pa.array(digest, pa.binary()),
-                pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "line", "keys"])
+                batch.column(0).take(pa.array(owner, pa.int64())), pa.array(number, pa.int32()), pa.array(line[:, 0]), pa.array(line[:, 1]),
+                pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "la", "lb", "keys"])
 
-    return docs.mapInArrow(run, f"id {kind}, n int, line binary, keys array<bigint>")
+    return docs.mapInArrow(run, f"id {kind}, n int, la bigint, lb bigint, keys array<bigint>")
 
 
 def _packed(docs: DataFrame, kind: str) -> DataFrame:
@@ -101,37 +102,42 @@ def _packed(docs: DataFrame, kind: str) -> DataFrame:
     return docs.mapInArrow(run, f"id {kind}, packed binary")
 
 
-def _edit_rows(held: DataFrame) -> DataFrame:
-    """The edit keys of the listed lines of each text."""
+def _edit_rows(held: DataFrame, kind: str) -> DataFrame:
+    """The edit keys of the listed lines of each text, with the line's place."""
 
     def run(batches):
         for batch in batches:
             unpack = zstandard.ZstdDecompressor().decompress
-            digests, roles, lines = [], [], []
-            for packed, numbers in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                split = unpack(packed).split(b"\n")
-                for n in numbers:
+            keys, roles, rows, places, size = [], [], [], [], 0
+
+            def done():
+                joined = np.concatenate(keys, axis=1)
+                counts = [len(role) for role in roles]
+                return pa.RecordBatch.from_arrays([
+                    pa.array(joined[0]), pa.array(joined[1]), pa.array(np.concatenate(roles)),
+                    batch.column(0).take(pa.array(np.repeat(rows, counts))), pa.array(np.repeat(places, counts).astype(np.int32))],
+                    ["a", "b", "role", "id", "n"])
+
+            for row in range(batch.num_rows):
+                split = unpack(batch.column(1)[row].as_py()).split(b"\n")
+                for n in batch.column(2)[row].as_py():
                     # Where an id is repeated, a line number may be another row's
                     words = split[n].split() if n < len(split) else []
                     if len(words) < FUZZY_WORDS:
                         continue
                     found, role = edit_keys(words)
-                    digests.append(found)
+                    keys.append(found)
                     roles.append(role)
-                    lines += [xxhash.xxh3_128_digest(b" ".join(words))] * len(role)
-                if len(lines) > 200_000:
-                    yield _edit_batch(digests, roles, lines)
-                    digests, roles, lines = [], [], []
-            if lines:
-                yield _edit_batch(digests, roles, lines)
+                    rows.append(row)
+                    places.append(n)
+                    size += len(role)
+                    if size > 100_000:
+                        yield done()
+                        keys, roles, rows, places, size = [], [], [], [], 0
+            if keys:
+                yield done()
 
-    return held.mapInArrow(run, "a bigint, b bigint, role byte, line binary")
-
-
-def _edit_batch(digests, roles, lines):
-    keys = np.concatenate(digests, axis=1)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(keys[0]), pa.array(keys[1]), pa.array(np.concatenate(roles)), pa.array(lines, pa.binary())], ["a", "b", "role", "line"])
+    return held.mapInArrow(run, f"a bigint, b bigint, role byte, id {kind}, n int")
 
 
 def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -147,26 +153,27 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     kind = narrow.schema["id"].dataType.simpleString()
     place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("n"))
     lines = scratch.keep(_spread_lines(narrow, kind), "lines")
-    known = scratch.keep(lines.groupBy("line").agg(F.min(place).alias("first"), F.any_value("keys").alias("keys")), "distinct")
-    halves = known.where(F.size("keys") > 0).select("line", "first", F.explode("keys").alias("key"))
+    known = scratch.keep(lines.groupBy("la", "lb").agg(F.min(place).alias("first"), F.any_value("keys").alias("keys")), "distinct")
+    halves = known.where(F.size("keys") > 0).select("la", "lb", F.explode("keys").alias("key"))
     shared = halves.groupBy("key").agg(F.count(F.lit(1)).alias("lines")).where("lines > 1")
-    partners = halves.join(shared, "key").groupBy("line").agg(F.min("first").alias("first"))
+    partners = scratch.keep(halves.join(shared, "key").select("la", "lb").distinct(), "partners")
     # The words of a line are read where it first occurs
-    wanted = scratch.keep(
-        partners.groupBy(F.col("first.id").alias("id")).agg(F.sort_array(F.collect_list("first.n")).alias("numbers")), "wanted")
-    held = _packed(narrow, kind).withColumnRenamed("id", "__id").join(wanted, F.col("__id").eqNullSafe(F.col("id")))
-    # Repeated ids would give a line's keys once for each row
-    edits = _edit_rows(held.select("packed", "numbers")).distinct()
-    edits = scratch.keep(edits.join(known.select("line", "first"), "line"), "edits")
-    groups = edits.groupBy("a", "b").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("role") == 0, F.col("first"))).alias("whole"),
-        F.min(F.when(F.col("role") == 1, F.col("first"))).alias("shorter"),
-        F.min(F.when(F.col("role") == 2, F.col("first"))).alias("placed")).where("n > 1")
-    other = F.when(F.col("role") == 0, F.col("shorter")).when(F.col("role") == 1, F.col("whole")).otherwise(F.col("placed"))
-    close = edits.join(groups, ["a", "b"]).groupBy("line").agg(F.min(other).alias("close"))
-    earliest = known.join(close, "line", "left").select("line", F.least("first", "close").alias("earliest"))
+    wanted = known.select("la", "lb", "first").join(broadcast_if_small(partners), ["la", "lb"], "left_semi")
+    wanted = scratch.keep(wanted.groupBy(F.col("first.id").alias("__id")).agg(F.sort_array(F.collect_list("first.n")).alias("numbers")), "wanted")
+    held = _packed(narrow, kind).join(broadcast_if_small(wanted, values="numbers"), F.col("id").eqNullSafe(F.col("__id")))
+    edits = scratch.keep(_edit_rows(held.select("id", "packed", "numbers"), kind), "edits")
+    # Nearly all keys are of one line: they go before anything is gathered
+    met = edits.groupBy("a").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("a")
+    edits = scratch.keep(edits.join(met, "a"), "met").withColumn("place", place)
+    # A whole line and those one word longer meet in one key, lines with a word left out at the same place in another
+    groups = edits.groupBy("a", "b").agg(F.min("place").alias("least"), F.min(F.when(F.col("role") == 0, F.col("place"))).alias("whole"))
+    close = edits.join(groups, ["a", "b"]).groupBy("place").agg(
+        F.min(F.when(F.col("role") == 1, F.col("whole")).otherwise(F.col("least"))).alias("close"))
+    close = scratch.keep(close.where("close < place"), "close").select(F.col("place").alias("__place"), "close")
+    earliest = known.join(broadcast_if_small(close), F.col("first") == F.col("__place"), "left").select(
+        "la", "lb", F.least("first", "close").alias("earliest"))
     return (
-        lines.join(earliest, "line").where(place > F.col("earliest")).groupBy("id")
+        lines.select("id", "n", "la", "lb").join(earliest, ["la", "lb"]).where(place > F.col("earliest")).groupBy("id")
         .agg(F.sort_array(F.collect_set("n")).alias("drop"))
     )
 
@@ -177,8 +184,9 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     A text that loses all its lines becomes empty; null texts stay null. ``length_column`` is set to the new
     number of characters if given.
     """
-    drops = repeated_lines(docs, id_column, text_column).select(F.col("id").alias("__id"), F.col("drop").alias("__drop"))
-    joined = docs.join(drops, quoted(id_column).eqNullSafe(F.col("__id")), "left")
+    drops = Scratch(docs.sparkSession, "lines").keep(repeated_lines(docs, id_column, text_column), "drops")
+    drops = drops.select(F.col("id").alias("__id"), F.col("drop").alias("__drop"))
+    joined = docs.join(broadcast_if_small(drops, values="__drop"), quoted(id_column).eqNullSafe(F.col("__id")), "left")
     left = F.array_join(F.filter(
         F.split(quoted(text_column), "\n", -1), lambda line, at: ~F.array_contains(F.col("__drop"), at.cast("int"))), "\n")
     text = F.when(F.col("__drop").isNull(), quoted(text_column)).otherwise(left)
