@@ -27,13 +27,13 @@ from .sais import common_prefixes, suffix_array
 LENGTH = 50
 GRAM = 20
 #: Bytes of text in a pack, of text behind one anchor bucket, and of segments in one suffix array
-PACK_BYTES = 4 << 20
-BUCKET_BYTES = 12 << 20
+PACK_BYTES = 2 << 20
+BUCKET_BYTES = 8 << 20
 SORTED_BYTES = 1 << 20
 #: Places of an anchor, all packs together, from which its windows go one by one
 HOT_PLACES = 4_096
 #: Windows whose hashes are looked at together
-SLIDE = 8 << 20
+SLIDE = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _NO_ID = np.iinfo(np.int64).max
 
@@ -96,9 +96,11 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
     anchor = np.concatenate(anchors)
     # Windows that reach into the next text do not count
     sizes = np.maximum(np.diff(offsets) - length + 1, 0)
-    text = np.repeat(np.arange(len(sizes)), sizes)
-    window = np.repeat(offsets[:-1] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+    text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    window = np.repeat(offsets[:-1] - (np.cumsum(sizes) - sizes), sizes)
+    window += np.arange(len(window))
     own = anchor[window]
+    del anchor
     fresh = np.ones(len(window), bool)
     fresh[1:] = (own[1:] != own[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(fresh)
@@ -157,6 +159,15 @@ class Pack:
         return (shard, route[lead], first[lead], size[lead], ids), (piece, text, first, size)
 
 
+def _contents(joined: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each piece, a byte of all pieces at a time: pieces are short, and there are many."""
+    value = np.zeros(len(starts), np.uint64)
+    for at in range(int(sizes.max()) if len(sizes) else 0):
+        live = np.flatnonzero(sizes > at)
+        value[live] = value[live] * _BASE + joined[starts[live] + at] + np.uint64(1)
+    return _mixed(value)
+
+
 def settle(routes: np.ndarray, sizes: np.ndarray, ids: np.ndarray, joined: np.ndarray, length: int) -> np.ndarray:
     """For each window of the pieces, in order: whether it also starts in a document with a smaller id than its piece's.
 
@@ -166,7 +177,7 @@ def settle(routes: np.ndarray, sizes: np.ndarray, ids: np.ndarray, joined: np.nd
     starts, marks = np.cumsum(sizes) - sizes, np.cumsum(windows) - windows
     out = np.zeros(int(windows.sum()), bool)
     # Within a route, equal pieces lie together: one of them is sorted, with the smallest id
-    content = Hashes(joined).of(starts, sizes)
+    content = _contents(joined, starts, sizes)
     order = np.lexsort((ids, content, routes))
     fresh = np.ones(len(order), bool)
     fresh[1:] = (routes[order[1:]] != routes[order[:-1]]) | (content[order[1:]] != content[order[:-1]])
