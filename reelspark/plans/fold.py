@@ -91,14 +91,22 @@ def fold(df: DataFrame, key, order, rule: Fold) -> DataFrame:
     schema = T.StructType([narrow.schema[name] for name in carried] + list(produced))
     arrow_schema = to_arrow_schema(schema)
 
-    chunks = find_chunks(narrow, key, order[0])
-    if not chunks:
+    def laid_out_plainly() -> DataFrame:
         laid_out = narrow.repartition(*key).sortWithinPartitions(*key, *order)
         return laid_out.mapInArrow(lambda batches: run_sorted(batches, rule, key, carried, arrow_schema), schema)
 
+    if narrow.isStreaming:
+        return laid_out_plainly()
+    chunks = find_chunks(narrow, key, order)
+    # One row for each key that is cut, of which there are fewer than the rows by the factor of the chunk size
+    counts = {tuple(row[:-1]): row[-1] for row in chunks.cuts.select(
+        *chunks.hot_names(), F.aggregate("__cuts", F.lit(0), lambda total, part: total + F.size(part))).collect()}
+    if not counts:
+        return laid_out_plainly()
+
     chunked = chunks.assign(narrow)
     hot_key = [*key, CHUNK]
-    entry_fields = [T.StructField(f"__hot_{f.name}", f.dataType) for f in chunks.key_schema] + [
+    entry_fields = [T.StructField(f"__hot_{name}", narrow.schema[name].dataType) for name in key] + [
         T.StructField("__hot_chunk", T.IntegerType()), T.StructField("__entry", T.StringType())]
 
     def with_entries(rows: DataFrame, entries: dict[tuple, str], how: str) -> DataFrame:
@@ -126,19 +134,19 @@ def fold(df: DataFrame, key, order, rule: Fold) -> DataFrame:
             [pa.array(list(values), field.type) for values, field in zip(columns, final_arrow)], schema=final_arrow)
 
     start = json.dumps(rule.initial())
-    entries = {(*name, n): start for name, cuts in chunks.cuts.items() for n in range(len(cuts) + 1)}
+    entries = {(*name, n): start for name, cuts in counts.items() for n in range(cuts + 1)}
     pending = dict(entries)
     final: dict[tuple, str] = {}
     while pending:
         rows = with_entries(chunked.where("__hot"), pending, "inner")
-        # One state per pending chunk, of which there are at most twice skew.MAXIMUM_HOT_KEYS
+        # One state per pending chunk
         for row in laid_out(rows).mapInArrow(finals, final_schema).collect():
             final[tuple(row[part] for part in hot_key)] = row["__final"]
         pending = {}
         for name in entries:
             before = (*name[:-1], name[-1] - 1)
-            if name[-1] > 0 and final[before] != entries[name]:
-                pending[name] = final[before]
+            if name[-1] > 0 and final.get(before, entries[before]) != entries[name]:
+                pending[name] = final.get(before, entries[before])
         entries.update(pending)
     rows = with_entries(chunked, entries, "left")
     return laid_out(rows).mapInArrow(lambda batches: run_sorted(batches, rule, hot_key, carried, arrow_schema), schema)

@@ -1,138 +1,70 @@
 """Splitting of keys that hold too many rows for one task.
 
-A window or a fold by key puts each key into one task. A key counts as *hot* when it holds more than
-``max(spark.reelspark.hotKeyRows, rows / MAXIMUM_HOT_KEYS)`` rows, so there are fewer than
-``MAXIMUM_HOT_KEYS`` of them whatever the data. A hot key is cut into chunks of about that many rows at
-approximate quantiles of its order column, which bounds the number of chunks in the same way. Only these
-few cut points are held by the driver and broadcast.
-
-Inputs that Catalyst estimates below ``spark.reelspark.smallInputBytes`` are not searched for hot keys, since
-no key in them can be large.
+A window or a fold by key puts each key into one task. So every key is cut, in its order, into chunks of about
+``spark.reelspark.hotKeyRows`` rows. The cut points are the rows that a hash of key and order picks, one in that many: no row is
+counted and nothing is estimated first, a key with fewer rows usually has no cut at all, and the number of cuts is the
+number of rows divided by the setting. They stay a table, joined by key like any other; nothing runs while a plan is built.
+
+All order columns count, so rows tied in the first one are split too. Only rows equal in key and all order columns stay together.
 """
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 HOT_ROWS_SETTING = "spark.reelspark.hotKeyRows"
-SMALL_BYTES_SETTING = "spark.reelspark.smallInputBytes"
 CHUNK = "__chunk"
+HOT = "__hot"
 
 DEFAULT_HOT_ROWS = 4_000_000
-DEFAULT_SMALL_BYTES = 256 * 1024 * 1024
-MAXIMUM_HOT_KEYS = 1_000
-# Frames and look-ahead read at most this many rows of a neighbouring chunk
-MINIMUM_CHUNK_ROWS = 64
-QUANTILE_ACCURACY = 20_000
-
+#: Cut points are searched in two steps: among the first of every so many, then among those
+STRIDE = 512
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a DataFrame's optimised plan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
+def hot_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(DEFAULT_HOT_ROWS)))
 
-@dataclass
-class Chunks:
-    """Hot keys and the order values that cut each of them: ``cuts[key]`` ends chunk 0, 1, ..."""
 
-    key: list[str]
-    order: str
-    cuts: dict[tuple, list[int]] = field(default_factory=dict)
-    key_schema: T.StructType | None = None
+def same_key(key: list[str], prefix: str = "__hot_") -> Column:
+    """Key columns equal those of a table whose copies carry a prefix, nulls being equal."""
+    return reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"{prefix}{name}")) for name in key])
 
-    def __bool__(self) -> bool:
-        return bool(self.cuts)
 
-    def _table(self, spark, rows, extra: list[T.StructField]) -> DataFrame:
-        fields = [T.StructField(f"__hot_{f.name}", f.dataType) for f in self.key_schema] + extra
-        return F.broadcast(spark.createDataFrame(rows, T.StructType(fields)))
+class Chunks:
+    """The cut points of a DataFrame's keys; falsy for a stream, whose keys are not cut."""
+
+    def __init__(self, df: DataFrame, key: list[str], order: list[str]):
+        self.key, self.order = list(key), list(order)
+        self.streaming = df.isStreaming
+        if self.streaming:
+            return
+        place = F.struct(*[F.col(name).alias(f"o{i}") for i, name in enumerate(order)])
+        picked = F.pmod(F.xxhash64(*key, *order), F.lit(hot_rows(df))) == 0
+        cuts = df.select(*key, *[name for name in order if name not in key]).where(picked).groupBy(*key).agg(
+            F.array_sort(F.collect_set(place)).alias("__cuts"))
+        steps = F.transform(F.sequence(F.lit(1), F.size("__cuts"), F.lit(STRIDE)), lambda at: F.slice("__cuts", at, STRIDE))
+        self.cuts = cuts.select(*[F.col(name).alias(f"__hot_{name}") for name in key], steps.alias("__cuts"))
 
-    def condition(self, df: DataFrame, table: DataFrame) -> Column:
-        condition = F.lit(True)
-        for name in self.key:
-            condition = condition & df[name].eqNullSafe(table[f"__hot_{name}"])
-        return condition
+    def __bool__(self) -> bool:
+        return not self.streaming
 
     def hot_names(self) -> list[str]:
         return [f"__hot_{name}" for name in self.key]
 
     def assign(self, df: DataFrame) -> DataFrame:
-        """Add the chunk number, 0 for every row of a key that is not hot, and a flag for the hot keys."""
-        table = self._table(
-            df.sparkSession, [(*k, c) for k, c in self.cuts.items()],
-            [T.StructField("__cuts", T.ArrayType(T.LongType()))],
-        )
-        position = F.col(self.order).cast("long")
-        chunk = F.coalesce(F.size(F.filter("__cuts", lambda cut: cut < position)), F.lit(0))
+        """Add the chunk number, 0 for every row of a key without cuts, and a flag for the keys with cuts."""
+        place = F.struct(*[F.col(name).alias(f"o{i}") for i, name in enumerate(self.order)])
+        step = F.size(F.filter("__cuts", lambda part: part[0] < place))
+        within = F.size(F.filter(F.element_at("__cuts", step), lambda cut: cut < place))
+        chunk = F.when(F.col("__cuts").isNull() | (step == 0), F.lit(0)).otherwise((step - 1) * STRIDE + within)
         return (
-            df.join(table, self.condition(df, table), "left")
-            .withColumn(CHUNK, F.when(F.col("__cuts").isNull(), F.lit(0)).otherwise(chunk))
-            .withColumn("__hot", F.col("__cuts").isNotNull())
+            df.join(self.cuts, same_key(self.key), "left")
+            .withColumn(CHUNK, chunk).withColumn(HOT, F.col("__cuts").isNotNull())
             .drop("__cuts", *self.hot_names())
         )
 
 
-def find_chunks(df: DataFrame, key: list[str], order: str) -> Chunks:
-    """Find the hot keys of a batch DataFrame and where to cut them; empty when no key is hot."""
-    chunks = Chunks(list(key), order, {}, T.StructType([df.schema[name] for name in key]))
-    if df.isStreaming:
-        return chunks
-    spark = df.sparkSession
-    forced = spark.conf.get(HOT_ROWS_SETTING, None)
-    if forced is None and estimated_bytes(df) <= int(spark.conf.get(SMALL_BYTES_SETTING, str(DEFAULT_SMALL_BYTES))):
-        return chunks
-    floor = int(forced) if forced else DEFAULT_HOT_ROWS
-    narrow = df.select(*key, F.col(order).cast("long").alias("__at"))
-    total = narrow.count()
-    limit = max(floor, total // MAXIMUM_HOT_KEYS)
-    if total <= limit:
-        return chunks
-    # Fewer than MAXIMUM_HOT_KEYS rows by the choice of limit
-    hot = narrow.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > limit).collect()
-    if not hot:
-        return chunks
-    sizes = {tuple(row[name] for name in key): row["__n"] for row in hot}
-    steps = min(MAXIMUM_HOT_KEYS, max(math.ceil(n / limit) for n in sizes.values()))
-    fractions = [i / steps for i in range(1, steps)]
-    table = chunks._table(spark, list(sizes), [])
-    hot_rows = narrow.join(table, chunks.condition(narrow, table), "left_semi")
-    quantiles = hot_rows.groupBy(*key).agg(
-        F.percentile_approx("__at", fractions, QUANTILE_ACCURACY).alias("__q")
-    ).collect()
-    for row in quantiles:
-        name = tuple(row[part] for part in key)
-        parts = max(2, math.ceil(sizes[name] / limit))
-        picked = {row["__q"][min(len(fractions) - 1, round(i * steps / parts) - 1)] for i in range(1, parts)}
-        cuts = sorted(cut for cut in picked if cut is not None)
-        if cuts:
-            chunks.cuts[name] = cuts
-    _merge_small(chunks, narrow)
-    return chunks
-
-
-def _merge_small(chunks: Chunks, narrow: DataFrame) -> None:
-    """Drop cuts that would leave a chunk with fewer than MINIMUM_CHUNK_ROWS rows, as tied order values can."""
-    if not chunks:
-        return
-    at = Chunks(chunks.key, "__at", chunks.cuts, chunks.key_schema)
-    counted = (
-        at.assign(narrow).where("__hot").groupBy(*chunks.key, CHUNK).agg(F.count(F.lit(1)).alias("__n")).collect()
-    )
-    sizes: dict[tuple, dict[int, int]] = {}
-    for row in counted:
-        sizes.setdefault(tuple(row[part] for part in chunks.key), {})[row[CHUNK]] = row["__n"]
-    for name, cuts in list(chunks.cuts.items()):
-        kept, rows = [], 0
-        remaining = sum(sizes.get(name, {}).values())
-        for number, cut in enumerate(cuts):
-            rows += sizes.get(name, {}).get(number, 0)
-            if rows >= MINIMUM_CHUNK_ROWS and remaining - rows >= MINIMUM_CHUNK_ROWS:
-                kept.append(cut)
-                remaining -= rows
-                rows = 0
-        if kept:
-            chunks.cuts[name] = kept
-        else:
-            del chunks.cuts[name]
+def find_chunks(df: DataFrame, key: list[str], order) -> Chunks:
+    """The chunks of a DataFrame's keys by one or several order columns."""
+    return Chunks(df, key, [order] if isinstance(order, str) else list(order))

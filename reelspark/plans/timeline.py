@@ -1,18 +1,17 @@
 """Running and neighbouring values over each key's rows in order.
 
-A :class:`Timeline` evaluates scans such as :class:`Lag` or :class:`RunningSum` as windows by key. Where a key
-is hot (see :mod:`reelspark.plans.skew`) the windows run by (key, chunk) and each chunk receives what it needs
-of the chunks around it: one small summary row per chunk, combined over chunks and broadcast back. The summary
-is a hash aggregate, so a hot key never meets in one task, and results are the same either way.
+A :class:`Timeline` evaluates scans such as :class:`Lag` or :class:`RunningSum` as windows by (key, chunk), see
+:mod:`reelspark.plans.skew`. Where a key has several chunks, each receives what it needs of the chunks around it: one
+small summary row per chunk, combined over chunks and joined back. The summary is an aggregate, so a hot key never
+meets in one task, and results are the same either way. Scans that look ahead run over the reversed order, so every scan is linear.
 """
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from .skew import CHUNK, Chunks, find_chunks
+from .skew import CHUNK, HOT, Chunks, find_chunks, same_key
 
 _START, _END = Window.unboundedPreceding, Window.unboundedFollowing
 
@@ -24,6 +23,9 @@ def _col(value) -> Column:
 class Scan:
     """One value per row that depends on other rows of its key."""
 
+    #: Whether the windows given run from the key's last row to its first
+    reverse = False
+
     def local(self, window: WindowSpec) -> Column:
         raise NotImplementedError
 
@@ -146,23 +148,19 @@ class LastKnown(Scan):
 
 
 class NextKnown(LastKnown):
-    """The next non-null value at or after this row, or strictly after it."""
+    """The next non-null value at or after this row, or strictly after it: the latest one in the reversed order."""
 
-    def local(self, window):
-        return F.first(self.value, ignorenulls=True).over(window.rowsBetween(0 if self.inclusive else 1, _END))
+    reverse = True
 
     def summary(self, position):
         return F.min_by(self.value, F.when(self.value.isNotNull(), position))
 
-    def carry(self, window, summary):
-        return F.first(summary, ignorenulls=True).over(window.rowsBetween(1, _END))
-
 
 class Framed(Scan):
     """A window expression over a bounded frame of ``before`` rows back to ``after`` rows ahead.
 
-    ``build`` receives the ordered window spec without a frame. In a hot key each chunk also holds copies of the
-    rows its neighbours' frames reach, which are dropped afterwards.
+    ``build`` receives the ordered window spec without a frame. In a key with several chunks each chunk also holds copies
+    of the rows that its frames reach in the chunks around it, however many those are; they are dropped afterwards.
     """
 
     def __init__(self, build: Callable[[WindowSpec], Column], before: int = 0, after: int = 0):
@@ -170,27 +168,28 @@ class Framed(Scan):
 
 
 class Timeline:
-    """The rows of ``df`` ordered by ``order`` within ``key``; the first order column must be numeric."""
+    """The rows of ``df`` ordered by ``order`` within ``key``."""
 
     def __init__(self, df: DataFrame, key, order, chunks: Chunks | None = None):
         self.key = [key] if isinstance(key, str) else list(key)
         self.order = [order] if isinstance(order, str) else list(order)
-        self.chunks = find_chunks(df, self.key, self.order[0]) if chunks is None else chunks
+        self.chunks = find_chunks(df, self.key, self.order) if chunks is None else chunks
         if self.chunks and CHUNK not in df.columns:
             df = self.chunks.assign(df)
         self._df = df
 
     @property
     def df(self) -> DataFrame:
-        return self._df.drop(CHUNK, "__hot")
+        return self._df.drop(CHUNK, HOT)
 
     def apply(self, change: Callable[[DataFrame], DataFrame]) -> "Timeline":
         """Derive columns or drop rows, keeping key and order."""
         return Timeline(change(self._df), self.key, self.order, self.chunks)
 
-    def window(self) -> WindowSpec:
-        partition = [*self.key, CHUNK] if self.chunks else self.key
-        return Window.partitionBy(*partition).orderBy(*self.order)
+    def window(self, reverse: bool = False) -> WindowSpec:
+        # The flag depends on the key alone; as a partition column it lets a filter on it pass below the window
+        partition = [*self.key, CHUNK, HOT] if self.chunks else self.key
+        return Window.partitionBy(*partition).orderBy(*[F.desc(name) if reverse else F.col(name) for name in self.order])
 
     def scan(self, **scans: Scan) -> "Timeline":
         """Add one column per scan."""
@@ -205,53 +204,63 @@ class Timeline:
         return Timeline(df, self.key, self.order, self.chunks)
 
     def _carried(self, df: DataFrame, scans: dict[str, Scan]) -> DataFrame:
-        window = self.window()
+        windows = {reverse: self.window(reverse) for reverse in (False, True)}
         if not self.chunks:
-            return df.select("*", *[scan.combine(scan.local(window), None).alias(name) for name, scan in scans.items()])
+            return df.select("*", *[scan.combine(scan.local(windows[scan.reverse]), None).alias(name) for name, scan in scans.items()])
         position = F.struct(*self.order)
         summaries = (
-            df.where("__hot").groupBy(*self.key, CHUNK)
+            df.where(HOT).groupBy(*self.key, CHUNK)
             .agg(*[scan.summary(position).alias(f"__s_{name}") for name, scan in scans.items()])
         )
-        over = Window.partitionBy(*self.key).orderBy(CHUNK)
-        # One row per chunk of a hot key: bounded by skew.MAXIMUM_HOT_KEYS, so it is broadcast
-        carries = F.broadcast(summaries.select(
+        by_chunk = Window.partitionBy(*self.key)
+        over = {False: by_chunk.orderBy(CHUNK), True: by_chunk.orderBy(F.desc(CHUNK))}
+        # One row per chunk of the keys that have several
+        carries = summaries.select(
             *[F.col(name).alias(f"__hot_{name}") for name in self.key], F.col(CHUNK).alias("__hot_chunk"),
-            *[scan.carry(over, F.col(f"__s_{name}")).alias(f"__c_{name}") for name, scan in scans.items()],
-        ))
-        df = df.select("*", *[scan.local(window).alias(f"__l_{name}") for name, scan in scans.items()])
-        condition = reduce(
-            lambda a, b: a & b, [df[name].eqNullSafe(carries[f"__hot_{name}"]) for name in self.key],
-            df[CHUNK] == carries["__hot_chunk"],
+            *[scan.carry(over[scan.reverse], F.col(f"__s_{name}")).alias(f"__c_{name}") for name, scan in scans.items()],
         )
-        kept = [name for name in df.columns if not name.startswith("__l_")]
-        return df.join(carries, condition, "left").select(
+        kept = df.columns
+        df = df.select("*", *[scan.local(windows[scan.reverse]).alias(f"__l_{name}") for name, scan in scans.items()])
+        return df.join(carries, same_key(self.key) & (F.col(CHUNK) == F.col("__hot_chunk")), "left").select(
             *kept, *[scan.combine(F.col(f"__l_{name}"), F.col(f"__c_{name}")).alias(name) for name, scan in scans.items()]
         )
 
     def _framed(self, df: DataFrame, scans: dict[str, Framed]) -> DataFrame:
+        window = self.window()
+        built = [scan.build(window).alias(name) for name, scan in scans.items()]
         if not self.chunks:
-            window = self.window()
-            return df.select("*", *[scan.build(window).alias(name) for name, scan in scans.items()])
+            return df.select("*", *built)
         before = max(scan.before for scan in scans.values())
         after = max(scan.after for scan in scans.values())
-        partition = Window.partitionBy(*self.key, CHUNK)
         ranked = df.select(
-            "*", F.row_number().over(partition.orderBy(*self.order)).alias("__from_start"),
-            F.row_number().over(partition.orderBy(*[F.desc(name) for name in self.order])).alias("__from_end"),
+            "*", F.row_number().over(window).alias("__from_start"),
+            F.row_number().over(self.window(reverse=True)).alias("__from_end"),
+        )
+        # How many rows the chunks ahead and behind hold; every chunk has one or more
+        around = Window.partitionBy(*self.key).orderBy(CHUNK)
+        sizes = df.where(HOT).groupBy(*self.key, CHUNK).agg(F.count(F.lit(1)).alias("__n")).select(
+            *[F.col(name).alias(f"__hot_{name}") for name in self.key], F.col(CHUNK).alias("__hot_chunk"),
+            F.collect_list("__n").over(around.rowsBetween(1, max(1, before))).alias("__ahead"),
+            F.reverse(F.collect_list("__n").over(around.rowsBetween(-max(1, after), -1))).alias("__behind"),
         )
-        targets = F.filter(F.array(
-            F.lit(0),
-            F.when(F.col("__hot") & (F.col("__from_end") <= before), 1),
-            F.when(F.col("__hot") & (F.col("__from_start") <= after), -1),
-        ), lambda shift: shift.isNotNull())
+        known = ranked.join(sizes, same_key(self.key) & (F.col(CHUNK) == F.col("__hot_chunk")), "left")
+        ahead = self._reached(F.col("__ahead"), F.col("__from_end"), before, 1)
+        behind = self._reached(F.col("__behind"), F.col("__from_start"), after, -1)
+        shifts = F.when(F.col("__hot_chunk").isNull(), F.array(F.lit(0))).otherwise(F.concat(F.array(F.lit(0)), ahead, behind))
         spread = (
-            ranked.select("*", F.explode(targets).alias("__shift"))
+            known.select(*df.columns, F.explode(shifts).alias("__shift"))
             .withColumn(CHUNK, F.col(CHUNK) + F.col("__shift"))
-            .drop("__from_start", "__from_end")
-        )
-        window = self.window()
-        return (
-            spread.select("*", *[scan.build(window).alias(name) for name, scan in scans.items()])
-            .where("__shift = 0").drop("__shift")
         )
+        # The copies' chunk numbers are not the rows' own: they come back with the shift, which is 0 for the rows kept
+        return spread.select("*", *built).where("__shift = 0").drop("__shift")
+
+    @staticmethod
+    def _reached(sizes: Column, rank: Column, reach: int, sign: int) -> Column:
+        """The chunks, as shifts, whose frames of ``reach`` rows hold the row that is ``rank``-th from its chunk's edge."""
+        if reach == 0:
+            return F.array().cast("array<int>")
+        # The chunk at distance d starts after the d - 1 chunks between
+        between = F.transform(F.sequence(F.lit(1), F.size(sizes)), lambda d: F.aggregate(
+            F.slice(sizes, 1, d - 1), F.lit(0).cast("bigint"), lambda total, n: total + n))
+        near = F.filter(F.transform(between, lambda total, at: F.when(rank + total <= reach, at + 1)), lambda d: d.isNotNull())
+        return F.when(F.size(sizes) == 0, F.array().cast("array<int>")).otherwise(F.transform(near, lambda d: (d * sign).cast("int")))

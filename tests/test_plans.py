@@ -59,7 +59,8 @@ def test_hot_keys_do_not_change_results(spark, request):
     request.getfixturevalue("split_hot_keys")
     df = spark.createDataFrame(data, "k long, t long, i long, v long")
     chunks = find_chunks(df, ["k"], "t")
-    assert len(chunks.cuts) == 3 and len(chunks.cuts[(1,)]) >= 3
+    cuts = {row[0]: sum(map(len, row[1])) for row in chunks.cuts.collect()}
+    assert cuts[1] >= 2
     assert evaluate(spark, data) == plain
 
 

@@ -30,9 +30,8 @@ SPLIT = ["presentation_order", "seek_key_packet", "unreferenced_pictures", "fiel
 
 
 @pytest.mark.parametrize("name", SPLIT)
-def test_query_equals_its_sql_when_keys_are_split(spark, name, monkeypatch):
+def test_query_equals_its_sql_when_keys_are_split(spark, name):
     from reelspark.plans import skew
-    monkeypatch.setattr(skew, "MINIMUM_CHUNK_ROWS", 24)
     spark.conf.set(skew.HOT_ROWS_SETTING, "50")
     try:
         assert compare(spark, connect("0.01"), name, "0.01", QUERIES, ORACLE) is None
@@ -41,9 +40,8 @@ def test_query_equals_its_sql_when_keys_are_split(spark, name, monkeypatch):
 
 
 @pytest.mark.parametrize("name", ["frame_interval", "refresh_interval", "reconcile_timeline", "pair_layers_crowded", "quarantine"])
-def test_folds_are_the_same_when_keys_are_split(spark, name, monkeypatch):
+def test_folds_are_the_same_when_keys_are_split(spark, name):
     from reelspark.plans import skew
-    monkeypatch.setattr(skew, "MINIMUM_CHUNK_ROWS", 10)
     run = lambda: sorted(map(str, QUERIES[name](spark, f"{DATA}/sf0.001").collect()))
     whole = run()
     spark.conf.set(skew.HOT_ROWS_SETTING, "30")
