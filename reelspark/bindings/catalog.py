@@ -88,7 +88,7 @@ def sidecar_join(load):
 @query("directory_rollup", f"""WITH {_MEDIA},
 an AS (SELECT unnest(['', split_part(path, '/', 1), split_part(path, '/', 1) || '/' || split_part(path, '/', 2)]) AS folder, size_bytes FROM md)
 SELECT folder, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS bytes, CASE WHEN folder = '' THEN 0 ELSE len(string_split(folder, '/')) END AS depth,
-  CASE WHEN folder LIKE '%/%' THEN split_part(folder, '/', 1) || '/' || lpad(split_part(folder, '/', 2), 20, '0') ELSE folder END AS sort_key FROM an GROUP BY folder""")
+  CASE WHEN folder LIKE '%/%' THEN split_part(folder, '/', 1) || '/' || lpad(CAST(len(split_part(folder, '/', 2)) AS VARCHAR), 9, '0') || split_part(folder, '/', 2) ELSE folder END AS sort_key FROM an GROUP BY folder""")
 def directory_rollup(load):
     media, _ = _library(load)
     return op.directory_rollup(media, "path", "size_bytes").withColumn("depth", F.col("depth").cast("long"))

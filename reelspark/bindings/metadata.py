@@ -45,14 +45,14 @@ def align_layers(load):
     return op.align_layers(base, enh, "user_id", "base_seq", "base_ts", "enh_seq", "enh_ts")
 
 
-_STATIC = """CASE WHEN event_type = 'signup' THEN CAST(1000 + CASE WHEN user_id % 4 = 0 THEN (k % 2) * 3000 ELSE 0 END AS DOUBLE) END AS max_nits,
-  CASE WHEN event_type = 'signup' THEN 0.01 END AS min_nits,
-  CASE WHEN event_type = 'view' AND user_id % 3 > 0 THEN CAST(CASE WHEN user_id % 7 = 0 THEN k ELSE 400 * (k % 2) END AS DOUBLE) END AS cll,
-  CASE WHEN event_type = 'view' AND user_id % 6 = 5 THEN 100.0 END AS fall, event_type = 'error' AND k % 23 = 0 AS malformed"""
+_STATIC = """CASE WHEN event_type = 'signup' AND user_id % 5 > 0 THEN CAST(1000 + CASE WHEN user_id % 4 = 0 THEN (k % 2) * 3000 ELSE 0 END AS DOUBLE) END AS max_nits,
+  CASE WHEN event_type = 'signup' AND user_id % 5 > 0 THEN 0.01 END AS min_nits,
+  CASE WHEN event_type = 'view' AND user_id % 5 > 0 AND user_id % 3 > 0 THEN CAST(CASE WHEN user_id % 7 = 0 THEN k ELSE 400 * (k % 2) END AS DOUBLE) END AS cll,
+  CASE WHEN event_type = 'view' AND user_id % 5 > 0 AND user_id % 6 = 5 THEN 100.0 END AS fall, event_type = 'error' AND k % 23 = 0 AS malformed"""
 
 
 @query("static_metadata_scan", f"""WITH {EVENTS},
-un AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rk, {_STATIC} FROM ev WHERE user_id % 5 > 0 OR event_type NOT IN ('signup', 'view')),
+un AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rk, {_STATIC} FROM ev),
 hd AS (SELECT user_id, rk, max_nits, CAST(min_nits AS DOUBLE) AS min_nits, nullif(cll, 0) AS cll, CAST(nullif(fall, 0) AS DOUBLE) AS fall, malformed FROM un WHERE rk <= 16),
 mk AS (SELECT *, malformed AS bad, coalesce(min(max_nits) OVER w <> max(max_nits) OVER w, false) OR coalesce(min(cll) OVER w <> max(cll) OVER w, false) AS differs,
   coalesce(max_nits, min_nits, cll, fall) IS NOT NULL AS filled FROM hd WINDOW w AS (PARTITION BY user_id ORDER BY rk)),
@@ -63,12 +63,12 @@ SELECT user_id, scanned_units, status, CASE WHEN status = 'valid' THEN CAST(ff A
   CASE WHEN status = 'valid' THEN b END AS min_nits, CASE WHEN status = 'valid' THEN c END AS cll, CASE WHEN status = 'valid' THEN d END AS fall,
   CASE WHEN status = 'valid' THEN coalesce(a, c) END AS peak_nits FROM st""")
 def static_metadata_scan(load):
-    units = events(load).where("user_id % 5 > 0 OR event_type NOT IN ('signup', 'view')").selectExpr(
+    units = events(load).selectExpr(
         "user_id", "event_id",
-        "CASE WHEN event_type = 'signup' THEN CAST(1000 + CASE WHEN user_id % 4 = 0 THEN (k % 2) * 3000 ELSE 0 END AS DOUBLE) END AS max_nits",
-        "CASE WHEN event_type = 'signup' THEN 0.01D END AS min_nits",
-        "CASE WHEN event_type = 'view' AND user_id % 3 > 0 THEN CAST(CASE WHEN user_id % 7 = 0 THEN k ELSE 400 * (k % 2) END AS DOUBLE) END AS cll",
-        "CASE WHEN event_type = 'view' AND user_id % 6 = 5 THEN 100.0D END AS fall",
+        "CASE WHEN event_type = 'signup' AND user_id % 5 > 0 THEN CAST(1000 + CASE WHEN user_id % 4 = 0 THEN (k % 2) * 3000 ELSE 0 END AS DOUBLE) END AS max_nits",
+        "CASE WHEN event_type = 'signup' AND user_id % 5 > 0 THEN 0.01D END AS min_nits",
+        "CASE WHEN event_type = 'view' AND user_id % 5 > 0 AND user_id % 3 > 0 THEN CAST(CASE WHEN user_id % 7 = 0 THEN k ELSE 400 * (k % 2) END AS DOUBLE) END AS cll",
+        "CASE WHEN event_type = 'view' AND user_id % 5 > 0 AND user_id % 6 = 5 THEN 100.0D END AS fall",
         "event_type = 'error' AND k % 23 = 0 AS malformed")
     return op.static_metadata_scan(units, "user_id", "event_id")
 

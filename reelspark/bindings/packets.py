@@ -183,7 +183,7 @@ def field_timeline(load):
 
 @query("unit_inventory", """WITH pc AS (SELECT source, doc_id, string_split(text, '. ') AS parts FROM documents),
 un AS (SELECT source, doc_id, i, len(parts) AS n, encode(parts[i] || CASE WHEN i < len(parts) THEN '.' ELSE '' END) AS unit FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM pc)),
-st AS (SELECT source, doc_id, CASE WHEN min(octet_length(unit)) < 2 THEN 'missing-header' WHEN max(n) > 4096 THEN 'too-many-units' ELSE 'ok' END AS status FROM un GROUP BY ALL),
+st AS (SELECT source, doc_id, CASE WHEN min(octet_length(unit)) < 2 THEN 'missing-header' ELSE 'ok' END AS status FROM un GROUP BY ALL),
 ok AS (SELECT source, doc_id, CAST(CAST('0x' || substr(hex(unit), 1, 2) AS INTEGER) >> 1 & 63 AS INTEGER) AS type, octet_length(unit) AS size, 'ok' AS status FROM un JOIN st USING (source, doc_id) WHERE status = 'ok'
   UNION ALL SELECT source, doc_id, NULL, NULL, status FROM st WHERE status <> 'ok'),
 pp AS (SELECT source, doc_id, max(CASE WHEN status = 'ok' AND type <= 31 THEN 1 ELSE 0 END) AS shows FROM ok GROUP BY ALL),

@@ -84,9 +84,16 @@ def extension(name: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """Sort key under which digit runs compare as numbers and case is ignored (runs of up to 20 digits)."""
-    padded = F.regexp_replace(F.lower(name), r"(\d+)", "00000000000000000000$1")
-    return F.regexp_replace(padded, r"\d*(\d{20})", "$1")
+    """Sort key under which digit runs of any length compare as numbers and case is ignored.
+
+    A run comes after the number of its digits, leading zeros aside.
+    """
+    def counted(part: Column) -> Column:
+        digits = F.regexp_replace(part, r"^0+(?=[0-9])", "")
+        return F.when(part.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 9, "0"), digits)).otherwise(part)
+
+    parts = F.regexp_extract_all(F.lower(name), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    return F.array_join(F.transform(parts, counted), "")
 
 
 def sidecar_join(media: DataFrame, subs: DataFrame, media_id: str, path: str, sub_path: str) -> DataFrame:

@@ -173,14 +173,14 @@ def display_summary(encoded: DataFrame, key, rgb=RGB) -> DataFrame:
 
 
 def reshape(samples: DataFrame, curves: DataFrame, key, signal, out=("s0", "s1", "s2")) -> DataFrame:
-    """F13. Piecewise reshaping of a base signal by its frame's curves.
+    """F13. Piecewise reshaping of a base signal by its frame's curves; null for samples without curves.
 
     ``curves`` has one row per key with ``curve0`` to ``curve2``: struct<pivots array<double>, segments
     array<struct<coefficients array<double>, mmr array<array<double>>>>>. A segment begins at the last inner pivot at
     or below the value; with ``mmr`` rows (order 1 to 3, seven terms each) it is cross-term, else quadratic.
     """
     key = [key] if isinstance(key, str) else list(key)
-    joined = samples.join(curves, key)
+    joined = samples.join(curves, key, "left")
     source = [clamp(value, 0.0, 1.0) for value in _cols(signal)]
     joined = _with(joined, ("__s0", "__s1", "__s2"), source)
     s0, s1, s2 = _cols(("__s0", "__s1", "__s2"))
@@ -220,19 +220,20 @@ def lut_cells(grid: DataFrame, lut: str) -> DataFrame:
 
 
 def apply_lut(samples: DataFrame, grid: DataFrame, headers: DataFrame, lut: str, rgb, out=RGB) -> DataFrame:
-    """F14. Trilinear interpolation of a colour table over its input domain, clamped at the edges.
+    """F14. Trilinear interpolation of a colour table over its input domain, clamped at the edges; null for samples without
+    a valid table.
 
     Each sample meets exactly one cell row, which already holds its eight corners, so nothing is aggregated after the
     join and the sample table is not repeated.
     """
     facts = headers.where("lut_status = 'ok'").select(lut, "size", "domain_min", "domain_max")
-    placed = samples.join(facts, lut)
+    placed = samples.join(facts, lut, "left")
     for n, (name, axis) in enumerate(zip(rgb, "rgb")):
         low, high = F.col("domain_min")[n], F.col("domain_max")[n]
         at = clamp((F.col(name) - low) / (high - low), 0.0, 1.0) * (F.col("size") - 1)
         placed = placed.withColumn(f"__at_{axis}", at).withColumn(
             f"__{axis}", F.least(F.floor(f"__at_{axis}").cast("int"), F.col("size") - 2))
-    joined = placed.join(lut_cells(grid, lut), [lut, "__r", "__g", "__b"])
+    joined = placed.join(lut_cells(grid, lut), [lut, "__r", "__g", "__b"], "left")
     weight = {axis: F.col(f"__at_{axis}") - F.col(f"__{axis}") for axis in "rgb"}
 
     def blend(component):

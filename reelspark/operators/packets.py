@@ -11,8 +11,6 @@ from ..plans import Framed, Lag, Lead, RunningSum, Timeline, asof_join
 # Fixed values
 PROGRAM_CLOCK_CONTAINERS = ["ts", "m2ts", "mts", "mpeg", "mpg", "vob"]
 INDEXED_CONTAINERS = ["avi"]
-MAXIMUM_UNITS_PER_PACKET = 4_096
-MAXIMUM_OBUS_PER_PACKET = 16_384
 HEVC_LAST_VCL_TYPE = 31
 HEVC_LAST_SUB_LAYER_NON_REFERENCE_TYPE = 14
 HEVC_SPS_TYPE = 33
@@ -135,8 +133,6 @@ def split_units(data: bytes, framing: str) -> list[tuple]:
                     raise _BadPacket("missing-header")
                 first, second = data[begin], data[begin + 1]
                 rows.append((begin, end, (first >> 1) & 0x3F, (first & 1) << 5 | second >> 3, (second & 7) - 1, None))
-        if len(rows) > (MAXIMUM_OBUS_PER_PACKET if framing == "av1" else MAXIMUM_UNITS_PER_PACKET):
-            raise _BadPacket("too-many-units")
     except _BadPacket as problem:
         return [(None, None, None, None, None, None, None, str(problem))]
     return [(n, begin, end - begin, kind, layer, temporal, hidden, "ok")
@@ -243,13 +239,16 @@ def start_packet(
 
 # ---- P5-P7 ----------------------------------------------------------------------------------------------------
 def rebase_timeline(packets: DataFrame, files: DataFrame, file: str, ts: str, container: str) -> DataFrame:
-    """P5. Packets with times counted from their file's origin: the first time on a program clock, else zero."""
+    """P5. Packets with times counted from their file's origin: the first time on a program clock, else zero.
+
+    A packet of a file that is not listed keeps its row, with null origin and time.
+    """
     first = packets.groupBy(file).agg(F.min(ts).alias("__first"))
     origin = F.when(
         F.lower(container).isin(PROGRAM_CLOCK_CONTAINERS), F.greatest(F.lit(0), F.col("__first").cast("long"))
     ).otherwise(F.lit(0).cast("long"))
     origins = files.join(first, file).select(file, origin.alias("origin_us"))
-    return packets.join(origins, file).withColumn("rebased_us", F.col(ts) - F.col("origin_us"))
+    return packets.join(origins, file, "left").withColumn("rebased_us", F.col(ts) - F.col("origin_us"))
 
 
 def index_coverage(

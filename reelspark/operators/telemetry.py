@@ -7,18 +7,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numbers import half_up
 from ..plans import Lag, RowNumber, RunningSum, Timeline
-
-PERCENTILE_ACCURACY = 10_000
+from ..plans.skew import same_key
 
 
 def normalize_trace(page: DataFrame, worker: DataFrame, starts: DataFrame, session: str) -> DataFrame:
     """E1. Events of both realms on the session's clock (``time_ms``, three decimals), numbered in time order.
 
-    Both have (session, kind, epoch_ms, arrival_no, ...); ``starts`` has (session, started_ms).
+    Both have (session, kind, epoch_ms, arrival_no, ...); ``starts`` has (session, started_ms). Events of a session without a
+    start have no time and come in the order of arrival.
     """
     both = page.withColumn("realm", F.lit("page")).unionByName(
         worker.withColumn("realm", F.lit("worker")), allowMissingColumns=True)
-    timed = both.join(starts.select(session, "started_ms"), session).withColumn(
+    timed = both.join(starts.select(session, "started_ms"), session, "left").withColumn(
         "time_us", half_up((F.col("epoch_ms") - F.col("started_ms")) * 1000))
     ordered = Timeline(timed, session, ["time_us", "arrival_no"]).scan(event_no=RowNumber()).df
     return ordered.withColumn("time_ms", F.col("time_us") / 1000).drop("time_us", "started_ms")
@@ -50,14 +50,38 @@ def event_summary(
 ) -> DataFrame:
     """E3. Events and waits per group and time window, tumbling or sliding; waits in whole microseconds.
 
-    Percentiles are approximate at ``1 / PERCENTILE_ACCURACY`` of a group's size, with bounded memory per group.
+    Percentiles are exact, see :func:`exact_percentiles`.
     """
     starts = window_starts(F.col(at), width_us, slide_us or width_us)
     spread = events.select(*group, wait, F.explode(starts).alias("window_us"))
-    return spread.groupBy(*group, "window_us").agg(
-        F.count(F.lit(1)).alias("events"), F.sum(wait).alias("wait_sum_us"), F.avg(wait).alias("wait_mean_us"),
-        F.max(wait).alias("wait_max_us"),
-        *[F.percentile_approx(wait, p, PERCENTILE_ACCURACY).alias(f"wait_p{round(p * 100)}_us") for p in percentiles])
+    key = [*group, "window_us"]
+    counted = spread.groupBy(*key, wait).agg(F.count(F.lit(1)).alias("__times"))
+    weight = F.col("__times")
+    known = F.sum(F.when(F.col(wait).isNotNull(), weight))
+    totals = counted.groupBy(*key).agg(
+        F.sum(weight).alias("events"), F.sum(F.col(wait) * weight).alias("wait_sum_us"),
+        (F.sum(F.col(wait) * weight).cast("double") / known).alias("wait_mean_us"), F.max(wait).alias("wait_max_us"))
+    return _with_percentiles(totals, counted, key, wait, {f"wait_p{round(p * 100)}_us": p for p in percentiles})
+
+
+def exact_percentiles(counted: DataFrame, key: list[str], value: str, names: dict[str, float]) -> DataFrame:
+    """Per key the least value that at least a share of the known values do not exceed, one column per named share.
+
+    ``counted`` has each distinct value of a key once, with ``__times``. A running count over values finds it, so no
+    key's values are ever held together, however many they are.
+    """
+    known = counted.where(F.col(value).isNotNull()).select(*key, value, "__times")
+    sizes = known.groupBy(*key).agg(F.sum("__times").alias("__size")).select(
+        *[F.col(name).alias(f"__of_{name}") for name in key], "__size")
+    reached = Timeline(known, key, value).scan(__reach=RunningSum("__times")).df.join(sizes, same_key(key, "__of_"))
+    return reached.groupBy(*key).agg(*[
+        F.min(F.when(F.col("__reach") >= F.ceil(F.col("__size") * share), F.col(value))).alias(name) for name, share in names.items()])
+
+
+def _with_percentiles(totals: DataFrame, counted: DataFrame, key: list[str], value: str, names: dict[str, float]) -> DataFrame:
+    found = exact_percentiles(counted, key, value, names)
+    found = found.select(*[F.col(name).alias(f"__p_{name}") for name in key], *names)
+    return totals.join(found, same_key(key, "__p_"), "left").select(*totals.columns, *names)
 
 
 def play_sessions(events: DataFrame, key, at: str, seq: str, gap_us: int, wait: str, is_drop: Column) -> DataFrame:
@@ -84,15 +108,17 @@ def stage_latency(events: DataFrame, key: list[str], kind: str, at: str, stages:
 
 
 def stage_latency_summary(latencies: DataFrame, stages: list[str], percentiles=(0.5, 0.95)) -> DataFrame:
-    """E6. Frames, mean and percentiles per stage."""
+    """E6. Frames, mean and exact percentiles per stage."""
     names = [f"{stage.replace('-', '_')}_us" for stage in stages[1:]]
     long = latencies.select(F.explode(F.array(*[
         F.struct(F.lit(stage).alias("stage"), F.col(name).alias("latency_us")) for stage, name in zip(stages[1:], names)
     ])).alias("__s")).select("__s.*")
-    return long.groupBy("stage").agg(
-        F.count("latency_us").alias("frames"), F.count_if(F.col("latency_us").isNull()).alias("incomplete"),
-        F.avg("latency_us").alias("mean_us"),
-        *[F.percentile_approx("latency_us", p, PERCENTILE_ACCURACY).alias(f"p{round(p * 100)}_us") for p in percentiles])
+    counted = long.groupBy("stage", "latency_us").agg(F.count(F.lit(1)).alias("__times"))
+    known = F.coalesce(F.sum(F.when(F.col("latency_us").isNotNull(), F.col("__times"))), F.lit(0))
+    totals = counted.groupBy("stage").agg(
+        known.alias("frames"), F.coalesce(F.sum(F.when(F.col("latency_us").isNull(), F.col("__times"))), F.lit(0)).alias("incomplete"),
+        F.try_divide(F.sum(F.col("latency_us") * F.col("__times")).cast("double"), known.cast("double")).alias("mean_us"))
+    return _with_percentiles(totals, counted, ["stage"], "latency_us", {f"p{round(p * 100)}_us": p for p in percentiles})
 
 
 def counter_deltas(reports: DataFrame, session, generation: str, seq: str, counters: list[str]) -> DataFrame:

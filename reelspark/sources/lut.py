@@ -33,7 +33,7 @@ def lut_headers(luts: DataFrame, lut: str, text: str) -> DataFrame:
         return F.col("__keyword") == name
 
     argument = F.element_at("__words", 2)
-    triple = _triple(F.slice("__words", 2, 1_000))
+    triple = _triple(F.slice("__words", 2, F.size("__words")))
     size = F.when(F.size("__words") == 2, argument.try_cast("int"))
     row = F.col("__keyword").isNull()
     problem = (
