@@ -88,46 +88,47 @@ def in_flight_peaks(swept: DataFrame, page: str) -> DataFrame:
 
 
 class QuarantineFold(Fold):
-    """V5. State: blocked steps, suspects, bisect (null or [culprit found, bytes, decoders]), ceiling."""
+    """V5. State: blocked steps, suspects, the least an unexplained crash held (null when none is open), whether a
+    culprit of it is known, and the ceiling.
+
+    A record is told as events on sets: steps that are proven (open alone at a crash), cleared (resolved) or suspected (open with
+    others). Proven and cleared steps leave the suspects; when the last one leaves, the open crash is settled.
+    """
 
     inputs = ["kind", "steps", "bytes", "decoders"]
     schema = ("blocked array<string>, suspects array<string>, bisecting boolean, "
               "ceiling_bytes bigint, ceiling_decoders bigint")
 
     def initial(self):
-        return [[], [], None, [None, None]]
+        return {"blocked": [], "suspects": [], "held": None, "explained": False, "ceiling": [None, None]}
 
     def step(self, state, row):
-        blocked, suspects, bisect, ceiling = state
-        kind, steps, held_bytes, held_decoders = row
-        steps = sorted(set(steps or []))
-        if kind == "resolved":
-            if steps and steps[0] in suspects:
-                suspects = [step for step in suspects if step != steps[0]]
-                bisect, ceiling = self._settle(suspects, bisect, ceiling)
-        elif len(steps) == 1:
-            blocked = sorted({*blocked, steps[0]})
-            if steps[0] in suspects:
-                suspects = [step for step in suspects if step != steps[0]]
-                bisect = [True, *bisect[1:]] if bisect else None
-                bisect, ceiling = self._settle(suspects, bisect, ceiling)
-        else:
-            fresh = [step for step in steps if step not in blocked]
-            if fresh:
-                open_bisect = bisect is not None and not bisect[0]
-                bisect = [False, min(bisect[1], held_bytes) if open_bisect else held_bytes,
-                          min(bisect[2], held_decoders) if open_bisect else held_decoders]
-                suspects = sorted({*suspects, *fresh})
-        return [blocked, suspects, bisect, ceiling], (blocked, suspects, bisect is not None, *ceiling)
+        kind, steps, *held = row
+        steps, blocked, suspects = set(steps or ()), set(state["blocked"]), set(state["suspects"])
+        proven = steps if kind != "resolved" and len(steps) == 1 else set()
+        cleared = {min(steps)} if kind == "resolved" and steps else set()
+        suspected = set() if kind == "resolved" or proven else steps - blocked
+        explained = state["explained"] or bool(proven & suspects)
+        leaving = (proven | cleared) & suspects
+        ceiling, open_held = state["ceiling"], state["held"]
+        if suspected:
+            # A crash whose culprit is known no longer counts; an unexplained one joins with the new one
+            open_held = held if open_held is None or state["explained"] else [min(pair) for pair in zip(open_held, held)]
+            explained = False
+        elif leaving and leaving == suspects and open_held is not None:
+            if not explained:
+                ceiling = [self._lower(cap, total) for cap, total in zip(ceiling, open_held)]
+            open_held = None
+        blocked |= proven
+        suspects = (suspects | suspected) - leaving
+        state = {"blocked": sorted(blocked), "suspects": sorted(suspects), "held": open_held,
+                 "explained": explained and open_held is not None, "ceiling": ceiling}
+        return state, (state["blocked"], state["suspects"], open_held is not None, *ceiling)
 
     @staticmethod
-    def _settle(suspects, bisect, ceiling):
-        if bisect is None or suspects:
-            return bisect, ceiling
-        if not bisect[0]:
-            ceiling = [cap if total == 0 else total - 1 if cap is None else min(cap, total - 1)
-                       for total, cap in zip(bisect[1:], ceiling)]
-        return None, ceiling
+    def _lower(cap, total):
+        """Below what was held when it crashed; a total of zero says nothing."""
+        return cap if total == 0 else min(value for value in (cap, total - 1) if value is not None)
 
 
 def crash_records(calls: DataFrame, key, crash: str, step: str, bytes_: str, decoders: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Scans, as-of joins, interval joins and folds give the same result whether or not hot keys are split."""
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -105,3 +106,41 @@ def test_interval_join_matches_brute_force(spark):
     want = sorted((a[1], b[1]) for a in spans for b in spans if a[1] % 2 == 0 and b[1] % 2 == 1 and a[0] == b[0]
                   and a[2] < b[3] and b[2] < a[3] and a[2] < a[3] and b[2] < b[3])
     assert got == want and want
+
+
+def test_ties_and_frames_over_many_chunks(spark):
+    df = spark.range(3000).selectExpr("id % 2 AS k", "7 AS t", "pmod(hash(id), 100000) AS i", "id AS v")
+    scan = lambda: sorted(map(str, Timeline(df, "k", ["t", "i", "v"]).scan(
+        wide=Framed(lambda w: F.sum("v").over(w.rowsBetween(-150, 90)), 150, 90), total=RunningSum("v"), nxt=Lead("v")).df.collect()))
+    whole = scan()
+    exploded = df.withColumn("v", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    counted = lambda: Timeline(exploded, "k", ["t", "i", "v"]).scan(n=RowNumber()).df.groupBy("k").agg(F.max("n"), F.sum("n")).collect()
+    before = sorted(map(str, counted()))
+    spark.conf.set("spark.reelspark.hotKeyRows", "40")
+    try:
+        assert scan() == whole
+        assert sorted(map(str, counted())) == before
+    finally:
+        spark.conf.unset("spark.reelspark.hotKeyRows")
+
+
+def test_planning_a_timeline_starts_no_job(spark):
+    spark.sparkContext.setJobGroup("planning", "")
+    df = spark.range(1000).selectExpr("id % 3 AS k", "id AS t", "id AS v")
+    Timeline(df, "k", "t").scan(a=LastKnown("v"), b=NextKnown("v"), c=Framed(lambda w: F.sum("v").over(w.rowsBetween(-2, 0)), 2, 0))
+    asof_join(df, df.selectExpr("k", "t AS u"), "k", "t", "u", direction="forward")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("planning")) == 0
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_forward_scans_are_linear(spark):
+    df = spark.range(300_000).selectExpr("1 AS k", "id AS t", "CASE WHEN id % 100000 = 7 THEN id END AS v")
+
+    def seconds(scan):
+        began = time.perf_counter()
+        Timeline(df, "k", "t").scan(found=scan).df.write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    seconds(LastKnown("v"))
+    # Looking ahead row by row from each of 300,000 rows would take the better part of an hour
+    assert seconds(NextKnown("v")) < 5 * seconds(LastKnown("v")) + 5

@@ -2,7 +2,7 @@
 import random
 
 from reelspark.operators.audio import ReconcileFold
-from reelspark.operators.frames import CropFold, PeakFold
+from reelspark.operators.frames import PeakFold, crop_timeline
 from reelspark.operators.metadata import PairFold, pair_layers
 from reelspark.operators.packets import split_units
 from reelspark.operators.timing import FrameIntervalFold, RefreshIntervalFold
@@ -70,29 +70,36 @@ def frame(ts, shot, rows, columns=(1920, 0, 1919, 64, 64)):
     return (ts, shot, *rows, *columns)
 
 
-def test_crop_letterbox_at_once_and_subtitle_in_bar():
+def crops(spark, rows):
+    names = [f"{axis}_{part}" for axis in ("row", "column") for part in ("lines", "first_line", "last_line", "start_lit", "end_lit")]
+    schema = "stream int, n int, ts long, shot int, " + ", ".join(f"{name} int" for name in names)
+    frames = spark.createDataFrame([(1, n, *row) for n, row in enumerate(rows)], schema)
+    return [tuple(row)[2:] for row in crop_timeline(frames, "stream", "n", "ts", "shot").orderBy("n").collect()]
+
+
+def test_crop_letterbox_at_once_and_subtitle_in_bar(spark):
     letterbox, subtitle = (1080, 140, 939, 64, 64), (1080, 140, 1000, 64, 64)
-    found = run(CropFold("ts", "shot"), [
+    found = crops(spark, [
         frame(0, 1, letterbox), frame(40_000, 1, subtitle), frame(80_000, 1, letterbox), frame(120_000, 2, letterbox)])
     assert [row[0] for row in found] == [140, 79, 79, 79]
     assert [row[2] for row in found] == [True, True, False, False]
 
 
-def test_crop_needs_two_shots_without_symmetry_and_holds_before_cropping_again():
+def test_crop_needs_two_shots_without_symmetry_and_holds_before_cropping_again(spark):
     lopsided = (1080, 140, 979, 64, 10)
-    found = run(CropFold("ts", "shot"), [frame(0, 1, lopsided), frame(40_000, 1, lopsided), frame(80_000, 2, lopsided)])
+    found = crops(spark, [frame(0, 1, lopsided), frame(40_000, 1, lopsided), frame(80_000, 2, lopsided)])
     assert [row[0] for row in found] == [0, 0, 0]
     lopsided = (1080, 100, 979, 64, 10)
-    found = run(CropFold("ts", "shot"), [frame(0, 1, lopsided), frame(40_000, 1, lopsided), frame(80_000, 2, lopsided)])
+    found = crops(spark, [frame(0, 1, lopsided), frame(40_000, 1, lopsided), frame(80_000, 2, lopsided)])
     assert [row[0] for row in found] == [0, 0, 100]
     box, full = (1080, 140, 939, 64, 64), (1080, 0, 1079, 64, 64)
     rows = [frame(0, 1, box), frame(40_000, 1, full)] + [frame(80_000 + n * 200_000, 2 + n // 20, box) for n in range(200)]
-    found = [row[0] for row in run(CropFold("ts", "shot"), rows)]
+    found = [row[0] for row in crops(spark, rows)]
     first = found.index(140, 1)
     assert found[1] == 0 and rows[first][0] - rows[2][0] >= 30_000_000 and rows[first][1] != rows[first - 1][1]
     # Another size starts over, and a black frame changes nothing
     black = (1080, None, None, None, None)
-    found = run(CropFold("ts", "shot"), [frame(0, 1, box), frame(40_000, None, black), frame(80_000, 1, (720, 0, 719, 64, 64))])
+    found = crops(spark, [frame(0, 1, box), frame(40_000, None, black), frame(80_000, 1, (720, 0, 719, 64, 64))])
     assert [row[0] for row in found] == [140, 140, 0]
 
 
