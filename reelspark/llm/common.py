@@ -15,7 +15,7 @@ SLAB_BYTES = 1 << 20
 
 
 #: Rows and bytes of one Arrow batch: a Python worker holds a batch and what it makes of it
-BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 8 << 20
 
 
 def tune(spark: SparkSession) -> None:

@@ -61,7 +61,8 @@ def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: float, seed: int = 7) -> Model:
     """Train on bags of buckets with labels 0 and 1; ``share`` is the share of label 1 among all labelled rows.
 
-    Plain NumPy with per-bucket adaptive steps; the same input gives the same model.
+    Plain NumPy with per-bucket adaptive steps; the same input gives the same model. ``rows`` is emptied on the way, so that the
+    bags are held once.
     """
     random = np.random.default_rng(seed)
     count = len(rows)
@@ -79,7 +80,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, share: fl
     cost = np.where(labels == 1, share * count / ones, (1 - share) * count / max(1, count - ones)).astype(np.float32)
     second, slow = np.zeros(BUCKETS, np.float32), [np.zeros_like(soft), np.zeros_like(bias)]
     kept = []
-    for held, times in rows:
+    for number, (held, times) in enumerate(rows):
+        rows[number] = None
         strength = weight[held] * times
         used = strength > 0
         kept.append((held[used], strength[used] / max(strength[used].sum(), 1e-9)))
@@ -145,15 +147,17 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
                 batch.column(0), batch.column(1), pa.array([held.tobytes() for held, _ in bags], pa.binary()),
                 pa.array([times.tobytes() for _, times in bags], pa.binary())], ["id", "label", "held", "times"])
 
-    bags = chosen.mapInArrow(run, f"id {kind}, label int, held binary, times binary").toArrow().sort_by("id")
-    seen = labelled = None
-    rows, marks = [], []
-    for name, labelled, held, times in zip(*[bags.column(i).to_pylist() for i in range(4)]):
-        if name != seen:
-            rows.append((np.frombuffer(held, np.int32), np.frombuffer(times, np.int32)))
-            marks.append(labelled)
-        seen = name
-    marks = np.array(marks, np.int64)
+    bags = chosen.mapInArrow(run, f"id {kind}, label int, held binary, times binary").toArrow()
+    found = {}
+    for batch in bags.to_batches():
+        for name, label, held, times in zip(*[batch.column(i) for i in range(4)]):
+            # Of rows that repeat an id, one teaches
+            bag = held.as_py(), times.as_py()
+            if name.as_py() not in found or found[name.as_py()][1] > bag:
+                found[name.as_py()] = label.as_py(), bag
+    del bags
+    marks = np.array([found[name][0] for name in sorted(found)], np.int64)
+    rows = [tuple(np.frombuffer(part, np.int32) for part in found.pop(name)[1]) for name in sorted(found)]
     if len(set(marks.tolist())) < 2:
         flat = min(max(share or 0.0, 1e-6), 1 - 1e-6)
         return Model(np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32), float(np.log(flat / (1 - flat))))
