@@ -6,8 +6,9 @@ import xxhash
 
 import corpus_pipeline
 from oracle import DATA
-from reelspark.llm import toxicity
+from reelspark.llm import lines, toxicity
 from reelspark.llm.queries import fold, table
+from test_duplicates import within_one
 
 SF = f"{DATA}/sf0.001"
 
@@ -26,14 +27,23 @@ def test_stages(spark):
     assert set(after) == set(before) - bad
     before, after = rows["line dedup"]
     assert set(before) == set(after) and all(r.n_chars == len(r.text) for r in after.values())
-    seen = set()
+    first = {}
     for i in sorted(before):
-        kept = after[i].text.split("\n")
-        for line in before[i].text.split("\n"):
-            words = tuple(line.split())
-            if words and words in seen:
-                assert words not in {tuple(k.split()) for k in kept}
-            seen.add(words)
+        for n, line in enumerate(before[i].text.split("\n")):
+            if words := tuple(line.encode().split()):
+                first.setdefault(words, (i, n))
+    earliest, by_size = dict(first), {}
+    for words in first:
+        by_size.setdefault(len(words), []).append(words)
+    for size in (size for size in by_size if size >= lines.FUZZY_WORDS):
+        for x in by_size[size]:
+            for y in by_size[size] + by_size.get(size + 1, []):
+                if x != y and within_one(x, y):
+                    earliest[x], earliest[y] = min(earliest[x], first[y]), min(earliest[y], first[x])
+    for i in before:
+        assert after[i].text == "\n".join(
+            line for n, line in enumerate(before[i].text.split("\n"))
+            if not (words := tuple(line.encode().split())) or earliest[words] >= (i, n))
     before, after = rows["SimHash near-dedup"]
     prints = {}
     for i, row in before.items():
