@@ -8,13 +8,14 @@ from .tables import EVENTS, events, query
 def _layers(load):
     ev = events(load)
     base = ev.select("user_id", F.col("event_id").alias("base_seq"), F.col("us").alias("base_ts"))
-    enh = ev.where("k % 4 <> 0").select(
-        "user_id", F.col("event_id").alias("enh_seq"), (F.col("us") + F.col("k") % 5 - 2).alias("enh_ts"))
+    # Every fourth kind is off by more than the tolerance, so its base frame has no partner
+    off = F.when(F.col("k") % 4 == 0, 100).otherwise(0)
+    enh = ev.select("user_id", F.col("event_id").alias("enh_seq"), (F.col("us") + F.col("k") % 5 - 2 + off).alias("enh_ts"))
     return base, enh
 
 
 @query("pair_layers", f"""WITH {EVENTS},
-en AS (SELECT user_id, event_id AS enh_no, us + k % 5 - 2 AS enh_us FROM ev WHERE k % 4 <> 0),
+en AS (SELECT user_id, event_id AS enh_no, us + k % 5 - 2 + CASE WHEN k % 4 = 0 THEN 100 ELSE 0 END AS enh_us FROM ev),
 pr AS (SELECT b.user_id, b.event_id AS base_no, b.us AS base_us, e.enh_no, e.enh_us FROM ev b
   FULL JOIN en e ON b.user_id = e.user_id AND b.event_id = e.enh_no AND abs(b.us - e.enh_us) <= 1)
 SELECT coalesce(p.user_id, e.user_id) AS user_id, base_no, base_us, p.enh_no, p.enh_us,
@@ -30,14 +31,14 @@ def pair_layers_crowded(load):
     """Frames 41 ms apart beside frames that drift against them, within a tolerance that reaches several."""
     ev = events(load).withColumn("stream_id", F.expr("event_id div 500")).withColumn("n", F.col("event_id") % 500)
     base = ev.select("stream_id", F.col("n").alias("base_seq"), (F.col("n") * 41_000).alias("base_ts"))
-    enh = ev.where("k % 6 <> 0").select(
-        "stream_id", F.col("n").alias("enh_seq"), (F.col("n") * 41_300 + F.col("k") * 10).alias("enh_ts"))
+    off = F.when(F.col("k") % 6 == 0, 1_000_000_000).otherwise(0)
+    enh = ev.select("stream_id", F.col("n").alias("enh_seq"), (F.col("n") * 41_300 + F.col("k") * 10 + off).alias("enh_ts"))
     return op.pair_layers(base, enh, "stream_id", "base_seq", "base_ts", "enh_seq", "enh_ts", tolerance=50_000)
 
 
 @query("align_layers", f"""WITH {EVENTS},
 b AS (SELECT user_id, event_id AS base_no, us AS base_us, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS ordinal FROM ev),
-e AS (SELECT user_id, event_id AS enh_no, us + k % 5 - 2 AS enh_us, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS ordinal FROM ev WHERE k % 4 <> 0)
+e AS (SELECT user_id, event_id AS enh_no, us + k % 5 - 2 + CASE WHEN k % 4 = 0 THEN 100 ELSE 0 END AS enh_us, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS ordinal FROM ev)
 SELECT b.user_id, b.ordinal, base_no, base_us, enh_no, enh_us, coalesce(abs(enh_us - base_us) > 1, false) AS misaligned
 FROM b LEFT JOIN e ON b.user_id = e.user_id AND b.ordinal = e.ordinal""")
 def align_layers(load):
@@ -103,7 +104,8 @@ pk AS (SELECT user_id, event_id, us // 7200000000 AS ts, CASE event_type WHEN 's
 sg AS (SELECT *, count(*) FILTER (status IN ('valid', 'conflicting', 'unsupported')) OVER (PARTITION BY user_id ORDER BY event_id) AS seg FROM pk),
 hl AS (SELECT *, max(CASE WHEN status = 'valid' THEN payload END) OVER (PARTITION BY user_id, seg) AS held,
   row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id) AS ordinal FROM sg),
-fr AS (SELECT user_id, us // 7200000000 AS ts, event_id AS frame_no, row_number() OVER (PARTITION BY user_id, us // 7200000000 ORDER BY event_id) AS ordinal FROM ev WHERE k % 7 <> 0)
+fr AS (SELECT *, row_number() OVER (PARTITION BY user_id, ts ORDER BY frame_no) AS ordinal FROM (
+  SELECT user_id, us // 7200000000 + CASE WHEN k % 7 = 0 THEN 1000000 ELSE 0 END AS ts, event_id AS frame_no FROM ev))
 SELECT coalesce(h.user_id, f.user_id) AS user_id, coalesce(h.ts, f.ts) AS ts, coalesce(h.ordinal, f.ordinal) AS ordinal, h.event_id AS packet_no, held AS payload, frame_no,
   CASE WHEN h.event_id IS NULL THEN 'frame-only' WHEN frame_no IS NULL THEN 'packet-only' ELSE 'matched' END AS match
 FROM hl h FULL JOIN fr f ON h.user_id = f.user_id AND h.ts = f.ts AND h.ordinal = f.ordinal""")
@@ -112,7 +114,7 @@ def carry_metadata(load):
     packets = ev.selectExpr(
         "user_id", "event_id", "ts", """CASE event_type WHEN 'signup' THEN 'valid' WHEN 'error' THEN 'conflicting'
         WHEN 'purchase' THEN 'unsupported' WHEN 'view' THEN 'malformed' ELSE 'absent' END AS status""", "concat('p', k) AS payload")
-    frames = ev.where("k % 7 <> 0").select("user_id", "ts", F.col("event_id").alias("frame_id"))
+    frames = ev.select("user_id", (F.col("ts") + F.when(F.col("k") % 7 == 0, 1_000_000).otherwise(0)).alias("ts"), F.col("event_id").alias("frame_id"))
     return op.carry_metadata(packets, frames, "user_id", "event_id", "ts", "status", "payload", "frame_id")
 
 

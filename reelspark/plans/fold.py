@@ -95,9 +95,9 @@ def fold(df: DataFrame, key, order, rule: Fold) -> DataFrame:
         laid_out = narrow.repartition(*key).sortWithinPartitions(*key, *order)
         return laid_out.mapInArrow(lambda batches: run_sorted(batches, rule, key, carried, arrow_schema), schema)
 
-    if narrow.isStreaming:
-        return laid_out_plainly()
     chunks = find_chunks(narrow, key, order)
+    if not chunks:
+        return laid_out_plainly()
     # One row for each key that is cut, of which there are fewer than the rows by the factor of the chunk size
     counts = {tuple(row[:-1]): row[-1] for row in chunks.cuts.select(
         *chunks.hot_names(), F.aggregate("__cuts", F.lit(0), lambda total, part: total + F.size(part))).collect()}
