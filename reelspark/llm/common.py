@@ -34,11 +34,11 @@ class Scratch:
         self.folder = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._step = 0
 
-    def keep(self, df: DataFrame, name: str = "table") -> DataFrame:
+    def keep(self, df: DataFrame, name: str = "table", compression: str | None = None) -> DataFrame:
         """Write ``df`` and read it back: its lineage ends in files that every executor can reach."""
         self._step += 1
         path = f"{self.folder}/{self._step:03d}-{name}"
-        df.write.parquet(path)
+        df.write.parquet(path, compression=compression)
         return self.spark.read.schema(df.schema).parquet(path)
 
 

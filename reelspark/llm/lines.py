@@ -68,12 +68,12 @@ def _lines_of(texts: pa.Array):
 
 
 def _spread_lines(docs: DataFrame, kind: str) -> DataFrame:
-    """One row per line that has words: id, line number, 128-bit hash of its words and its half keys."""
+    """One row per line that has words: id, twin, line number, 128-bit hash of its words and its half keys."""
 
     def run(batches):
         for batch in batches:
             owner, number, digest, keys = [], [], [], []
-            for row, lines in enumerate(_lines_of(batch.column(1))):
+            for row, lines in enumerate(_lines_of(batch.column(2))):
                 for at, words in enumerate(lines):
                     if words:
                         owner.append(row)
@@ -81,11 +81,12 @@ def _spread_lines(docs: DataFrame, kind: str) -> DataFrame:
                         digest.append(xxhash.xxh3_128_digest(b" ".join(words)))
                         keys.append(half_keys(words))
             line = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+            owner = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(pa.array(owner, pa.int64())), pa.array(number, pa.int32()), pa.array(line[:, 0]), pa.array(line[:, 1]),
-                pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "la", "lb", "keys"])
+                batch.column(0).take(owner), batch.column(1).take(owner), pa.array(number, pa.int32()), pa.array(line[:, 0]),
+                pa.array(line[:, 1]), pa.array(keys, pa.list_(pa.int64()))], ["id", "twin", "n", "la", "lb", "keys"])
 
-    return docs.mapInArrow(run, f"id {kind}, n int, la bigint, lb bigint, keys array<bigint>")
+    return docs.mapInArrow(run, f"id {kind}, twin bigint, n int, la bigint, lb bigint, keys array<bigint>")
 
 
 def _packed(docs: DataFrame, kind: str) -> DataFrame:
@@ -94,12 +95,12 @@ def _packed(docs: DataFrame, kind: str) -> DataFrame:
     def run(batches):
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
+            data, offsets = text_bytes(batch.column(2))
             raw = data.tobytes()
             packed = [pack(raw[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["id", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["id", "twin", "packed"])
 
-    return docs.mapInArrow(run, f"id {kind}, packed binary")
+    return docs.mapInArrow(run, f"id {kind}, twin bigint, packed binary")
 
 
 def _edit_rows(held: DataFrame, kind: str) -> DataFrame:
@@ -113,16 +114,16 @@ def _edit_rows(held: DataFrame, kind: str) -> DataFrame:
             def done():
                 joined = np.concatenate(keys, axis=1)
                 counts = [len(role) for role in roles]
+                owner = pa.array(np.repeat(rows, counts))
                 return pa.RecordBatch.from_arrays([
-                    pa.array(joined[0]), pa.array(joined[1]), pa.array(np.concatenate(roles)),
-                    batch.column(0).take(pa.array(np.repeat(rows, counts))), pa.array(np.repeat(places, counts).astype(np.int32))],
-                    ["a", "b", "role", "id", "n"])
+                    pa.array(joined[0]), pa.array(joined[1]), pa.array(np.concatenate(roles)), batch.column(0).take(owner),
+                    batch.column(1).take(owner), pa.array(np.repeat(places, counts).astype(np.int32))],
+                    ["a", "b", "role", "id", "twin", "n"])
 
             for row in range(batch.num_rows):
-                split = unpack(batch.column(1)[row].as_py()).split(b"\n")
-                for n in batch.column(2)[row].as_py():
-                    # Where an id is repeated, a line number may be another row's
-                    words = split[n].split() if n < len(split) else []
+                split = unpack(batch.column(2)[row].as_py()).split(b"\n")
+                for n in batch.column(3)[row].as_py():
+                    words = split[n].split()
                     if len(words) < FUZZY_WORDS:
                         continue
                     found, role = edit_keys(words)
@@ -137,21 +138,33 @@ def _edit_rows(held: DataFrame, kind: str) -> DataFrame:
             if keys:
                 yield done()
 
-    return held.mapInArrow(run, f"a bigint, b bigint, role byte, id {kind}, n int")
+    return held.mapInArrow(run, f"a bigint, b bigint, role byte, id {kind}, twin bigint, n int")
+
+
+def _numbered(docs: DataFrame, scratch: Scratch, id_column: str, text_column: str) -> DataFrame:
+    """``docs``, written once, with ``__twin``: with the id it names a document. Of a null id it is the row's number."""
+    twin = F.when(quoted(id_column).isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64(quoted(text_column)))
+    return scratch.keep(docs.withColumn("__twin", twin), "documents", compression="zstd")
 
 
 def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``id`` and ``drop``: the numbers (from 0) of each document's lines of which an equal or close line lies earlier.
 
-    Earlier means a smaller id, or the same id and a smaller line number; null ids come last. Lines are judged on the
-    input, not on what is left. Lines are equal if their words are, and close within one edit if both have at least
-    ``FUZZY_WORDS`` words. Blank lines are never dropped. Rows that repeat an id share places: what is dropped in one is dropped in
-    the other. Documents that lose nothing have no row.
+    Earlier means a smaller id, then an earlier document of the same id, then a smaller line number; null ids come last. Lines are
+    judged on the input, not on what is left. Lines are equal if their words are, and close within one edit if both have at
+    least ``FUZZY_WORDS`` words. Blank lines are never dropped. Rows with a null id are a document each, in the order they were written;
+    so are rows that repeat an id with another text, in the order of a hash of it. Rows that repeat both id and text are one
+    document and keep the same lines. Documents that lose nothing have no row.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    narrow = docs.select(quoted(id_column).alias("id"), quoted(text_column).alias("text")).where("text IS NOT NULL")
+    return _repeated(_numbered(docs, scratch, id_column, text_column), scratch, id_column, text_column).select("id", "drop")
+
+
+def _repeated(numbered: DataFrame, scratch: Scratch, id_column: str, text_column: str) -> DataFrame:
+    """``id``, ``twin`` and ``drop`` of each document that loses lines."""
+    narrow = numbered.select(quoted(id_column).alias("id"), F.col("__twin").alias("twin"), quoted(text_column).alias("text")).where("text IS NOT NULL")
     kind = narrow.schema["id"].dataType.simpleString()
-    place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("n"))
+    place = F.struct(F.col("id").isNull().alias("no_id"), F.col("id"), F.col("twin"), F.col("n"))
     lines = scratch.keep(_spread_lines(narrow, kind), "lines")
     known = scratch.keep(lines.groupBy("la", "lb").agg(F.min(place).alias("first"), F.any_value("keys").alias("keys")), "distinct")
     halves = known.where(F.size("keys") > 0).select("la", "lb", F.explode("keys").alias("key"))
@@ -159,9 +172,11 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     partners = scratch.keep(halves.join(shared, "key").select("la", "lb").distinct(), "partners")
     # The words of a line are read where it first occurs
     wanted = known.select("la", "lb", "first").join(broadcast_if_small(partners), ["la", "lb"], "left_semi")
-    wanted = scratch.keep(wanted.groupBy(F.col("first.id").alias("__id")).agg(F.sort_array(F.collect_list("first.n")).alias("numbers")), "wanted")
-    held = _packed(narrow, kind).join(broadcast_if_small(wanted, values="numbers"), F.col("id").eqNullSafe(F.col("__id")))
-    edits = scratch.keep(_edit_rows(held.select("id", "packed", "numbers"), kind), "edits")
+    wanted = scratch.keep(wanted.groupBy(F.col("first.id").alias("__id"), F.col("first.twin").alias("__twin")).agg(
+        F.sort_array(F.collect_list("first.n")).alias("numbers")), "wanted")
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("twin") == F.col("__twin"))
+    held = _packed(narrow, kind).join(broadcast_if_small(wanted, values="numbers"), same)
+    edits = scratch.keep(_edit_rows(held.select("id", "twin", "packed", "numbers"), kind), "edits")
     # Nearly all keys are of one line: they go before anything is gathered
     met = edits.groupBy("a").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("a")
     edits = scratch.keep(edits.join(met, "a"), "met").withColumn("place", place)
@@ -173,7 +188,7 @@ def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str
     earliest = known.join(broadcast_if_small(close), F.col("first") == F.col("__place"), "left").select(
         "la", "lb", F.least("first", "close").alias("earliest"))
     return (
-        lines.select("id", "n", "la", "lb").join(earliest, ["la", "lb"]).where(place > F.col("earliest")).groupBy("id")
+        lines.select("id", "twin", "n", "la", "lb").join(earliest, ["la", "lb"]).where(place > F.col("earliest")).groupBy("id", "twin")
         .agg(F.sort_array(F.collect_set("n")).alias("drop"))
     )
 
@@ -184,13 +199,16 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     A text that loses all its lines becomes empty; null texts stay null. ``length_column`` is set to the new
     number of characters if given.
     """
-    drops = Scratch(docs.sparkSession, "lines").keep(repeated_lines(docs, id_column, text_column), "drops")
-    drops = drops.select(F.col("id").alias("__id"), F.col("drop").alias("__drop"))
-    joined = docs.join(broadcast_if_small(drops, values="__drop"), quoted(id_column).eqNullSafe(F.col("__id")), "left")
+    scratch = Scratch(docs.sparkSession, "lines")
+    numbered = _numbered(docs, scratch, id_column, text_column)
+    drops = scratch.keep(_repeated(numbered, scratch, id_column, text_column), "drops")
+    drops = drops.select(F.col("id").alias("__id"), F.col("twin").alias("__of"), F.col("drop").alias("__drop"))
+    same = quoted(id_column).eqNullSafe(F.col("__id")) & (F.col("__twin") == F.col("__of"))
+    joined = numbered.join(broadcast_if_small(drops, values="__drop"), same, "left")
     left = F.array_join(F.filter(
         F.split(quoted(text_column), "\n", -1), lambda line, at: ~F.array_contains(F.col("__drop"), at.cast("int"))), "\n")
     text = F.when(F.col("__drop").isNull(), quoted(text_column)).otherwise(left)
-    out = joined.withColumn(text_column, text).drop("__id", "__drop")
+    out = joined.withColumn(text_column, text).drop("__id", "__of", "__twin", "__drop")
     if length_column:
         out = out.withColumn(length_column, F.length(quoted(text_column)).cast(docs.schema[length_column].dataType))
     return out.select(*[quoted(name) for name in docs.columns])

@@ -190,6 +190,18 @@ def test_lines_edges(spark):
     assert got == [(False, 2, "same\n"), (False, 2, "same\n"), (False, 5, ""), (True, 0, "own")]
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    near = "one two three four five six seven eight {}"
+    rows = [
+        (None, "a\nb\nc\na"), (None, "d\ne\nf\ng"), (None, "h\na\ni\n" + near.format("x")), (None, "j\nk\nl\nm"), (None, "same\nn"), (None, "same\no"),
+        (7, "p\nq\np"), (7, "r\ns\nt"), (7, "u\nv\n" + near.format("y"))]
+    out = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    kept = [(r.doc_id, line) for r in out.collect() for line in r.text.split("\n")]
+    # Of each line one is left, at the smallest id; every clean line stays
+    assert sorted(line for _, line in kept) == sorted([*"abcdefghijklmnopqrstuv", "same", near.format("y")])
+    assert out.count() == len(rows) and (7, near.format("y")) in kept
+
+
 def test_suffix_arrays_match_sorting():
     rng = np.random.default_rng(1)
     for turn in range(200):
