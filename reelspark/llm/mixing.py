@@ -58,20 +58,22 @@ def source_targets(sizes: DataFrame, weights: list[int], repeats: int) -> DataFr
 
 def mix(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", *,
-    weights: list[int] = (5, 2, 1), repeats: int = 3, seed: str = "mix",
+    weights: list[int] = (5, 2, 1), repeats: int = 3, seed: str = "mix", row_column: str | None = None,
 ) -> DataFrame:
     """Per row: ``id``, ``source``, ``size``, ``source_size``, ``target``, ``copies`` (0 to ``repeats``) and ``taken``.
 
     Sources take the weights in code-point order, null last, over and over. The budget is the number of words of all
     documents. The shuffle orders a source by MD5 of the seed and the id, so a run on the same rows gives the same mix.
     Null and empty texts have size 0 and are never taken; null sources are a source; a null id has its own place in the
-    shuffle. Repeated rows are separate documents that lie side by side. An empty table gives no rows.
+    shuffle. Repeated rows are separate documents that lie side by side. An empty table gives no rows. ``row_column``, a
+    number that differs in every row, comes back as ``row`` if given.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(quoted(id_column).cast("string"), F.lit("null"))))
     rows = scratch.keep(docs.select(
         quoted(id_column).alias("id"), quoted(source_column).cast("string").alias("source"),
-        word_count(quoted(text_column)).alias("size"), digest.alias("digest")), "sizes")
+        word_count(quoted(text_column)).alias("size"), digest.alias("digest"), *([quoted(row_column).alias("row")] if row_column else [])), "sizes")
+    row = ["row"] if row_column else []
     counted = rows.count()
     targets = scratch.keep(source_targets(rows, list(weights), repeats), "targets")
     # A range of a source is named by the digest's first bits, enough for RANGE_ROWS rows to a range if all rows are one source's
@@ -100,12 +102,12 @@ def mix(
         F.count(F.lit(1)).alias("copies"))
     listed = _null_safe(rows, targets, ["source"])
     twins = Window.partitionBy("digest", "source_rank", "size")
-    numbered = listed.select("*", F.count(F.lit(1)).over(twins).alias("twins"), F.row_number().over(twins.orderBy("id")).alias("twin"))
+    numbered = listed.select("*", F.count(F.lit(1)).over(twins).alias("twins"), F.row_number().over(twins.orderBy("id", *row)).alias("twin"))
     joined = numbered.join(
         taken, (F.col("digest") == F.col("__digest")) & (F.col("source_rank") == F.col("__rank")) & (F.col("size") == F.col("__size")), "left")
     share = F.coalesce(F.floor((F.col("copies") + F.col("twins") - F.col("twin")) / F.col("twins")), F.lit(0)).cast("bigint")
     return joined.select(
-        "id", "source", "size", "source_size", "target", share.alias("copies"), (share * F.col("size")).alias("taken"))
+        "id", "source", "size", "source_size", "target", share.alias("copies"), (share * F.col("size")).alias("taken"), *row)
 
 
 def _sums_before(ranges: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -126,8 +128,10 @@ def _null_safe(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
 def take_mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
     """The documents of the mix: the columns of ``docs`` and ``mix_copies``, how often the mix takes the row.
 
-    Rows that repeat an id go by the most copies of any of them.
+    Rows with a null or repeated id each have their own copies.
     """
-    mixed = mix(docs, id_column, text_column, source_column, **options).where("copies > 0")
-    chosen = mixed.groupBy(F.col("id").alias("__id")).agg(F.max("copies").alias("mix_copies"))
-    return docs.join(chosen, quoted(id_column).eqNullSafe(F.col("__id"))).drop("__id")
+    scratch = Scratch(docs.sparkSession, "mixing")
+    numbered = scratch.keep(docs.withColumn("__row", F.monotonically_increasing_id()), "documents", compression="zstd")
+    mixed = mix(numbered, id_column, text_column, source_column, row_column="__row", **options).where("copies > 0")
+    chosen = mixed.select(F.col("row").alias("__taken"), F.col("copies").alias("mix_copies"))
+    return numbered.join(chosen, F.col("__row") == F.col("__taken")).drop("__row", "__taken")

@@ -171,6 +171,12 @@ def simhash_groups(
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     rows = scratch.keep(fingerprints(docs, id_column, text_column, words), "fingerprints")
+    mapping = _components(rows, scratch, distance, blocks)
+    return rows.join(mapping, rows.fingerprint == mapping.print).select("id", "fingerprint", "component")
+
+
+def _components(rows: DataFrame, scratch: Scratch, distance: int, blocks: int | None) -> DataFrame:
+    """The smallest id (``component``) of the group of each fingerprint (``print``)."""
     prints = scratch.keep(rows.groupBy("fingerprint").agg(F.min("id").alias("first")), "distinct")
     if blocks is None:
         blocks = block_count(prints.count(), distance)
@@ -179,13 +185,17 @@ def simhash_groups(
     named = prints.join(members, prints.fingerprint == members.node, "left").select(
         "fingerprint", "first", F.coalesce("component", "fingerprint").alias("root"))
     firsts = named.groupBy("root").agg(F.min("first").alias("component"))
-    mapping = scratch.keep(named.join(firsts, "root").select(F.col("fingerprint").alias("print"), "component"), "mapping")
-    return rows.join(mapping, rows.fingerprint == mapping.print).select("id", "fingerprint", "component")
+    return scratch.keep(named.join(firsts, "root").select(F.col("fingerprint").alias("print"), "component"), "mapping")
 
 
-def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each group: that of the smallest id. Rows with a null id are kept, and so are repeated
-    rows of the smallest id."""
-    groups = simhash_groups(docs, id_column, text_column, **options)
-    losers = groups.where("id <> component").select(F.col("id").alias("__dropped")).distinct()
-    return docs.join(losers, quoted(id_column) == F.col("__dropped"), "left_anti")
+def keep_first(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, distance: int = 4, words: int = 4, blocks: int | None = None,
+) -> DataFrame:
+    """``docs`` with exactly one row of each group: that of the smallest id, null last, and of equal ids the first as written."""
+    scratch = Scratch(docs.sparkSession, "simhash")
+    numbered = scratch.keep(docs.withColumn("__row", F.monotonically_increasing_id()), "documents", compression="zstd")
+    named = numbered.select(F.struct(quoted(id_column).isNull().alias("no_id"), quoted(id_column).alias("id"), F.col("__row").alias("row")).alias("id"),
+                            quoted(text_column).alias("text"))
+    rows = scratch.keep(fingerprints(named, "id", "text", words), "fingerprints")
+    firsts = _components(rows, scratch, distance, blocks).select(F.col("component.row").alias("__first")).distinct()
+    return numbered.join(firsts, F.col("__row") == F.col("__first"), "left_semi").drop("__row")

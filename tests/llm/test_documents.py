@@ -221,6 +221,15 @@ def test_mix(spark):
     assert mixing.mix(spark.createDataFrame([(1, "", None)], schema)).first().taken == 0
 
 
+def test_a_taken_row_has_its_own_copies(spark):
+    rows = [(None if i % 3 else i % 8, "w " * (i % 7), "abc"[i % 3]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = sorted((str(r.id), r.source, r.size, r.copies) for r in mixing.mix(docs).collect() if r.copies)
+    taken = mixing.take_mix(docs).collect()
+    assert sorted((str(r.doc_id), r.source, len(r.text.split()), r.mix_copies) for r in taken) == mixed
+    assert sum(len(r.text.split()) * r.mix_copies for r in taken) <= sum(len(text.split()) for _, text, _ in rows)
+
+
 def test_mix_ranges_do_not_matter(spark, monkeypatch):
     whole = sorted(map(tuple, QUERIES["op10_mixing"](spark, f"{DATA}/sf0.01").collect()))
     monkeypatch.setattr(mixing, "RANGE_ROWS", 10)

@@ -103,6 +103,13 @@ def test_simhash_edges(spark):
     assert got == [(False, 4, 4), (False, 4, 4), (False, 9, 9), (True, 0, 4), (True, 0, 9)]
 
 
+def test_simhash_keeps_one_row_of_a_group(spark):
+    rows = [(None, "a b c d e f"), (None, "a b c d e f"), (None, "other words are here"), (None, "other words are here"),
+            (3, "x y z u v w"), (3, "x y z u v w"), (5, "x y z u v w"), (None, "x y z u v w"), (3, "a text of its own")]
+    kept = [tuple(r) for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], rows[2], rows[4], rows[8]], key=str)
+
+
 def test_components_of_chains_stars_and_nothing(spark):
     scratch = Scratch(spark, "test")
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7), (3, 4)]
