@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .closing import timed
+
 #: Streamed percentiles are approximate, within one part in so many of a group; the batch form is exact
 PERCENTILE_ACCURACY = 10_000
 
@@ -20,7 +22,7 @@ def stream_event_summary(
     Workers flush in batches, so events come out of order and may come twice: the watermark waits ``delay`` for them and
     an event id counts once within it. Append mode emits a window when no more events can change it.
     """
-    unique = stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([event_id])
+    unique = timed(stream, ts, delay).dropDuplicatesWithinWatermark([event_id])
     window = F.window(ts, width, slide) if slide else F.window(ts, width)
     totals = unique.groupBy(*group, window.alias("__window")).agg(
         F.count(F.lit(1)).alias("events"), F.sum(wait).alias("wait_sum_us"), F.avg(wait).alias("wait_mean_us"),
@@ -35,7 +37,7 @@ def late_counts(stream: DataFrame, group: list[str], ts: str, arrival: str, dela
     A summary's watermark may leave these out, so they are counted here by their own arrival time.
     """
     late = F.unix_micros(arrival) - F.unix_micros(ts) > delay_us
-    counted = stream.withWatermark(arrival, "0 seconds").groupBy(*group, F.window(arrival, width).alias("__window")).agg(
+    counted = timed(stream, arrival, "0 seconds").groupBy(*group, F.window(arrival, width).alias("__window")).agg(
         F.count(F.lit(1)).alias("arrived"), F.count_if(late).alias("late"))
     return counted.withColumn("window_us", _micros("__window.start")).drop("__window")
 
@@ -45,7 +47,7 @@ def play_sessions_stream(
 ) -> DataFrame:
     """E5. Play sessions on a stream, emitted once the watermark has passed their gap."""
     sessions = (
-        stream.withWatermark(ts, delay).withColumn("__drop", is_drop.cast("int"))
+        timed(stream, ts, delay).withColumn("__drop", is_drop.cast("int"))
         .groupBy(*key, F.session_window(ts, gap).alias("__session")).agg(
             F.max(F.unix_micros(ts)).alias("last_us"), F.count(F.lit(1)).alias("events"), F.sum(wait).alias("wait_sum_us"),
             F.sum("__drop").alias("drops")))

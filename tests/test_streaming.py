@@ -11,7 +11,7 @@ from reelspark.operators.verdicts import upsert_verdicts
 from reelspark.plans import fold
 from reelspark.session import work_dir
 from reelspark.streaming import (
-    fold_stream, late_counts, pair_layers_stream, read_snapshot, stream_event_summary, upsert_verdict_stream,
+    closable, fold_stream, late_counts, mark, pair_layers_stream, read_snapshot, stream_event_summary, upsert_verdict_stream,
 )
 
 START = dt.datetime(2024, 1, 1)
@@ -97,5 +97,31 @@ def test_verdict_snapshots(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 10
 
 
+def test_idle_keys_leave_no_state(spark, tmp_path):
+    rows = [(n % 3, n, START + dt.timedelta(milliseconds=100 * n), n * 41_708, 1024) for n in range(60)]
+    schema = "k int, n long, at timestamp, us long, frames int"
+    rows += [(9, 0, START + dt.timedelta(hours=2), 0, 1)]
+    stream = write_batches(spark, rows, schema, str(tmp_path), parts=2)
+    folded = fold_stream(closable(stream, "at", f"{tmp_path}/markers"), "k", "at", ["n"], FrameIntervalFold("us", "frames"), "5 seconds", 60_000)
+    held = []
+    for _ in range(2):
+        query = (folded.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/c")
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+        held.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+        mark(spark, f"{tmp_path}/markers", "at")
+    assert spark.read.parquet(f"{tmp_path}/out").count() == len(rows) and held[0] > 0 and held[1] == 0
+
+
+def test_a_marker_ends_a_stream(spark, tmp_path):
+    rows = [(f"e{n}", n % 2, START + dt.timedelta(seconds=n), n % 50) for n in range(900)]
+    stream = write_batches(spark, rows, "id string, kind int, at timestamp, wait long", str(tmp_path))
+    summary = stream_event_summary(closable(stream, "at", f"{tmp_path}/markers"), ["kind"], "at", "id", "wait", "10 minutes", "1 minute")
+    early = drain(spark, summary, str(tmp_path)).agg(F.sum("events")).first()[0]
+    mark(spark, f"{tmp_path}/markers", "at")
+    whole = drain(spark, summary, str(tmp_path)).agg(F.sum("events")).first()[0]
+    assert (early or 0) < whole == len(rows)
+
+
 def test_work_dir_is_the_sessions_own(spark):
     assert work_dir(spark) == work_dir(spark)
