@@ -31,12 +31,36 @@ def _events_as_chunks(load):
         F.lit(1024).alias("frames"), F.lit(48_000).alias("rate"))
 
 
-@query("reconcile_timeline")
+# 1,021 is the tolerance of 48 kHz: a millisecond and a frame, in whole microseconds
+_RECONCILED = f"""RECURSIVE {EVENTS},
+ck AS (SELECT event_id // 500 AS stream_id, event_id, event_id % 500 * 21333 + k * 9 + CASE WHEN event_id % 500 >= 400 AND event_id // 500 % 4 = 1 THEN 9000000
+    WHEN event_id % 500 >= 350 THEN 180000 WHEN event_id % 500 >= 200 THEN 300000 ELSE 0 END - CASE WHEN k % 31 = 0 THEN 30000 ELSE 0 END AS ts FROM ev),
+co AS (SELECT *, row_number() OVER w AS n, lag(ts) OVER w AS previous, first_value(ts) OVER w AS anchor FROM ck WINDOW w AS (PARTITION BY stream_id ORDER BY event_id)),
+rc AS (
+  SELECT stream_id, event_id, n, 'anchor' AS decision, 0::BIGINT AS silence_frames, 0::BIGINT AS discarded_frames, 1024::BIGINT AS accepted_frames,
+    0::BIGINT AS start_frame, 0::BIGINT AS deviation_us, 1024::BIGINT AS total, false AS over FROM co WHERE n = 1
+  UNION ALL
+  SELECT stream_id, event_id, n, decision, CASE decision WHEN 'fill' THEN fix ELSE 0 END, lost, 1024 - lost,
+    CASE WHEN decision NOT IN ('ended', 'reject') THEN total + CASE decision WHEN 'fill' THEN fix ELSE 0 END END,
+    CASE WHEN decision <> 'ended' THEN dev END, total + CASE decision WHEN 'fill' THEN fix ELSE 0 END + 1024 - lost, over OR decision = 'reject'
+  FROM (SELECT *, CASE WHEN decision IN ('ended', 'reject', 'drop') THEN 1024 WHEN decision = 'trim' THEN fix ELSE 0 END AS lost
+    FROM (SELECT *, CASE WHEN over THEN 'ended' WHEN dev = 0 THEN 'contiguous' WHEN abs(dev) <= 1021 OR ts <= previous THEN 'absorb'
+        WHEN abs(dev) > 2000000 THEN 'reject' WHEN dev > 0 THEN 'fill'
+        WHEN 1024 - fix <= 0 OR (2 * (1024 - fix) * 1000000 + 48000) // 96000 <= 1021 THEN 'drop' ELSE 'trim' END AS decision
+      FROM (SELECT *, (2 * abs(dev) * 48000 + 1000000) // 2000000 AS fix
+        FROM (SELECT co.*, rc.total, rc.over, co.ts - co.anchor - (2 * rc.total * 1000000 + 48000) // 96000 AS dev
+          FROM rc JOIN co ON co.stream_id = rc.stream_id AND co.n = rc.n + 1)))))"""
+
+
+@query("reconcile_timeline", f"""WITH {_RECONCILED}
+SELECT stream_id, event_id, decision, silence_frames, discarded_frames, accepted_frames, start_frame, deviation_us FROM rc""")
 def reconcile_timeline(load):
     return op.reconcile_timeline(_events_as_chunks(load), "stream_id", "event_id", "ts", "frames", "rate")
 
 
-@query("reconcile_summary")
+@query("reconcile_summary", f"""WITH {_RECONCILED}
+SELECT stream_id, count(*) AS chunks, {", ".join(f"count(*) FILTER (decision = '{name}') AS {name}_chunks" for name in ("absorb", "fill", "trim", "drop", "reject"))},
+  sum(silence_frames)::BIGINT AS silence_frames, sum(discarded_frames)::BIGINT AS discarded_frames FROM rc GROUP BY stream_id""")
 def reconcile_summary(load):
     return op.reconcile_summary(reconcile_timeline(load), "stream_id")
 

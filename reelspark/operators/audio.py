@@ -6,17 +6,23 @@ they need of their neighbours, so a stream of any length spreads over all tasks.
 """
 from __future__ import annotations
 
+import bisect
+import json
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.mixing import downmix_weights, routing
 from ..functions.numbers import frames_to_micros
 from ..functions.tables import LAYOUT_SPEAKERS
-from ..plans import Fold, Lag, RunningMax, Timeline, fold
+from ..plans import Fold, Lag, LastKnown, RowNumber, RunningMax, RunningSum, Timeline
+from ..plans.fold import parse_schema, run_sorted
+from ..plans.skew import same_key
 
 # Fixed values
 CORRECTION_BOUND_US = 2_000_000
@@ -36,7 +42,7 @@ def _micros(frames: int, rate: int) -> int:
 
 
 class ReconcileFold(Fold):
-    """A1. State: anchor time, accepted frames, the previous raw time, whether the stream was rejected."""
+    """A1, one chunk after another. State: anchor time, accepted frames, the previous raw time, whether the stream was rejected."""
 
     schema = ("decision string, silence_frames bigint, discarded_frames bigint, accepted_frames bigint, "
               "start_frame bigint, deviation_us bigint")
@@ -50,10 +56,14 @@ class ReconcileFold(Fold):
     def step(self, state, row):
         anchor, total, previous, rejected = state
         ts, frames, rate = row
+        frames = frames or 0
         if rejected:
             return state, ("ended", 0, frames, 0, None, None)
+        if ts is None:
+            return [anchor, total + frames, previous, False], ("absorb", 0, 0, frames, total, None)
         if anchor is None:
-            return [ts, frames, ts, False], ("anchor", 0, 0, frames, 0, 0)
+            # Chunks without a time before the first one with a time count from that one
+            return [ts - _micros(total, rate), total + frames, ts, False], ("anchor", 0, 0, frames, total, 0)
         deviation = ts - (anchor + _micros(total, rate))
         size = abs(deviation)
         tolerance = self.quantisation + -(-1_000_000 // rate)
@@ -76,15 +86,162 @@ class ReconcileFold(Fold):
         return ([anchor, total + silence + accepted, ts, False],
                 (decision, silence, discarded, accepted, total + silence, deviation))
 
+    def shifted(self, offsets: np.ndarray, row: tuple) -> np.ndarray:
+        """Offsets after a chunk, for many offsets before it at once. An offset is how far the accepted frames are ahead of all raw
+        frames so far; the row has time since the anchor, whether time advances, frames, rate and raw frames before it."""
+        elapsed, advances, frames, rate, before = row
+        if not advances:
+            return offsets
+        deviation = elapsed - (2 * (before + offsets) * 1_000_000 + rate) // (2 * rate)
+        size = np.abs(deviation)
+        tolerance = self.quantisation + -(-1_000_000 // rate)
+        correction = (2 * size * rate + 1_000_000) // 2_000_000
+        left = frames - correction
+        dropped = (left <= 0) | ((2 * left * 1_000_000 + rate) // (2 * rate) <= tolerance)
+        moved = np.where(deviation > 0, offsets + correction, np.where(dropped, offsets - frames, offsets - correction))
+        moved = np.where(size <= tolerance, offsets, np.where(size > self.bound, _REJECTED, moved))
+        return np.where(offsets == _REJECTED, _REJECTED, moved)
+
+
+#: The offset of a rejected stream
+_REJECTED = -(1 << 40)
+#: Chunks of a run whose effect on the offset is summed up by one task
+RUN_CHUNKS = 4_096
+
+
+def run_effect(rule: ReconcileFold, rows: list[tuple]) -> tuple[list[int], list[int], list[int]]:
+    """A run's offset after it as a function of the offset before it: starts of pieces, values there, and slopes 0 or 1.
+
+    The first chunk whose time advances rejects all offsets but those within the bound, so no other needs to be followed. Corrections
+    bring most of these together, and the offsets still apart are few after some chunks. Offsets below the first piece and from
+    the last piece on are rejected.
+    """
+    first = next((row for row in rows if row[1]), None)
+    if first is None:
+        return [_REJECTED + 1], [_REJECTED + 1], [1]
+    elapsed, _, _, rate, before = first
+    reach = rule.bound * rate // 1_000_000 + 2
+    centre = elapsed * rate // 1_000_000 - before
+    begin = np.arange(centre - reach, centre + reach + 1, dtype=np.int64)
+    apart, which = begin, np.arange(len(begin))
+    for row in rows:
+        moved = rule.shifted(apart, row)
+        if moved is not apart and not np.array_equal(moved, apart):
+            apart, merged = np.unique(moved, return_inverse=True)
+            which = merged[which]
+    after = apart[which]
+    # A piece goes on while the value stays, or while it grows with the offset
+    steps = np.diff(after)
+    changes = np.append(np.flatnonzero(np.diff(steps) != 0) + 1, len(steps))
+    pieces, at = [], 0
+    while at < len(begin):
+        slope = int(steps[at]) if at < len(steps) else -1
+        pieces.append((int(begin[at]), int(after[at]), max(slope, 0) if slope < 2 else 0))
+        at = int(changes[np.searchsorted(changes, at, "right")]) + 1 if slope in (0, 1) else at + 1
+    starts, values, slopes = map(list, zip(*pieces, (int(begin[-1]) + 1, _REJECTED, 0)))
+    return starts, values, slopes
+
+
+def apply_effect(effect: tuple[list[int], list[int], list[int]], offset: int) -> int:
+    """The offset after a run."""
+    starts, values, slopes = effect
+    at = bisect.bisect_right(starts, offset) - 1
+    if offset == _REJECTED or at < 0:
+        return _REJECTED
+    return values[at] + slopes[at] * (offset - starts[at])
+
 
 def reconcile_timeline(
     chunks: DataFrame, key, seq: str, ts: str, frames: str, rate: str, quantisation_us: int = 1_000,
-    bound_us: int = CORRECTION_BOUND_US,
+    bound_us: int = CORRECTION_BOUND_US, run_chunks: int = RUN_CHUNKS,
 ) -> DataFrame:
     """A1. Place of each chunk on its stream's accepted timeline, by the first rule that applies: anchor, jitter within
     tolerance or a time that does not advance absorbed, too large a deviation rejected (the stream ends), a gap filled
-    with silence, an overlap trimmed or dropped. Only times and counts go through the fold."""
-    return fold(chunks, key, seq, ReconcileFold(ts, frames, rate, quantisation_us, bound_us))
+    with silence, an overlap trimmed or dropped. Only times and counts are worked on.
+
+    What earlier chunks decided reaches later ones as one number, the offset of accepted against raw frames. A long stream is cut
+    into runs: each run's effect on the offset is worked out on its own, for every offset it may meet; effects follow one another over
+    the runs of a stream, one short row each, and give every run the offset it starts from. Then all runs decide at once.
+    """
+    key = [key] if isinstance(key, str) else list(key)
+    rule = ReconcileFold(ts, frames, rate, quantisation_us, bound_us)
+    raw, clock = F.coalesce(frames, F.lit(0)).cast("long"), (2 * F.col("__raw") * 1_000_000 + F.col(rate)).cast("long")
+    # The anchor's time less the frames before it
+    at_start = F.col(ts) - F.floor(clock / (2 * F.col(rate))).cast("long")
+    placed = Timeline(chunks.select(*dict.fromkeys([*key, seq, ts, frames, rate])), key, seq).scan(
+        __n=RowNumber(), __sum=RunningSum(raw), __latest=LastKnown(ts, inclusive=False))
+    placed = placed.apply(lambda df: df.withColumn("__raw", F.col("__sum") - raw).withColumn("__run", F.floor((F.col("__n") - 1) / run_chunks)))
+    placed = placed.scan(__anchor=LastKnown(F.when(F.col("__latest").isNull() & F.col(ts).isNotNull(), at_start))).df
+    runs = placed.groupBy(*key, "__run").agg(F.count(F.lit(1)).alias("__chunks")).where("__run > 0").select(
+        *[F.col(name).alias(f"__of_{name}") for name in key]).distinct()
+    several = placed.join(runs, same_key(key, "__of_"), "left_semi")
+    advances = F.coalesce((F.col(ts) > F.col("__latest")) & F.col("__anchor").isNotNull(), F.lit(False))
+    narrow = several.select(
+        *key, "__run", "__n", (F.col(ts) - F.col("__anchor")).cast("long").alias("elapsed"), advances.alias("advances"), raw.alias("frames"),
+        F.col(rate).cast("long").alias("rate"), "__raw")
+    entries = _run_entries(narrow, key, rule)
+    state = F.when(F.col("__offset").isNotNull() & (F.col("__run") > 0), F.to_json(F.struct(
+        F.col("__anchor").alias("a"), (F.col("__raw") + F.col("__offset")).alias("t"), F.col("__latest").alias("p"), (F.col("__offset") == _REJECTED).alias("r"))))
+    entered = placed.join(entries, same_key(key, "__of_") & (F.col("__run") == F.col("__of_run")), "left").select(
+        *dict.fromkeys([*key, seq, *rule.inputs]), "__run", state.alias("__entry"))
+    carried = list(dict.fromkeys([*key, seq]))
+    schema = T.StructType([chunks.schema[name] for name in carried] + list(parse_schema(rule.schema)))
+    arrow = to_arrow_schema(schema)
+    by_run = [*key, "__run"]
+    laid = entered.repartition(*by_run).sortWithinPartitions(*by_run, seq)
+    return laid.mapInArrow(lambda batches: run_sorted(batches, rule, by_run, carried, arrow, enter=_entered), schema)
+
+
+def _entered(text: str) -> list:
+    state = json.loads(text)
+    return [state.get("a"), state["t"], state.get("p"), state["r"]]
+
+
+def _run_entries(narrow: DataFrame, key: list[str], rule: ReconcileFold) -> DataFrame:
+    """The offset that each run of the streams with several starts from."""
+    width = len(key)
+    fields = [narrow.schema[name] for name in key]
+    numbers = T.ArrayType(T.LongType())
+    effect_schema = T.StructType([*fields, T.StructField("__run", T.LongType()), *[T.StructField(name, numbers) for name in ("starts", "values", "slopes")]])
+    entry_schema = T.StructType([*[T.StructField(f"__of_{field.name}", field.dataType) for field in fields], T.StructField("__of_run", T.LongType()), T.StructField("__offset", T.LongType())])
+
+    def effects(batches):
+        arrow = to_arrow_schema(effect_schema)
+        for name, rows in _groups(batches, width + 1):
+            # The row's number within its stream comes first
+            yield _one_row([*name, *run_effect(rule, [row[1:] for row in rows])], arrow)
+
+    def entries(batches):
+        arrow = to_arrow_schema(entry_schema)
+        current, offset = None, 0
+        for batch in batches:
+            for row in zip(*[column.to_pylist() for column in batch.columns]):
+                if row[:width] != current:
+                    current, offset = row[:width], 0
+                yield _one_row([*current, row[width], offset], arrow)
+                offset = apply_effect(row[width + 1:], offset)
+
+    by_run = [*key, "__run"]
+    found = narrow.repartition(*by_run).sortWithinPartitions(*by_run, "__n").mapInArrow(effects, effect_schema)
+    return found.repartition(*key).sortWithinPartitions(*by_run).mapInArrow(entries, entry_schema)
+
+
+def _groups(batches, width: int):
+    """Consecutive rows with equal first values, at most a run of them at a time."""
+    name, held = None, []
+    for batch in batches:
+        for row in zip(*[column.to_pylist() for column in batch.columns]):
+            if row[:width] != name:
+                if held:
+                    yield name, held
+                name, held = row[:width], []
+            held.append(row[width:])
+    if held:
+        yield name, held
+
+
+def _one_row(values: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([value], field.type) for value, field in zip(values, schema)], schema=schema)
 
 
 def reconcile_summary(decisions: DataFrame, key: str) -> DataFrame:

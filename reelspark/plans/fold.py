@@ -50,12 +50,12 @@ def fold_rows(rule: Fold, state: Any, columns: list[list]) -> tuple[Any, list[tu
 
 def run_sorted(
     batches: Iterator[pa.RecordBatch], rule: Fold, key: list[str], carried: list[str], schema: pa.Schema,
-    finished: Callable[[tuple, Any], None] | None = None,
+    finished: Callable[[tuple, Any], None] | None = None, enter: Callable[[str], Any] = json.loads,
 ) -> Iterator[pa.RecordBatch]:
     """Fold a partition whose rows lie in key and order; a key may span batches and a batch many keys.
 
     Yields the carried columns beside the rule's outputs; ``finished`` is told each key's last state. A column
-    ``__entry`` holds the state, in JSON, a key starts from.
+    ``__entry`` holds the state a key starts from, in JSON or whatever ``enter`` reads.
     """
     current, state = None, None
     produced = schema.names[len(carried):]
@@ -69,7 +69,7 @@ def run_sorted(
                 if current is not None and finished:
                     finished(current, state)
                 current = keys[n]
-                state = json.loads(entries[n]) if entries and entries[n] else rule.initial()
+                state = enter(entries[n]) if entries and entries[n] else rule.initial()
             state, values = rule.step(state, row)
             out.append(values)
         columns = zip(*out) if out else [()] * len(produced)

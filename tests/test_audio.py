@@ -7,7 +7,9 @@ import pytest
 
 from reelspark.functions.mixing import downmix_weights, routing
 from reelspark.functions.tables import LAYOUT_SPEAKERS
-from reelspark.operators.audio import CEILING, filter_table, limit_peaks, release, resample
+from reelspark.operators.audio import (
+    _REJECTED, CEILING, ReconcileFold, apply_effect, filter_table, limit_peaks, reconcile_timeline, release, resample, run_effect,
+)
 
 SCHEMA = "stream int, start long, channels array<array<float>>"
 
@@ -104,3 +106,53 @@ def test_routing():
         rows, _ = routing(layout, "7.1.4")
         power = [sum(row[c] ** 2 for row in rows) for c in range(len(LAYOUT_SPEAKERS[layout]))]
         assert all(value > 0.3 for value in power)
+
+
+def drifting(rng, size, rejects=False):
+    """Chunks with jitter, gaps, overlaps, times that go back and, if asked for, one far off."""
+    at, rows = 0, []
+    for n in range(size):
+        frames = rng.choice([1024, 1024, 960, 3])
+        rows.append((n, None if rng.random() < 0.02 else at + rng.randint(-900, 900), frames, rng.choice([48_000, 44_100]) if rejects else 48_000))
+        at += frames * 1_000_000 // 48_000 + rng.choice([0] * 12 + [30_000, -25_000, 300_000, -90_000, 7])
+        if rejects and n == size * 3 // 4:
+            at += 9_000_000
+    return rows
+
+
+def one_by_one(rule, rows):
+    state, out = rule.initial(), []
+    for n, *row in rows:
+        state, found = rule.step(state, tuple(row))
+        out.append((n, *found))
+    return out
+
+
+@pytest.mark.parametrize("run_chunks", [7, 4_096])
+def test_reconcile_in_runs(spark, run_chunks):
+    rng = random.Random(11)
+    streams = {None: drifting(rng, 150), "a": drifting(rng, 147, rejects=True), "b": drifting(rng, 1), "c": drifting(rng, 7), "d": drifting(rng, 8)}
+    df = spark.createDataFrame([(key, *row) for key, rows in streams.items() for row in rows], "k string, n long, ts long, frames int, rate int").repartition(4)
+    got = reconcile_timeline(df, "k", "n", "ts", "frames", "rate", run_chunks=run_chunks).collect()
+    rule = ReconcileFold("ts", "frames", "rate", 1_000, 2_000_000)
+    want = [(key, *row) for key, rows in streams.items() for row in one_by_one(rule, rows)]
+    assert sorted(map(str, (tuple(row) for row in got))) == sorted(map(str, want))
+    decided = {row["decision"] for row in got}
+    assert {"anchor", "absorb", "fill", "trim", "drop", "reject", "ended"} <= decided
+
+
+def test_effects_of_runs_compose():
+    rng = random.Random(12)
+    rule = ReconcileFold("ts", "frames", "rate", 1_000, 2_000_000)
+    before, rows = 0, []
+    for n, ts, frames, rate in drifting(rng, 60):
+        rows.append((ts or 0, ts is not None and rng.random() < 0.9, frames, rate, before))
+        before += frames
+    parts = [run_effect(rule, rows[i:i + 20]) for i in range(0, 60, 20)]
+    for offset in [*range(-3_000, 3_000, 37), -500_000, 500_000, _REJECTED]:
+        plain = np.array([offset])
+        for row in rows:
+            plain = rule.shifted(plain, row)
+        for part in parts:
+            offset = apply_effect(part, offset)
+        assert offset == plain[0]
