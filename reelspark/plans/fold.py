@@ -4,11 +4,13 @@ Only rules whose next decision depends on their own earlier decisions are folded
 by key, sorted, and stream through the step function in Arrow batches, so no key's rows are held in memory. Hot keys are cut into
 chunks that run in parallel: every chunk is folded from a guessed entry state, and re-folded while the state its
 predecessor ends in differs from the state it started from. The first chunk is right at once and each round settles
-at least one more, so the result is exactly the sequential one; rules that forget their past settle in two rounds.
+at least one more, so the result is exactly the sequential one; rules that forget their past settle in two rounds. The chunks' states
+are written tables, joined by key and chunk like any other.
 """
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -16,7 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .skew import CHUNK, find_chunks
+from ..session import work_dir
+from .skew import CHUNK, find_chunks, same_key
+
+#: Chunks' last states that a task holds before it hands them on
+ENDED_STATES = 100
 
 
 class Fold:
@@ -98,55 +104,62 @@ def fold(df: DataFrame, key, order, rule: Fold) -> DataFrame:
     chunks = find_chunks(narrow, key, order)
     if not chunks:
         return laid_out_plainly()
-    # One row for each key that is cut, of which there are fewer than the rows by the factor of the chunk size
-    counts = {tuple(row[:-1]): row[-1] for row in chunks.cuts.select(
-        *chunks.hot_names(), F.aggregate("__cuts", F.lit(0), lambda total, part: total + F.size(part))).collect()}
-    if not counts:
+    spark, folder = df.sparkSession, f"{work_dir(df.sparkSession)}/fold-{uuid.uuid4().hex}"
+
+    def keep(table: DataFrame, name: str) -> DataFrame:
+        """A table of states, written where every executor reaches it; states never pass the driver."""
+        table.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(table.schema).parquet(f"{folder}/{name}")
+
+    hot_names, place = chunks.hot_names(), [*chunks.hot_names(), "__hot_chunk"]
+    total = F.aggregate("__cuts", F.lit(0), lambda count, part: count + F.size(part))
+    start = json.dumps(rule.initial())
+    entries = keep(chunks.cuts.select(*hot_names, F.explode(F.sequence(F.lit(0), total)).alias("__hot_chunk"), F.lit(start).alias("__entry")), "entries")
+    if entries.isEmpty():
         return laid_out_plainly()
 
     chunked = chunks.assign(narrow)
     hot_key = [*key, CHUNK]
-    entry_fields = [T.StructField(f"__hot_{name}", narrow.schema[name].dataType) for name in key] + [
-        T.StructField("__hot_chunk", T.IntegerType()), T.StructField("__entry", T.StringType())]
 
-    def with_entries(rows: DataFrame, entries: dict[tuple, str], how: str) -> DataFrame:
-        table = F.broadcast(df.sparkSession.createDataFrame(
-            [(*name[:-1], name[-1], state) for name, state in entries.items()], T.StructType(entry_fields)))
-        condition = rows[CHUNK] == table["__hot_chunk"]
-        for name in key:
-            condition = condition & rows[name].eqNullSafe(table[f"__hot_{name}"])
-        return rows.join(table, condition, how).drop("__hot_chunk", *chunks.hot_names())
+    def with_entries(rows: DataFrame, table: DataFrame, how: str) -> DataFrame:
+        return rows.join(table, same_key(key) & (F.col(CHUNK) == F.col("__hot_chunk")), how).drop("__hot_chunk", *hot_names)
 
     def laid_out(rows: DataFrame) -> DataFrame:
         return rows.repartition(*hot_key).sortWithinPartitions(*hot_key, *order)
 
-    final_schema = T.StructType([narrow.schema[name] for name in key] + [
-        T.StructField(CHUNK, T.IntegerType()), T.StructField("__final", T.StringType())])
-
+    final_schema = T.StructType([T.StructField(f"__hot_{name}", narrow.schema[name].dataType) for name in key] + [
+        T.StructField("__hot_chunk", T.IntegerType()), T.StructField("__final", T.StringType())])
     final_arrow = to_arrow_schema(final_schema)
 
     def finals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ended: list[tuple] = []
         for _ in run_sorted(batches, rule, hot_key, carried, arrow_schema, lambda name, state: ended.append((*name, json.dumps(state)))):
-            pass
-        columns = zip(*ended) if ended else [()] * len(final_arrow)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(values), field.type) for values, field in zip(columns, final_arrow)], schema=final_arrow)
-
-    start = json.dumps(rule.initial())
-    entries = {(*name, n): start for name, cuts in counts.items() for n in range(cuts + 1)}
-    pending = dict(entries)
-    final: dict[tuple, str] = {}
-    while pending:
+            if len(ended) >= ENDED_STATES:
+                yield as_batch(ended)
+                ended.clear()
+        if ended:
+            yield as_batch(ended)
+
+    def as_batch(ended: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(values), field.type) for values, field in zip(zip(*ended), final_arrow)], schema=final_arrow)
+
+    def updated(old: DataFrame, new: DataFrame) -> DataFrame:
+        """``old`` with the rows of ``new`` in the place of its own."""
+        names = [F.col(name).alias(f"__new_{name}") for name in place]
+        return old.join(new.select(*names), same_key(place, "__new_"), "left_anti").unionByName(new)
+
+    pending, ended, number = entries, None, 0
+    while True:
+        number += 1
         rows = with_entries(chunked.where("__hot"), pending, "inner")
-        # One state per pending chunk
-        for row in laid_out(rows).mapInArrow(finals, final_schema).collect():
-            final[tuple(row[part] for part in hot_key)] = row["__final"]
-        pending = {}
-        for name in entries:
-            before = (*name[:-1], name[-1] - 1)
-            if name[-1] > 0 and final.get(before, entries[before]) != entries[name]:
-                pending[name] = final.get(before, entries[before])
-        entries.update(pending)
+        found = keep(laid_out(rows).mapInArrow(finals, final_schema), f"finals-{number}")
+        ended = found if ended is None else keep(updated(ended, found), f"ended-{number}")
+        # A chunk starts anew where the one before it ended in another state than it was started from
+        before = ended.select(*[F.col(name).alias(f"__new_{name}") for name in hot_names], (F.col("__hot_chunk") + 1).alias("__new___hot_chunk"), "__final")
+        pending = keep(entries.join(before, same_key(place, "__new_")).where("__final <> __entry").select(
+            *place, F.col("__final").alias("__entry")), f"pending-{number}")
+        if pending.isEmpty():
+            break
+        entries = keep(updated(entries, pending), f"entries-{number}")
     rows = with_entries(chunked, entries, "left")
     return laid_out(rows).mapInArrow(lambda batches: run_sorted(batches, rule, hot_key, carried, arrow_schema), schema)
