@@ -182,7 +182,7 @@ def missing_frame_waits(load):
 
 _OVERLAP = """rs AS (SELECT event_id // 500 AS session_id, event_id AS refresh_no, (event_id % 500) * 16667 + k * 3 AS refresh_us FROM ev),
 re AS (SELECT *, lead(refresh_us) OVER (PARTITION BY session_id ORDER BY refresh_us, refresh_no) AS refresh_end FROM rs),
-fr AS (SELECT event_id // 500 AS session_id, event_id AS frame_no, (event_id % 500) * CASE WHEN event_id // 500 % 2 = 0 THEN 41708 ELSE 33334 END AS frame_us FROM ev WHERE event_id % 500 < 220),
+fr AS (SELECT event_id // 500 AS session_id, event_id AS frame_no, (event_id % 500) * CASE WHEN event_id // 500 % 2 = 0 THEN 41708 ELSE 33334 END AS frame_us FROM ev),
 fe AS (SELECT *, coalesce(lead(frame_us) OVER (PARTITION BY session_id ORDER BY frame_us, frame_no), frame_us + 41708) AS frame_end FROM fr),
 pr AS (SELECT r.session_id, refresh_no, frame_no, least(refresh_end, frame_end) - greatest(refresh_us, frame_us) AS covered_us,
   refresh_end - refresh_us AS len, CAST(frame_end - frame_us AS DOUBLE) / (refresh_end - refresh_us) AS ratio
@@ -195,7 +195,7 @@ SELECT session_id, refresh_no, frame_no, covered_us, CAST(covered_us AS DOUBLE)
 def refresh_overlap(load):
     refreshes = events(load).select(
         F.expr("event_id div 500").alias("session_id"), "event_id", ((F.col("event_id") % 500) * 16_667 + F.col("k") * 3).alias("us"))
-    frames = events(load).where("event_id % 500 < 220").select(
+    frames = events(load).select(
         F.expr("event_id div 500").alias("session_id"), "event_id", F.lit(41_708).alias("dur"),
         F.expr("(event_id % 500) * CASE WHEN event_id div 500 % 2 = 0 THEN 41708 ELSE 33334 END").alias("us"))
     return op.refresh_overlap(refreshes, frames, "session_id", "event_id", "us", "event_id", "us", "dur", 40_000)

@@ -1,9 +1,10 @@
 """Playback telemetry (E)."""
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import half_up
 from ..plans import Lag, RowNumber, RunningSum, Timeline
@@ -27,13 +28,15 @@ def normalize_trace(page: DataFrame, worker: DataFrame, starts: DataFrame, sessi
 def ring_capacity(events: DataFrame, key, arrival: str, n: int) -> DataFrame:
     """E2. The last ``n`` events of each session by arrival, with how many fell out of the ring.
 
-    Positions are counted from the start so that no session has to meet in one task.
+    The limit on the row number is applied in every task before rows are shuffled, so at most ``n`` of a session's rows leave each; how many
+    there were is a count, summed up the same way.
     """
     key = [key] if isinstance(key, str) else list(key)
-    counts = events.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
-    numbered = Timeline(events, key, arrival).scan(__at=RowNumber()).df.join(counts, key)
-    dropped = F.greatest(F.col("__n") - n, F.lit(0).cast("long"))
-    return numbered.withColumn("dropped_events", dropped).where(F.col("__at") > F.col("dropped_events")).drop("__at", "__n")
+    counts = events.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).select(*[F.col(name).alias(f"__of_{name}") for name in key], "__n")
+    latest = Window.partitionBy(*key).orderBy(F.desc(arrival))
+    kept = events.withColumn("__back", F.row_number().over(latest)).where(F.col("__back") <= n)
+    return kept.join(counts, same_key(key, "__of_")).select(
+        *events.columns, F.greatest(F.col("__n") - n, F.lit(0).cast("long")).alias("dropped_events"))
 
 
 def window_starts(at: Column, width_us: int, slide_us: int) -> Column:
@@ -50,38 +53,39 @@ def event_summary(
 ) -> DataFrame:
     """E3. Events and waits per group and time window, tumbling or sliding; waits in whole microseconds.
 
-    Percentiles are exact, see :func:`exact_percentiles`.
+    Events are first counted by pane, the greatest span that divides width and slide, and distinct wait; windows are made of panes, so
+    no event is repeated for the windows that hold it. Percentiles are exact, see :func:`exact_percentiles`.
     """
-    starts = window_starts(F.col(at), width_us, slide_us or width_us)
-    spread = events.select(*group, wait, F.explode(starts).alias("window_us"))
+    slide_us = slide_us or width_us
+    pane_us = math.gcd(width_us, slide_us)
+    pane = (F.floor(F.col(at) / pane_us) * pane_us).cast("long").alias("window_us")
     key = [*group, "window_us"]
-    counted = spread.groupBy(*key, wait).agg(F.count(F.lit(1)).alias("__times"))
+    counted = events.groupBy(*group, pane, wait).agg(F.count(F.lit(1)).alias("__times"))
+    if pane_us < width_us:
+        starts = window_starts(F.col("window_us"), width_us, slide_us)
+        counted = counted.select(*group, wait, "__times", F.explode(starts).alias("window_us")).groupBy(*key, wait).agg(
+            F.sum("__times").alias("__times"))
     weight = F.col("__times")
-    known = F.sum(F.when(F.col(wait).isNotNull(), weight))
     totals = counted.groupBy(*key).agg(
         F.sum(weight).alias("events"), F.sum(F.col(wait) * weight).alias("wait_sum_us"),
-        (F.sum(F.col(wait) * weight).cast("double") / known).alias("wait_mean_us"), F.max(wait).alias("wait_max_us"))
-    return _with_percentiles(totals, counted, key, wait, {f"wait_p{round(p * 100)}_us": p for p in percentiles})
+        F.sum(F.when(F.col(wait).isNotNull(), weight)).alias("__known"), F.max(wait).alias("wait_max_us"))
+    totals = totals.select(*key, "events", "wait_sum_us", (F.col("wait_sum_us").cast("double") / F.col("__known")).alias("wait_mean_us"), "wait_max_us", "__known")
+    return exact_percentiles(totals, counted, key, wait, {f"wait_p{round(p * 100)}_us": p for p in percentiles})
 
 
-def exact_percentiles(counted: DataFrame, key: list[str], value: str, names: dict[str, float]) -> DataFrame:
-    """Per key the least value that at least a share of the known values do not exceed, one column per named share.
+def exact_percentiles(totals: DataFrame, counted: DataFrame, key: list[str], value: str, names: dict[str, float]) -> DataFrame:
+    """``totals`` and per key the least value that at least a share of the known values do not exceed, one column per named share.
 
-    ``counted`` has each distinct value of a key once, with ``__times``. A running count over values finds it, so no
-    key's values are ever held together, however many they are.
+    ``counted`` has each distinct value of a key once, null too, with ``__times``; ``totals`` a row for each key with ``__known``, how many known
+    values it has. A running count over values finds the percentiles, so no key's values are ever held together, however many they are.
     """
-    known = counted.where(F.col(value).isNotNull()).select(*key, value, "__times")
-    sizes = known.groupBy(*key).agg(F.sum("__times").alias("__size")).select(
-        *[F.col(name).alias(f"__of_{name}") for name in key], "__size")
-    reached = Timeline(known, key, value).scan(__reach=RunningSum("__times")).df.join(sizes, same_key(key, "__of_"))
-    return reached.groupBy(*key).agg(*[
-        F.min(F.when(F.col("__reach") >= F.ceil(F.col("__size") * share), F.col(value))).alias(name) for name, share in names.items()])
-
-
-def _with_percentiles(totals: DataFrame, counted: DataFrame, key: list[str], value: str, names: dict[str, float]) -> DataFrame:
-    found = exact_percentiles(counted, key, value, names)
-    found = found.select(*[F.col(name).alias(f"__p_{name}") for name in key], *names)
-    return totals.join(found, same_key(key, "__p_"), "left").select(*totals.columns, *names)
+    known = F.col(value).isNotNull()
+    reached = Timeline(counted.select(*key, value, "__times"), key, value).scan(__reach=RunningSum(F.when(known, F.col("__times")))).df
+    facts = [name for name in totals.columns if name not in key and name != "__known"]
+    joined = reached.join(totals.select(*[F.col(name).alias(f"__of_{name}") for name in key], *facts, "__known"), same_key(key, "__of_"))
+    return joined.groupBy(*key).agg(
+        *[F.first(name).alias(name) for name in facts],
+        *[F.min(F.when(known & (F.col("__reach") >= F.ceil(F.col("__known") * share)), F.col(value))).alias(name) for name, share in names.items()])
 
 
 def play_sessions(events: DataFrame, key, at: str, seq: str, gap_us: int, wait: str, is_drop: Column) -> DataFrame:
@@ -117,8 +121,8 @@ def stage_latency_summary(latencies: DataFrame, stages: list[str], percentiles=(
     known = F.coalesce(F.sum(F.when(F.col("latency_us").isNotNull(), F.col("__times"))), F.lit(0))
     totals = counted.groupBy("stage").agg(
         known.alias("frames"), F.coalesce(F.sum(F.when(F.col("latency_us").isNull(), F.col("__times"))), F.lit(0)).alias("incomplete"),
-        F.try_divide(F.sum(F.col("latency_us") * F.col("__times")).cast("double"), known.cast("double")).alias("mean_us"))
-    return _with_percentiles(totals, counted, ["stage"], "latency_us", {f"p{round(p * 100)}_us": p for p in percentiles})
+        F.try_divide(F.sum(F.col("latency_us") * F.col("__times")).cast("double"), known.cast("double")).alias("mean_us"), known.alias("__known"))
+    return exact_percentiles(totals, counted, ["stage"], "latency_us", {f"p{round(p * 100)}_us": p for p in percentiles})
 
 
 def counter_deltas(reports: DataFrame, session, generation: str, seq: str, counters: list[str]) -> DataFrame:

@@ -108,6 +108,14 @@ def test_interval_join_matches_brute_force(spark):
     assert got == want and want
 
 
+def test_interval_join_of_long_spans(spark):
+    # A span of billions of buckets makes one or two rows a level
+    left = spark.createDataFrame([(None, 0, 0, 10**12), (1, 1, 5, 10**9), (1, 2, -40, -3), (1, 3, 7, 7)], "k long, i long, s long, e long")
+    right = spark.createDataFrame([(None, 9, 3, 4), (1, 10, 10**8, 10**8 + 30), (1, 11, -10**11, 6), (2, 12, 0, 9)], "k long, j long, rs long, re long")
+    got = sorted((row["i"], row["j"]) for row in interval_join(left, right, "k", ("s", "e"), ("rs", "re"), 25).collect())
+    assert got == [(0, 9), (1, 10), (1, 11), (2, 11)]
+
+
 def test_ties_and_frames_over_many_chunks(spark):
     df = spark.range(3000).selectExpr("id % 2 AS k", "7 AS t", "pmod(hash(id), 100000) AS i", "id AS v")
     scan = lambda: sorted(map(str, Timeline(df, "k", ["t", "i", "v"]).scan(

@@ -10,6 +10,7 @@ from reelspark.operators.timing import FrameIntervalFold
 from reelspark.operators.verdicts import upsert_verdicts
 from reelspark.plans import fold
 from reelspark.session import work_dir
+from reelspark.streaming.verdicts import SCHEMA, merge_verdicts
 from reelspark.streaming import (
     closable, fold_stream, late_counts, mark, pair_layers_stream, read_snapshot, stream_event_summary, upsert_verdict_stream,
 )
@@ -97,6 +98,25 @@ def test_verdict_snapshots(spark, tmp_path):
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 10
 
 
+def test_a_batch_writes_the_buckets_of_its_hosts(spark, tmp_path):
+    def rows(hosts, at, status="supported"):
+        return spark.createDataFrame([(host, "p", "f", 1, '{"status":"%s"}' % status, at) for host in hosts], SCHEMA)
+
+    table = f"{tmp_path}/table"
+    hosts = [f"h{n}" for n in range(200)]
+    for number in range(6):
+        merge_verdicts(rows(hosts if number == 0 else ["h7"], number, "unsupported" if number else "supported"), table, number)
+        found = {row["host"]: row["written_at"] for row in read_snapshot(spark, table).collect()}
+        assert found == {host: number if host == "h7" else 0 for host in hosts}
+        if number:
+            assert len(list((tmp_path / "table/data" / f"version={number}").glob("bucket=*"))) == 1
+    # The manifests and files of the last version and the one before it
+    assert sorted(path.name for path in (tmp_path / "table/manifests").glob("*.json")) == ["4.json", "5.json"]
+    assert sorted(path.name for path in (tmp_path / "table/data").glob("version=*")) == ["version=0", "version=4", "version=5"]
+    merge_verdicts(rows(["h7"], 5, "unsupported"), table, 5)
+    assert read_snapshot(spark, table).count() == 200
+
+
 def test_idle_keys_leave_no_state(spark, tmp_path):
     rows = [(n % 3, n, START + dt.timedelta(milliseconds=100 * n), n * 41_708, 1024) for n in range(60)]
     schema = "k int, n long, at timestamp, us long, frames int"
