@@ -1,26 +1,34 @@
-"""Audio operators over the test tables: an embedding is a chunk of 64 samples in up to eight channels."""
+"""Audio operators over the test tables: an embedding is a chunk whose 64 samples are dealt to the channels of a layout.
+
+The last channels of a layout that does not divide 64 are filled with silence.
+"""
 from pyspark.sql import functions as F
 
 from ..functions import mixing
-from ..functions.tables import LAYOUT_SPEAKERS
+from ..functions.tables import LAYOUT_SPEAKERS, OUTPUT_LAYOUTS
 from ..operators import audio as op
 from .tables import EVENTS, events, query
 
-_LAYOUTS = [name for name, speakers in LAYOUT_SPEAKERS.items() if len(speakers) <= 8]
+_LAYOUTS = list(LAYOUT_SPEAKERS)
+_COUNTS = [len(LAYOUT_SPEAKERS[name]) for name in _LAYOUTS]
 
 
 def _chunks(load):
-    layout = F.element_at(F.array(*[F.lit(name) for name in _LAYOUTS]), (F.col("vec_id") % len(_LAYOUTS) + 1).cast("int"))
-    count = F.element_at(F.array(*[F.lit(len(LAYOUT_SPEAKERS[name])) for name in _LAYOUTS]), (F.col("vec_id") % len(_LAYOUTS) + 1).cast("int"))
-    return load("embeddings").select(
-        F.expr("vec_id div 50").alias("stream_id"), "vec_id", layout.alias("layout"),
-        F.transform(F.sequence(F.lit(0), count - 1), lambda c: F.transform(
-            F.slice("embedding", c * 8 + 1, 8), lambda x: (x * 4).cast("float"))).alias("channels"))
+    at = (F.col("vec_id") % len(_LAYOUTS) + 1).cast("int")
+    chunks = load("embeddings").select(
+        F.expr("vec_id div 50").alias("stream_id"), "vec_id", "embedding",
+        F.element_at(F.array(*[F.lit(name) for name in _LAYOUTS]), at).alias("layout"),
+        F.element_at(F.array(*[F.lit(count) for count in _COUNTS]), at).alias("count"))
+    chunks = chunks.withColumn("frames", F.ceil(F.lit(64) / F.col("count")).cast("int"))
+    return chunks.withColumn("channels", F.transform(F.sequence(F.lit(0), F.col("count") - 1), lambda c: F.transform(
+        F.sequence(F.lit(0), F.col("frames") - 1),
+        lambda i: F.coalesce(F.get("embedding", c * F.col("frames") + i) * 4, F.lit(0.0)).cast("float")))).drop("embedding", "count")
 
 
-_CHUNKS = f"""ch AS (SELECT vec_id // 50 AS stream_id, vec_id, {[*_LAYOUTS]!r}[vec_id % {len(_LAYOUTS)} + 1] AS layout, embedding FROM embeddings),
-sm AS (SELECT stream_id, vec_id, layout, c, i, CAST(embedding[c * 8 + i + 1] * 4 AS FLOAT)::DOUBLE AS x FROM ch, range(8) a(c), range(8) b(i)
-  WHERE c < {[len(LAYOUT_SPEAKERS[name]) for name in _LAYOUTS]!r}[vec_id % {len(_LAYOUTS)} + 1])"""
+_CHUNKS = f"""ch AS (SELECT vec_id // 50 AS stream_id, vec_id, {[*_LAYOUTS]!r}[vec_id % {len(_LAYOUTS)} + 1] AS layout, {_COUNTS!r}[vec_id % {len(_LAYOUTS)} + 1] AS cc, embedding FROM embeddings),
+cf AS (SELECT *, CAST(ceil(64.0 / cc) AS BIGINT) AS fr FROM ch),
+sm AS (SELECT stream_id, vec_id, layout, fr, c, i, CAST(coalesce(embedding[c * fr + i + 1], 0) * 4 AS FLOAT)::DOUBLE AS x
+  FROM cf, range({max(_COUNTS)}) a(c), range(64) b(i) WHERE c < cc AND i < fr)"""
 
 
 def _events_as_chunks(load):
@@ -87,13 +95,15 @@ def _total(name):
 
 @query("seek_trim", f"""WITH {_CHUNKS}, t AS (SELECT *, vec_id * 1000 AS ts, 8000 AS rate, vec_id * 1000 + (vec_id % 13) * 100 - 200 AS start FROM sm),
 o AS (SELECT *, greatest(start - ts, 0) AS lead, CAST(ceil(greatest(start - ts, 0) * 8000 / 1000000) AS BIGINT) AS off FROM t)
-SELECT vec_id, CASE WHEN off > 0 THEN greatest(ts + off * 125, start) ELSE ts END AS ts, CAST(count(*) FILTER (i >= off) AS INTEGER) AS frames, round(sum(x) FILTER (i >= off), 5) AS total
-FROM o WHERE c = 0 AND NOT (lead > 0 AND lead >= 1000) AND off < 8 GROUP BY vec_id, ts, off, start""")
+SELECT vec_id, CAST(c AS INTEGER) AS channel, CASE WHEN off > 0 THEN greatest(ts + off * 125, start) ELSE ts END AS ts,
+  CAST(count(*) FILTER (i >= off) AS INTEGER) AS frames, round(sum(x) FILTER (i >= off), 5) + 0 AS total
+FROM o WHERE NOT (lead > 0 AND lead >= fr * 125) AND off < fr GROUP BY vec_id, c, ts, off, start""")
 def seek_trim(load):
     chunks = _chunks(load).withColumn("ts", F.col("vec_id") * 1000).withColumn("rate", F.lit(8000)).withColumn(
         "start", F.col("vec_id") * 1000 + (F.col("vec_id") % 13) * 100 - 200)
     trimmed = op.seek_trim(chunks, "ts", "rate", "start")
-    return trimmed.select("vec_id", "ts", F.size(F.col("channels")[0]).alias("frames"), F.round(_total(F.col("channels")[0]), 5).alias("total"))
+    return trimmed.select("vec_id", "ts", F.posexplode("channels").alias("channel", "__x")).select(
+        "vec_id", "channel", "ts", F.size("__x").alias("frames"), (F.round(_total("__x"), 5) + 0.0).alias("total"))
 
 
 def _weights_sql(algorithm):
@@ -134,15 +144,23 @@ def downmix_ramp(load):
     return mixed.select("vec_id", "layout", *[(F.round(_total(n), 4) + 0.0).alias(f"{n}_total") for n in ("left", "right")])
 
 
-@query("route_channels", f"""WITH {_CHUNKS}, w AS (SELECT * FROM (VALUES {", ".join(
-    f"('{name}', {o}, {c}, {weight!r}::DOUBLE)" for name in _LAYOUTS for o, row in enumerate(mixing.routing(name, '5.1')[0]) for c, weight in enumerate(row))}) t(layout, o, c, g)),
-n AS (SELECT layout, bool_or(z > 1) AS sums FROM (SELECT layout, o, count(*) FILTER (g > 0) AS z FROM w GROUP BY ALL) GROUP BY layout)
-SELECT vec_id, CAST(o AS INTEGER) AS speaker, round(sum(CAST(v AS FLOAT)::DOUBLE), 4) + 0 AS total, any_value(sums) AS needs_limiter
-FROM (SELECT vec_id, layout, o, i, sum(x * g) AS v FROM sm JOIN w USING (layout, c) GROUP BY ALL) JOIN n USING (layout) GROUP BY vec_id, o""")
+# Every layout into every output layout
+_ROUTES = ", ".join(
+    f"('{name}', '{output}', {o}, {c}, {weight!r}::DOUBLE)" for output in OUTPUT_LAYOUTS for name in _LAYOUTS
+    for o, row in enumerate(mixing.routing(name, output)[0]) for c, weight in enumerate(row))
+
+
+@query("route_channels", f"""WITH {_CHUNKS}, w AS (SELECT * FROM (VALUES {_ROUTES}) t(layout, output, o, c, g)),
+n AS (SELECT layout, output, bool_or(z > 1) AS sums FROM (SELECT layout, output, o, count(*) FILTER (g > 0) AS z FROM w GROUP BY ALL) GROUP BY ALL)
+SELECT vec_id, output, CAST(o AS INTEGER) AS speaker, round(sum(CAST(v AS FLOAT)::DOUBLE), 4) + 0 AS total, any_value(sums) AS needs_limiter
+FROM (SELECT vec_id, layout, output, o, i, sum(x * g) AS v FROM sm JOIN w USING (layout, c) GROUP BY ALL) JOIN n USING (layout, output) GROUP BY vec_id, output, o""")
 def route_channels(load):
-    routed = op.route_channels(_chunks(load), "layout", "5.1")
-    return routed.select("vec_id", "needs_limiter", F.posexplode("channels").alias("speaker", "__x")).select(
-        "vec_id", "speaker", (F.round(_total("__x"), 4) + 0.0).alias("total"), "needs_limiter")
+    chunks, found = _chunks(load), None
+    for output in OUTPUT_LAYOUTS:
+        routed = op.route_channels(chunks, "layout", output).withColumn("output", F.lit(output))
+        found = routed if found is None else found.unionByName(routed)
+    return found.select("vec_id", "output", "needs_limiter", F.posexplode("channels").alias("speaker", "__x")).select(
+        "vec_id", "output", "speaker", (F.round(_total("__x"), 4) + 0.0).alias("total"), "needs_limiter")
 
 
 def _stereo(load):
@@ -155,17 +173,23 @@ _PCM = """pcm AS (SELECT vec_id // 50 AS stream_id, c, vec_id % 50 * 32 + i AS f
 ln AS (SELECT stream_id, max(f) + 1 AS n FROM pcm GROUP BY stream_id)"""
 
 
+# Streams of four pairs of rates, in blocks of 512 source frames
 @query("resample", f"""WITH {_PCM},
-d AS (SELECT p, t, t - 31 - p / 2048::DOUBLE AS d FROM range(2049) a(p), range(64) b(t)),
-k AS (SELECT p, t, CASE WHEN abs(d / 32) >= 1 THEN 0 ELSE (CASE WHEN d = 0 THEN 1 ELSE sin(pi() * 0.863625::DOUBLE * d) / (pi() * 0.863625::DOUBLE * d) END) * (0.42::DOUBLE + 0.5::DOUBLE * cos(pi() * d / 32) + 0.08::DOUBLE * cos(2 * pi() * d / 32)) END AS k FROM d),
-w AS (SELECT p, t, k / sum(k) OVER (PARTITION BY p) AS w FROM k),
-o AS (SELECT stream_id, n, unnest(range((n * 44100 + 47999) // 48000)) AS j FROM ln),
-ps AS (SELECT *, j * 48000 // 44100 AS sf, CAST(floor((j * 48000 - j * 48000 // 44100 * 44100) * 2048 / 44100 + 0.5) AS BIGINT) AS p FROM o),
-y AS (SELECT ps.stream_id, j, CAST(sum(x * w) AS FLOAT)::DOUBLE AS y FROM ps JOIN w ON w.p = ps.p JOIN pcm ON pcm.stream_id = ps.stream_id AND c = 0 AND f = least(greatest(sf - 31 + t, 0), n - 1) GROUP BY ALL)
-SELECT stream_id, CAST(0 AS BIGINT) AS out_start, CAST(count(*) AS INTEGER) AS frames, round(sum(y), 3) + 0 AS total FROM y GROUP BY stream_id""")
+rt AS (SELECT * FROM (VALUES (0, 48000, 44100), (1, 44100, 48000), (2, 96000, 16000), (3, 48000, 48000)) t(m, src, dst)),
+d AS (SELECT m, least(1, dst / src::DOUBLE) * 0.94::DOUBLE AS cut, p, t, t - 31 - p / 2048::DOUBLE AS d FROM rt, range(2049) a(p), range(64) b(t) WHERE src <> dst),
+k AS (SELECT m, p, t, CASE WHEN abs(d / 32) >= 1 THEN 0 ELSE (CASE WHEN d = 0 THEN 1 ELSE sin(pi() * cut * d) / (pi() * cut * d) END) * (0.42::DOUBLE + 0.5::DOUBLE * cos(pi() * d / 32) + 0.08::DOUBLE * cos(2 * pi() * d / 32)) END AS k FROM d),
+w AS (SELECT m, p, t, k / sum(k) OVER (PARTITION BY m, p) AS w FROM k),
+o AS (SELECT stream_id, n, m, src, dst, unnest(range((n * dst + src - 1) // src)) AS j FROM ln JOIN rt ON m = stream_id % 4),
+ps AS (SELECT *, j * src // dst AS sf, CAST(floor((j * src - j * src // dst * dst) * 2048 / dst + 0.5) AS BIGINT) AS p FROM o),
+y AS (SELECT ps.stream_id, j, sf, c, CAST(sum(x * w) AS FLOAT)::DOUBLE AS y FROM ps JOIN w ON w.p = ps.p AND w.m = ps.m JOIN pcm ON pcm.stream_id = ps.stream_id AND f = least(greatest(sf - 31 + t, 0), n - 1) GROUP BY ALL
+  UNION ALL SELECT ps.stream_id, j, sf, c, x FROM ps JOIN pcm ON pcm.stream_id = ps.stream_id AND f = sf WHERE src = dst)
+SELECT stream_id, CAST(c AS INTEGER) AS channel, CAST(min(j) AS BIGINT) AS out_start, CAST(count(*) AS INTEGER) AS frames, round(sum(y), 3) + 0 AS total FROM y GROUP BY stream_id, c, sf // 512""")
 def resample(load):
-    out = op.resample(_stereo(load), "stream_id", "start_frame", 48_000, 44_100)
-    return out.select("stream_id", "out_start", F.size(F.col("channels")[0]).alias("frames"), (F.round(_total(F.col("channels")[0]), 3) + 0.0).alias("total"))
+    pair = lambda rates: F.element_at(F.array(*[F.lit(rate) for rate in rates]), (F.col("stream_id") % 4 + 1).cast("int"))
+    rated = _stereo(load).withColumn("source", pair([48_000, 44_100, 96_000, 48_000])).withColumn("target", pair([44_100, 48_000, 16_000, 48_000]))
+    out = op.resample(rated, "stream_id", "start_frame", "source", "target", block=512)
+    return out.select("stream_id", "out_start", F.posexplode("channels").alias("channel", "__x")).select(
+        "stream_id", "channel", "out_start", F.size("__x").alias("frames"), (F.round(_total("__x"), 3) + 0.0).alias("total"))
 
 
 @query("signal_stats", """WITH s AS (SELECT vec_id // 50 AS stream_id, vec_id * 10000 // 100000 * 100000 AS window_us, CASE WHEN i = 7 AND vec_id % 9 = 0 THEN 'nan'::DOUBLE ELSE CAST(embedding[i + 1] * 6 AS FLOAT)::DOUBLE END AS x FROM embeddings, range(64) r(i))
@@ -192,19 +216,21 @@ def normalization_gain(load):
     return op.normalization_gain(items, "track", "album", "mode").select("event_id", "mode", F.round("linear_gain", 9).alias("linear_gain"))
 
 
-# Every peak's ramp, and the release as a maximum of decaying reductions; 144 and 480 frames are 3 and 10 ms at 48 kHz
+# Every peak's ramp, and the release as a maximum of decaying reductions; streams of three rates, whose 3, 10 and 100 ms are so many frames
 @query("limit_peaks", f"""WITH {_PCM},
+rt AS (SELECT * FROM (VALUES (0, 144, 480, 4800), (1, 133, 441, 4410), (2, 96, 320, 3200)) t(m, short, long, fall)),
 pk AS (SELECT stream_id, f, max(abs(x)) AS p FROM pcm GROUP BY ALL),
 hi AS (SELECT stream_id, f, pow(10, -1 / 20::DOUBLE) / p AS need FROM pk WHERE p > pow(10, -1 / 20::DOUBLE)),
-le AS (SELECT *, CAST(floor(144 + 336 * least(1, -20 * log10(need) / 12) + 0.5) AS BIGINT) AS len FROM hi),
+le AS (SELECT hi.*, CAST(floor(short + (long - short) * least(1, -20 * log10(need) / 12) + 0.5) AS BIGINT) AS len FROM hi JOIN rt ON m = stream_id % 3),
 rp AS (SELECT stream_id, g, need, 1 - (f - g) / CAST(len AS DOUBLE) AS t FROM (SELECT *, unnest(range(greatest(f - len, 0), f + 1)) AS g FROM le)),
 al AS (SELECT stream_id, g AS f, min(1 - (1 - need) * t * t * t * (t * (6 * t - 15) + 10)) AS a FROM rp GROUP BY ALL),
-rd AS (SELECT pk.stream_id, pk.f, p, 1 - coalesce(a, 1) AS d FROM pk LEFT JOIN al ON pk.stream_id = al.stream_id AND pk.f = al.f),
-rl AS (SELECT *, coalesce(exp(max(CASE WHEN d > 0 THEN ln(d) + f / 4800::DOUBLE END) OVER (PARTITION BY stream_id ORDER BY f) - f / 4800::DOUBLE), 0) AS e FROM rd)
-SELECT stream_id, CAST(0 AS BIGINT) AS block_no, CAST(0 AS BIGINT) AS start_frame, count(*) FILTER (1 - e < 1 - 1e-7) AS limited_frames, round(min(1 - e), 6) AS minimum_gain, round(max(p), 6) AS input_peak, round(max(p * (1 - e)), 6) AS output_peak
-FROM rl GROUP BY stream_id""")
+rd AS (SELECT pk.stream_id, pk.f, p, fall, 1 - coalesce(a, 1) AS d FROM pk JOIN rt ON m = pk.stream_id % 3 LEFT JOIN al ON pk.stream_id = al.stream_id AND pk.f = al.f),
+rl AS (SELECT *, coalesce(exp(max(CASE WHEN d > 0 THEN ln(d) + f / fall::DOUBLE END) OVER (PARTITION BY stream_id ORDER BY f) - f / fall::DOUBLE), 0) AS e FROM rd)
+SELECT stream_id, CAST(f // 512 AS BIGINT) AS block_no, CAST(f // 512 * 512 AS BIGINT) AS start_frame, count(*) FILTER (1 - e < 1 - 1e-7) AS limited_frames, round(min(1 - e), 6) AS minimum_gain, round(max(p), 6) AS input_peak, round(max(p * (1 - e)), 6) AS output_peak
+FROM rl GROUP BY stream_id, f // 512""")
 def limit_peaks(load):
-    out = op.limit_peaks(_stereo(load), "stream_id", "start_frame", 48_000)
+    rate = F.element_at(F.array(F.lit(48_000), F.lit(44_100), F.lit(32_000)), (F.col("stream_id") % 3 + 1).cast("int"))
+    out = op.limit_peaks(_stereo(load).withColumn("rate", rate), "stream_id", "start_frame", "rate", block=512)
     return out.drop("channels").withColumns({n: F.round(n, 6) for n in ("minimum_gain", "input_peak", "output_peak")})
 
 

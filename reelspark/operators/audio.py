@@ -381,23 +381,30 @@ def filter_table(source: int, target: int) -> tuple[int, np.ndarray]:
     return radius, taps / taps.sum(axis=1, keepdims=True)
 
 
+def _rate(rate: int | str) -> Column:
+    return (F.col(rate) if isinstance(rate, str) else F.lit(rate)).cast("long")
+
+
 def resample(
-    chunks: DataFrame, key, start: str, source: int, target: int, channels: str = "channels", block: int = BLOCK_FRAMES,
+    chunks: DataFrame, key, start: str, source: int | str, target: int | str, channels: str = "channels", block: int = BLOCK_FRAMES,
 ) -> DataFrame:
     """A5. Streams at another rate: (key, ``out_start``, ``channels``), one row per block.
 
-    Output frame j lies at source frame j * source / target, so every block works out its own frames from the samples
-    within the filter's radius; the ends of a stream are extended by their last sample.
+    Rates are numbers for all streams or columns, equal within a stream. Output frame j lies at source frame j * source / target, so
+    every block works out its own frames from the samples within the filter's radius; the ends of a stream are extended by
+    their last sample. A task makes a filter once for each ratio of rates that it meets.
     """
     key = [key] if isinstance(key, str) else list(key)
-    radius, taps = filter_table(source, target)
-    blocks = _blocks(chunks, key, start, channels, radius, radius, block)
+    rated = chunks.withColumns({"__source": _rate(source), "__target": _rate(target)})
+    radius = F.ceil(RADIUS * F.greatest(F.lit(1.0), F.col("__source") / QUALIFIED_RATE))
+    blocks = _blocks(rated, [*key, "__source", "__target"], start, channels, radius, radius, block)
     schema = T.StructType([blocks.schema[name] for name in key] + list(T.StructType.fromDDL(f"out_start bigint, channels {SAMPLES}")))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bank: dict[tuple, tuple[int, np.ndarray]] = {}
         for pdf in batches:
             rows = []
-            for *name, number, pieces in pdf.itertuples(index=False):
+            for *name, source, target, number, pieces in pdf.itertuples(index=False):
                 at, samples = _assemble(pieces)
                 end = at + samples.shape[1]
                 low, high = int(number) * block, min((int(number) + 1) * block, end)
@@ -410,6 +417,12 @@ def resample(
                 if source == target:
                     rows.append((*name, int(first), samples[:, low - at:high - at].astype(np.float32).tolist()))
                     continue
+                shared = math.gcd(source, target)
+                # Above the rate up to which filters are alike their length follows the source's
+                ratio = (source // shared, target // shared, max(source, QUALIFIED_RATE))
+                if ratio not in bank:
+                    bank[ratio] = filter_table(source, target)
+                radius, taps = bank[ratio]
                 position = outputs * source
                 frame = position // target
                 phase = np.floor((position - frame * target) * PHASES / target + 0.5).astype(np.int64)
@@ -419,7 +432,7 @@ def resample(
                     np.einsum("ij,ij->i", channel[index], weights).astype(np.float32).tolist() for channel in samples]))
             yield pd.DataFrame(rows, columns=schema.names)
 
-    return blocks.select(*key, "__block", "__pieces").mapInPandas(run, schema)
+    return blocks.select(*key, "__source", "__target", "__block", "__pieces").mapInPandas(run, schema)
 
 
 # ---- A6, A7 ---------------------------------------------------------------------------------------------------
@@ -496,21 +509,25 @@ def release(reduction: np.ndarray, decay: float, entry: float) -> np.ndarray:
 
 
 def limit_peaks(
-    chunks: DataFrame, key, start: str, rate: int, channels: str = "channels", block: int = BLOCK_FRAMES,
+    chunks: DataFrame, key, start: str, rate: int | str, channels: str = "channels", block: int = BLOCK_FRAMES,
 ) -> DataFrame:
     """A8. Streams held below -1 dBFS by one gain for all channels: (key, ``block_no``, ``start_frame``, ``channels``,
     ``limited_frames``, ``minimum_gain``, ``input_peak``, ``output_peak``).
 
-    The attack needs the next 10 ms, which a block carries. The release is a maximum of decaying reductions, so each
+    The rate is a number for all streams or a column, equal within a stream. The attack needs the next 10 ms, which a block carries. The release is a maximum of decaying reductions, so each
     block first tells the reduction it ends with, a running maximum over those few numbers gives every block the one it
     starts from, and no pass over samples is sequential.
     """
     key = [key] if isinstance(key, str) else list(key)
-    decay = math.exp(-1 / (RELEASE_MS / 1000 * rate))
-    slope = -math.log(decay)
-    blocks = _blocks(chunks, key, start, channels, 0, _frames_of(ATTACK_MS[1], rate), block)
+    rated = chunks.withColumn("__rate", _rate(rate))
+    reach = F.greatest(F.lit(1), F.ceil(F.col("__rate") * ATTACK_MS[1] / 1000))
+    blocks = _blocks(rated, [*key, "__rate"], start, channels, 0, reach, block)
+
+    def fall(rate):
+        """What a reduction's logarithm loses in a frame."""
+        return 1 / (RELEASE_MS / 1000 * rate)
 
-    def prepare(number, pieces):
+    def prepare(number, rate, pieces):
         at, samples = _assemble(pieces)
         low = int(number) * block
         count = min((int(number) + 1) * block, at + samples.shape[1]) - max(low, at)
@@ -525,15 +542,15 @@ def limit_peaks(
     def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for *name, number, pieces in pdf.itertuples(index=False):
-                ready = prepare(number, pieces)
+            for *name, rate, number, pieces in pdf.itertuples(index=False):
+                ready = prepare(number, rate, pieces)
                 if ready is not None:
-                    left = release(ready[3], decay, 0.0)[-1]
+                    left = release(ready[3], math.exp(-fall(rate)), 0.0)[-1]
                     end = ready[0] + len(ready[2])
-                    rows.append((*name, int(number), end, math.log(left) + slope * end if left > 0 else None))
+                    rows.append((*name, int(number), end, math.log(left) + fall(rate) * end if left > 0 else None))
             yield pd.DataFrame(rows, columns=ends_schema.names)
 
-    told = blocks.select(*key, "__block", "__pieces").mapInPandas(ends, ends_schema)
+    told = blocks.select(*key, "__rate", "__block", "__pieces").mapInPandas(ends, ends_schema)
     carried = Timeline(told, key, "block_no").scan(__reached=RunningMax("__log")).scan(__log_so_far=Lag("__reached")).df
     entries = carried.select(*key, F.col("block_no").alias("__block"), "__log_so_far")
     joined = blocks.join(entries, [*key, "__block"], "left")
@@ -544,20 +561,20 @@ def limit_peaks(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for *name, number, pieces, log_so_far in pdf.itertuples(index=False):
-                ready = prepare(number, pieces)
+            for *name, rate, number, pieces, log_so_far in pdf.itertuples(index=False):
+                ready = prepare(number, rate, pieces)
                 if ready is None:
                     continue
                 at, samples, peaks, reduction = ready
                 known = log_so_far is not None and log_so_far == log_so_far
-                entry = math.exp(log_so_far - slope * at) if known else 0.0
-                gain = 1 - release(reduction, decay, entry)
+                entry = math.exp(log_so_far - fall(rate) * at) if known else 0.0
+                gain = 1 - release(reduction, math.exp(-fall(rate)), entry)
                 out = samples * gain
                 rows.append((*name, int(number), at, out.astype(np.float32).tolist(), int((gain < 1 - LIMITED_EPSILON).sum()),
                              float(gain.min()), float(peaks.max()), float(np.abs(out).max())))
             yield pd.DataFrame(rows, columns=schema.names)
 
-    return joined.select(*key, "__block", "__pieces", "__log_so_far").mapInPandas(run, schema)
+    return joined.select(*key, "__rate", "__block", "__pieces", "__log_so_far").mapInPandas(run, schema)
 
 
 # ---- A9 -------------------------------------------------------------------------------------------------------
