@@ -165,31 +165,42 @@ def reconcile_timeline(
     """
     key = [key] if isinstance(key, str) else list(key)
     rule = ReconcileFold(ts, frames, rate, quantisation_us, bound_us)
-    raw, clock = F.coalesce(frames, F.lit(0)).cast("long"), (2 * F.col("__raw") * 1_000_000 + F.col(rate)).cast("long")
-    # The anchor's time less the frames before it
-    at_start = F.col(ts) - F.floor(clock / (2 * F.col(rate))).cast("long")
-    placed = Timeline(chunks.select(*dict.fromkeys([*key, seq, ts, frames, rate])), key, seq).scan(
-        __n=RowNumber(), __sum=RunningSum(raw), __latest=LastKnown(ts, inclusive=False))
+    narrow = chunks.select(*dict.fromkeys([*key, seq, ts, frames, rate]))
+    carried = list(dict.fromkeys([*key, seq]))
+    schema = T.StructType([chunks.schema[name] for name in carried] + list(parse_schema(rule.schema)))
+    arrow = to_arrow_schema(schema)
+
+    def decide(rows: DataFrame, together: list[str]) -> DataFrame:
+        laid = rows.repartition(*together).sortWithinPartitions(*together, seq)
+        return laid.mapInArrow(lambda batches: run_sorted(batches, rule, together, carried, arrow, enter=_entered), schema)
+
+    # Streams of several runs; where there are none, every stream is one run from its start
+    long = narrow.groupBy(*key).agg(F.count(F.lit(1)).alias("__chunks")).where(F.col("__chunks") > run_chunks).select(
+        *[F.col(name).alias(f"__of_{name}") for name in key])
+    if long.isEmpty():
+        return decide(narrow, key)
+    short = narrow.join(long, same_key(key, "__of_"), "left_anti")
+    entered = _entered_runs(narrow.join(long, same_key(key, "__of_"), "left_semi"), key, seq, rule, run_chunks)
+    return decide(entered, [*key, "__run"]).unionByName(decide(short, key))
+
+
+def _entered_runs(chunks: DataFrame, key: list[str], seq: str, rule: ReconcileFold, run_chunks: int) -> DataFrame:
+    """The chunks of long streams with their run and, in ``__entry``, the state that it starts from (null at a stream's start)."""
+    ts, frames, rate = rule.inputs
+    raw = F.coalesce(frames, F.lit(0)).cast("long")
+    placed = Timeline(chunks, key, seq).scan(__n=RowNumber(), __sum=RunningSum(raw), __latest=LastKnown(ts, inclusive=False))
     placed = placed.apply(lambda df: df.withColumn("__raw", F.col("__sum") - raw).withColumn("__run", F.floor((F.col("__n") - 1) / run_chunks)))
+    # The anchor's time less the frames before it
+    at_start = F.col(ts) - F.floor((2 * F.col("__raw") * 1_000_000 + F.col(rate)).cast("long") / (2 * F.col(rate))).cast("long")
     placed = placed.scan(__anchor=LastKnown(F.when(F.col("__latest").isNull() & F.col(ts).isNotNull(), at_start))).df
-    runs = placed.groupBy(*key, "__run").agg(F.count(F.lit(1)).alias("__chunks")).where("__run > 0").select(
-        *[F.col(name).alias(f"__of_{name}") for name in key]).distinct()
-    several = placed.join(runs, same_key(key, "__of_"), "left_semi")
     advances = F.coalesce((F.col(ts) > F.col("__latest")) & F.col("__anchor").isNotNull(), F.lit(False))
-    narrow = several.select(
+    entries = _run_entries(placed.select(
         *key, "__run", "__n", (F.col(ts) - F.col("__anchor")).cast("long").alias("elapsed"), advances.alias("advances"), raw.alias("frames"),
-        F.col(rate).cast("long").alias("rate"), "__raw")
-    entries = _run_entries(narrow, key, rule)
-    state = F.when(F.col("__offset").isNotNull() & (F.col("__run") > 0), F.to_json(F.struct(
+        F.col(rate).cast("long").alias("rate"), "__raw"), key, rule)
+    state = F.when(F.col("__run") > 0, F.to_json(F.struct(
         F.col("__anchor").alias("a"), (F.col("__raw") + F.col("__offset")).alias("t"), F.col("__latest").alias("p"), (F.col("__offset") == _REJECTED).alias("r"))))
-    entered = placed.join(entries, same_key(key, "__of_") & (F.col("__run") == F.col("__of_run")), "left").select(
+    return placed.join(entries, same_key(key, "__of_") & (F.col("__run") == F.col("__of_run"))).select(
         *dict.fromkeys([*key, seq, *rule.inputs]), "__run", state.alias("__entry"))
-    carried = list(dict.fromkeys([*key, seq]))
-    schema = T.StructType([chunks.schema[name] for name in carried] + list(parse_schema(rule.schema)))
-    arrow = to_arrow_schema(schema)
-    by_run = [*key, "__run"]
-    laid = entered.repartition(*by_run).sortWithinPartitions(*by_run, seq)
-    return laid.mapInArrow(lambda batches: run_sorted(batches, rule, by_run, carried, arrow, enter=_entered), schema)
 
 
 def _entered(text: str) -> list:

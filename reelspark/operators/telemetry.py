@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numbers import half_up
 from ..plans import Lag, RowNumber, RunningSum, Timeline
-from ..plans.skew import same_key
+from ..plans.skew import counted_rows, same_key
 
 
 def normalize_trace(page: DataFrame, worker: DataFrame, starts: DataFrame, session: str) -> DataFrame:
@@ -70,17 +70,19 @@ def event_summary(
         F.sum(weight).alias("events"), F.sum(F.col(wait) * weight).alias("wait_sum_us"),
         F.sum(F.when(F.col(wait).isNotNull(), weight)).alias("__known"), F.max(wait).alias("wait_max_us"))
     totals = totals.select(*key, "events", "wait_sum_us", (F.col("wait_sum_us").cast("double") / F.col("__known")).alias("wait_mean_us"), "wait_max_us", "__known")
-    return exact_percentiles(totals, counted, key, wait, {f"wait_p{round(p * 100)}_us": p for p in percentiles})
+    # An event is counted in each window that holds it, once at most
+    at_most = None if events.isStreaming else counted_rows(events.select(*group, at, wait)) * -(-width_us // slide_us)
+    return exact_percentiles(totals, counted, key, wait, {f"wait_p{round(p * 100)}_us": p for p in percentiles}, at_most)
 
 
-def exact_percentiles(totals: DataFrame, counted: DataFrame, key: list[str], value: str, names: dict[str, float]) -> DataFrame:
+def exact_percentiles(totals: DataFrame, counted: DataFrame, key: list[str], value: str, names: dict[str, float], at_most: int | None = None) -> DataFrame:
     """``totals`` and per key the least value that at least a share of the known values do not exceed, one column per named share.
 
     ``counted`` has each distinct value of a key once, null too, with ``__times``; ``totals`` a row for each key with ``__known``, how many known
     values it has. A running count over values finds the percentiles, so no key's values are ever held together, however many they are.
     """
     known = F.col(value).isNotNull()
-    reached = Timeline(counted.select(*key, value, "__times"), key, value).scan(__reach=RunningSum(F.when(known, F.col("__times")))).df
+    reached = Timeline(counted.select(*key, value, "__times"), key, value, at_most=at_most).scan(__reach=RunningSum(F.when(known, F.col("__times")))).df
     facts = [name for name in totals.columns if name not in key and name != "__known"]
     joined = reached.join(totals.select(*[F.col(name).alias(f"__of_{name}") for name in key], *facts, "__known"), same_key(key, "__of_"))
     return joined.groupBy(*key).agg(

@@ -48,10 +48,11 @@ def same_key(key: list[str], prefix: str = "__hot_") -> Column:
 class Chunks:
     """The cut points of a DataFrame's keys; falsy where keys are not cut: for few rows, and on a stream."""
 
-    def __init__(self, df: DataFrame, key: list[str], order: list[str]):
+    def __init__(self, df: DataFrame, key: list[str], order: list[str], at_most: int | None = None):
         self.key, self.order = list(key), list(order)
         narrow = df.select(*key, *[name for name in order if name not in key])
-        self.cut = not df.isStreaming and counted_rows(narrow) > hot_rows(df)
+        few = at_most is not None and at_most <= hot_rows(df)
+        self.cut = not df.isStreaming and not few and counted_rows(narrow) > hot_rows(df)
         if not self.cut:
             return
         place = F.struct(*[F.col(name).alias(f"o{i}") for i, name in enumerate(order)])
@@ -80,6 +81,10 @@ class Chunks:
         )
 
 
-def find_chunks(df: DataFrame, key: list[str], order) -> Chunks:
-    """The chunks of a DataFrame's keys by one or several order columns."""
-    return Chunks(df, key, [order] if isinstance(order, str) else list(order))
+def find_chunks(df: DataFrame, key: list[str], order, at_most: int | None = None) -> Chunks:
+    """The chunks of a DataFrame's keys by one or several order columns.
+
+    ``at_most`` is a number of rows that it cannot exceed, if one is known from a table it is made of: where that is
+    small enough the rows themselves, and all that they are made from, are not counted.
+    """
+    return Chunks(df, key, [order] if isinstance(order, str) else list(order), at_most)

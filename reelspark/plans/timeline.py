@@ -168,12 +168,12 @@ class Framed(Scan):
 
 
 class Timeline:
-    """The rows of ``df`` ordered by ``order`` within ``key``."""
+    """The rows of ``df`` ordered by ``order`` within ``key``; ``at_most`` as for :func:`~reelspark.plans.skew.find_chunks`."""
 
-    def __init__(self, df: DataFrame, key, order, chunks: Chunks | None = None):
+    def __init__(self, df: DataFrame, key, order, chunks: Chunks | None = None, at_most: int | None = None):
         self.key = [key] if isinstance(key, str) else list(key)
         self.order = [order] if isinstance(order, str) else list(order)
-        self.chunks = find_chunks(df, self.key, self.order) if chunks is None else chunks
+        self.chunks = find_chunks(df, self.key, self.order, at_most) if chunks is None else chunks
         if self.chunks and CHUNK not in df.columns:
             df = self.chunks.assign(df)
         self._df = df
