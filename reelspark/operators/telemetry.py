@@ -63,8 +63,7 @@ def event_summary(
     counted = events.groupBy(*group, pane, wait).agg(F.count(F.lit(1)).alias("__times"))
     if pane_us < width_us:
         starts = window_starts(F.col("window_us"), width_us, slide_us)
-        counted = counted.select(*group, wait, "__times", F.explode(starts).alias("window_us")).groupBy(*key, wait).agg(
-            F.sum("__times").alias("__times"))
+        counted = counted.select(*group, wait, "__times", F.explode(starts).alias("window_us"))
     weight = F.col("__times")
     totals = counted.groupBy(*key).agg(
         F.sum(weight).alias("events"), F.sum(F.col(wait) * weight).alias("wait_sum_us"),
@@ -78,8 +77,8 @@ def event_summary(
 def exact_percentiles(totals: DataFrame, counted: DataFrame, key: list[str], value: str, names: dict[str, float], at_most: int | None = None) -> DataFrame:
     """``totals`` and per key the least value that at least a share of the known values do not exceed, one column per named share.
 
-    ``counted`` has each distinct value of a key once, null too, with ``__times``; ``totals`` a row for each key with ``__known``, how many known
-    values it has. A running count over values finds the percentiles, so no key's values are ever held together, however many they are.
+    ``counted`` has a key's distinct values, null too, with ``__times``, which may be split over several rows; ``totals`` a row for each key with
+    ``__known``, how many known values it has. A running count over values finds the percentiles, so no key's values are ever held together, however many they are.
     """
     known = F.col(value).isNotNull()
     reached = Timeline(counted.select(*key, value, "__times"), key, value, at_most=at_most).scan(__reach=RunningSum(F.when(known, F.col("__times")))).df
