@@ -168,12 +168,34 @@ def peak_measure_percentile(load):
     return measured.select("l_suppkey", F.round("frame_peak_pq", 6).alias("frame_peak_pq"))
 
 
-@query("peak_smooth")
+def _nits(code):
+    p = f"pow(least(greatest({code}, 0), 1), 1 / 78.84375::DOUBLE)"
+    return f"(10000 * pow(greatest({p} - 0.8359375::DOUBLE, 0) / greatest(18.8515625::DOUBLE - 18.6875::DOUBLE * {p}, 1e-7::DOUBLE), 1 / 0.1593017578125::DOUBLE))"
+
+
+# A twentieth's decay smooths; a jump of one to three hundredths, weighted by the active tiles, fades the smoothing out
+@query("peak_smooth", f"""WITH RECURSIVE {_PEAK},
+ms AS (SELECT l_suppkey // 10 AS stream_id, l_suppkey, row_number() OVER (PARTITION BY l_suppkey // 10 ORDER BY l_suppkey) AS n, active_tiles / tiles::DOUBLE AS share,
+  CASE WHEN active_tiles > 0 THEN pq_sum::DOUBLE / (active_tiles * 16383) ELSE 1e-6::DOUBLE END AS a,
+  CASE WHEN active_tiles > 0 THEN {_code("max_code / 65535 * 10000")} ELSE 1e-6::DOUBLE END AS p FROM fr),
+sp AS (
+  SELECT stream_id, l_suppkey, n, a, p FROM ms WHERE n = 1
+  UNION ALL
+  SELECT stream_id, l_suppkey, n, sa + (na - sa) * mix, sp + (np - sp) * mix
+  FROM (SELECT *, near * near * (3 - 2 * near) AS mix
+    FROM (SELECT *, least(greatest((share * abs(na - sa) - 0.01::DOUBLE) / 0.02::DOUBLE, 0), 1) AS near
+      FROM (SELECT *, oa + (1 - exp(-1 / 20::DOUBLE)) * (na - oa) AS sa, op + (1 - exp(-1 / 20::DOUBLE)) * (np - op) AS sp
+        FROM (SELECT ms.stream_id, ms.l_suppkey, ms.n, share, sp.a AS oa, sp.p AS op, CASE WHEN abs(ms.a - sp.a) < 1 / 16383::DOUBLE THEN sp.a ELSE ms.a END AS na,
+            CASE WHEN abs(ms.p - sp.p) < 1 / 16383::DOUBLE THEN sp.p ELSE ms.p END AS np FROM sp JOIN ms ON ms.stream_id = sp.stream_id AND ms.n = sp.n + 1)))))
+SELECT stream_id, l_suppkey, round(a, 6) AS average_pq, round(p, 6) AS peak_pq, round(greatest(203, {_nits("p")}), 3) AS scene_peak_nits,
+  round(least(greatest(203, {_nits("p")}), {_nits("a")}), 3) AS scene_average_nits FROM sp""")
 def peak_smooth(load):
     """Ten frames to a stream, from the peak measurement of every frame."""
     measured = op.peak_measure(_pixels(load), ["l_suppkey"], "x", "y", ("c0", "c1", "c2")).withColumn(
         "stream_id", F.expr("l_suppkey div 10"))
-    return op.peak_smooth(measured, "stream_id", "l_suppkey")
+    smoothed = op.peak_smooth(measured, "stream_id", "l_suppkey")
+    return smoothed.withColumns({name: F.round(name, digits) for name, digits in (
+        ("average_pq", 6), ("peak_pq", 6), ("scene_peak_nits", 3), ("scene_average_nits", 3))})
 
 
 _YUV = """yv AS (SELECT *, CASE WHEN l_linenumber % 2 = 0 THEN 'full' ELSE 'limited' END AS range, CASE WHEN l_linenumber % 3 = 0 THEN 8 ELSE 10 END AS depth,
@@ -246,7 +268,32 @@ def convert_gamut(load):
     return _rounded(color.convert_gamut(samples, ("c0", "c1", "c2"), "primaries", "target"), digits=9)
 
 
-@query("ipt_round_trip")
+# Each primaries' weights to cone responses, and back
+_CONES = """cn AS (SELECT * FROM (VALUES
+  ('bt709', [0.295764080594::DOUBLE, 0.623072450736, 0.081166749035, 0.156191976513, 0.727251644307, 0.116557934317, 0.035102284710, 0.156589948771, 0.808303025242],
+    [6.173532657683::DOUBLE, -5.320898820809, 0.147354885063, -1.324031910094, 2.560269770177, -0.236238618417, -0.011598387923, -0.264921446713, 1.276526337036]),
+  ('bt2020', [0.412036386719::DOUBLE, 0.523911912035, 0.064054981611, 0.166660218723, 0.720395213485, 0.112946122929, 0.024112358560, 0.075474962757, 0.900407937406],
+    [3.436814829107::DOUBLE, -2.506773801082, 0.069951928006, -0.791058237834, 1.983601669423, -0.192544834310, -0.025726806109, -0.099141766410, 1.124874144431]),
+  ('smpte170m', [0.288824557305::DOUBLE, 0.616246090240, 0.094932632820, 0.159484800122, 0.709703043629, 0.130813711386, 0.034452280391, 0.149462853268, 0.816080125064],
+    [6.650620511838::DOUBLE, -5.807971795602, 0.157339245483, -1.493185948114, 2.762264193554, -0.269078918721, -0.007294884663, -0.260707262076, 1.268008588083]),
+  ('bt470bg', [0.308790479740::DOUBLE, 0.611003281765, 0.080209518860, 0.163071172342, 0.721747060290, 0.115183322506, 0.036648301964, 0.164576554862, 0.798770401897],
+    [5.857246129788::DOUBLE, -4.988429866809, 0.131172902735, -1.324031910094, 2.560269770177, -0.236238618417, 0.004064353714, -0.298637623081, 1.294579858417])) t(primaries, w, v))"""
+_ROW = "({m}[{0}] * {a} + {m}[{1}] * {b} + {m}[{2}] * {c})"
+
+
+def _rows(matrix, a, b, c):
+    return [_ROW.format(3 * n + 1, 3 * n + 2, 3 * n + 3, m=matrix, a=a, b=b, c=c) for n in range(3)]
+
+
+@query("ipt_round_trip", f"""WITH {_SAMPLES}, {_CONES},
+nt AS (SELECT sm.primaries, w, v, c0 * 1000 AS n0, c1 * 1000 AS n1, c2 * 1000 AS n2 FROM sm JOIN cn ON sm.primaries = cn.primaries),
+lm AS (SELECT *, {", ".join(f"{_code(x)} AS l{n}" for n, x in enumerate(_rows("w", "greatest(n0, 0)", "greatest(n1, 0)", "greatest(n2, 0)")))} FROM nt),
+ip AS (SELECT *, 0.4::DOUBLE * l0 + 0.4::DOUBLE * l1 + 0.2::DOUBLE * l2 AS i, 4.455::DOUBLE * l0 - 4.851::DOUBLE * l1 + 0.396::DOUBLE * l2 AS p,
+  0.8056::DOUBLE * l0 + 0.3572::DOUBLE * l1 - 1.1628::DOUBLE * l2 AS t FROM lm),
+bk AS (SELECT *, {_nits("i + 0.0975689::DOUBLE * p + 0.205226::DOUBLE * t")} AS b0, {_nits("i - 0.113876::DOUBLE * p + 0.133217::DOUBLE * t")} AS b1,
+  {_nits("i + 0.0326151::DOUBLE * p - 0.676887::DOUBLE * t")} AS b2 FROM ip),
+er AS (SELECT primaries, greatest({", ".join(f"abs({x} - n{n})" for n, x in enumerate(_rows("v", "b0", "b1", "b2")))}) AS e FROM bk)
+SELECT primaries, count(*) AS samples, round(max(e), 2) AS maximum_error_nits FROM er GROUP BY primaries""")
 def ipt_round_trip(load):
     """Linear light to IPTPQc4 and back, with the greatest error per primaries."""
     samples = _samples(load).withColumns({f"n{n}": F.col(f"c{n}") * 1000 for n in range(3)})

@@ -10,6 +10,7 @@ from ..operators.timing import FrameIntervalFold
 from ..session import work_dir
 from ..streaming import closable, fold_stream, late_counts, mark, play_sessions_stream, read_snapshot, stream_event_summary, upsert_verdict_stream
 from .tables import EVENTS, QUERIES, ORACLE, configure
+from .timing import interval_sql
 from .verdicts import _RESULT
 
 
@@ -81,13 +82,18 @@ def stream_play_sessions(spark, sf_dir):
     return _run(spark, lambda rows: play_sessions_stream(rows, ["user_id"], "at", "1 hour", "3 hours", "dur", is_drop), _stream(spark, sf_dir))
 
 
-@_register("stream_frame_interval")
+_FRAMES = """fr AS (SELECT event_id // 500 AS stream_id, event_id, row_number() OVER (PARTITION BY event_id // 500 ORDER BY us, event_id) AS n,
+  event_id % 500 * 41708 AS ts, CASE WHEN k % 2 = 0 THEN 42000 END AS dur FROM ev)"""
+
+
+@_register("stream_frame_interval", f"WITH {interval_sql(_FRAMES)}")
 def stream_frame_interval(spark, sf_dir):
     frames = _stream(spark, sf_dir).select(
         "at", F.expr("event_id div 500").alias("stream_id"), "event_id", ((F.col("event_id") % 500) * 41_708).alias("frame_us"),
         F.when(F.col("k") % 2 == 0, 42_000).cast("long").alias("frame_dur"))
     rule = FrameIntervalFold("frame_us", "frame_dur")
-    return _run(spark, lambda rows: fold_stream(rows, "stream_id", "at", ["event_id"], rule, "1 hour", 3_600_000), frames)
+    found = _run(spark, lambda rows: fold_stream(rows, "stream_id", "at", ["event_id"], rule, "1 hour", 86_400_000), frames)
+    return found.withColumn("interval_us", F.round("interval_us", 3))
 
 
 @_register("stream_upsert_verdicts", f"""WITH {EVENTS}, vd AS (SELECT 'host' || user_id AS host, event_type AS probe, 'fp' AS fingerprint, 1 AS schema_version, {_RESULT} AS result, us AS written_at FROM ev)

@@ -16,7 +16,33 @@ def _frames(load):
         F.when(F.col("k") % 2 == 0, 42_000).cast("long").alias("frame_dur"), (F.col("event_id") % 500).alias("n"))
 
 
-@query("frame_interval")
+def interval_sql(frames: str) -> str:
+    """SQL that goes through each stream's frames one by one: ``fr`` made by ``frames`` has stream_id, event_id, n (from 1), ts and dur."""
+    return f"""RECURSIVE {EVENTS}, {frames},
+fi AS (
+  SELECT stream_id, event_id, n, [0::BIGINT] AS counts, [ts] AS times, greatest(coalesce(dur, 0), 0)::DOUBLE AS interval_us, greatest(coalesce(dur, 0), 0)::BIGINT AS own
+  FROM fr WHERE n = 1
+  UNION ALL
+  SELECT stream_id, event_id, n, c3, t3, CASE WHEN elapsed <= 0 THEN dur::DOUBLE
+    ELSE list_sum(list_transform(range(1, len(c3) + 1), lambda i: (c3[i] - list_avg(c3)) * (t3[i] - list_avg(t3)))) / list_sum(list_transform(c3, lambda x: (x - list_avg(c3)) * (x - list_avg(c3)))) END, dur
+  FROM (SELECT *, list_transform(c2, lambda x: x - c2[1]) AS c3, t2 AS t3
+    FROM (SELECT *, CASE WHEN elapsed <= 0 THEN [0::BIGINT] WHEN off THEN [0::BIGINT, 1] ELSE list_append(counts, here)[-24:] END AS c2,
+        CASE WHEN elapsed <= 0 THEN [ts] WHEN off THEN [times[-1], ts] ELSE list_append(times, ts)[-24:] END AS t2
+      FROM (SELECT *, len(times) > 1 AND abs(list_avg(times) + slope * (here - list_avg(counts)) - ts) > 0.4::DOUBLE * slope AS off
+        FROM (SELECT *, counts[-1] + CASE WHEN step > 0 THEN greatest(CAST(floor(elapsed / step + 0.5) AS BIGINT), 1) ELSE 1 END AS here,
+            list_sum(list_transform(range(1, len(counts) + 1), lambda i: (counts[i] - list_avg(counts)) * (times[i] - list_avg(times)))) /
+              list_sum(list_transform(counts, lambda x: (x - list_avg(counts)) * (x - list_avg(counts)))) AS slope
+          FROM (SELECT fr.stream_id, fr.event_id, fr.n, fr.ts, greatest(coalesce(fr.dur, 0), 0)::BIGINT AS dur, counts, times, fr.ts - times[-1] AS elapsed,
+              CASE WHEN own > 0 THEN own::DOUBLE ELSE interval_us END AS step
+            FROM fi JOIN fr ON fr.stream_id = fi.stream_id AND fr.n = fi.n + 1))))))
+SELECT stream_id, event_id, round(interval_us, 3) AS interval_us FROM fi"""
+
+
+_OWN_FRAMES = f"""fr AS (SELECT event_id // 500 AS stream_id, event_id, row_number() OVER (PARTITION BY event_id // 500 ORDER BY event_id) AS n,
+  {_FRAME_US} AS ts, CASE WHEN k % 2 = 0 THEN 42000 END AS dur FROM ev)"""
+
+
+@query("frame_interval", f"WITH {interval_sql(_OWN_FRAMES)}")
 def frame_interval(load):
     frames = _frames(load)
     return op.frame_interval(frames, "stream_id", "event_id", "frame_us", "frame_dur").select(

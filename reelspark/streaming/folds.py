@@ -15,9 +15,15 @@ _KINDS = {"bigint": "Int64", "int": "Int32", "boolean": "boolean", "double": "Fl
 _AT = "__at_us"
 
 
-def _native(value):
+def _is_whole(field: T.StructField) -> bool:
+    return isinstance(field.dataType, T.IntegralType)
+
+
+def _native(value, whole: bool):
     value = value.tolist() if hasattr(value, "tolist") else value
-    return None if value is None or value is pd.NaT or value != value else value
+    if value is None or value is pd.NaT or value != value:
+        return None
+    return int(value) if whole else value
 
 
 def _frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
@@ -35,6 +41,7 @@ class _Waiting(StatefulProcessor):
     def __init__(self, rule: Fold, key: list[str], order: list[str], carried: list[str], given: list[int], held: T.StructType, schema: T.StructType, idle_ms: int | None):
         self.rule, self.key, self.order, self.carried, self.schema, self.idle_ms = rule, key, order, carried, schema, idle_ms
         self.given, self.held = given, held
+        self.whole = [_is_whole(field) for field in held]
         self.places = {name: place for place, name in enumerate(held.names)}
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -44,7 +51,8 @@ class _Waiting(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # Columns are taken by place: workers rename those that begin with an underscore
-        added = [tuple(_native(value) for value in row) for pdf in rows for row in zip(*[pdf.iloc[:, place].tolist() for place in self.given])]
+        added = [row for pdf in rows for row in zip(*[
+            [_native(value, whole) for value in pdf.iloc[:, place].tolist()] for place, whole in zip(self.given, self.whole)])]
         if added:
             self.rows.appendList(added)
             self.handle.registerTimer(min(row[self.places[_AT]] for row in added) // 1000 + 1)
@@ -92,6 +100,8 @@ def fold_stream(stream: DataFrame, key, ts: str, order: list[str], rule: Fold, d
     held = T.StructType([stream.schema[name] for name in columns if name not in key] + [T.StructField(_AT, T.LongType())])
     known = timed(stream, ts, delay)
     rows = known.withColumn(_AT, F.unix_micros(ts)).select(*dict.fromkeys([*columns, _AT, ts]))
+    # pandas would make whole numbers beside nulls inexact: they travel as text
+    rows = rows.withColumns({field.name: F.col(field.name).cast("string") for field in held if _is_whole(field)})
     given = [rows.columns.index(name) for name in held.names]
     return rows.groupBy(*key).transformWithStateInPandas(
         _Waiting(rule, key, order, carried, given, held, schema, idle_ms), schema, "Append", "EventTime")
