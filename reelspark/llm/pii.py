@@ -9,16 +9,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, quoted
+from .common import Scratch, broadcast_if_small, quoted
+from .spans import bound, listed, placed_matches, running_greatest
 
 #: Order of the kinds of spans
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Characters on either side of an entity that are its surroundings
 CONTEXT = 60
+#: Characters of the places in which words and entities meet
+PLACE = 128
 #: Distinct texts in which word and entity meet, at least, for a count to say anything
 SUPPORT = 3
 #: Shares of an entity's information from which a word is generalised, and removed
 GENERALISE, REMOVE = 0.8, 0.95
+#: Characters of the blocks that sanitised texts are cut from
+BLOCK = 4_096
 WORD = r"\p{L}[\p{L}\p{N}]*"
 
 # A run of address characters is tried from its start or where the last match ended, so no run is scanned once per character
@@ -29,26 +34,6 @@ _CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 
-def placed_matches(text: Column, pattern: str) -> Column:
-    """Leftmost matches that do not overlap, as structs ``start``, ``end`` (code points, end exclusive) and ``value``.
-
-    What lies between the matches and the matches themselves alternate, so their lengths add up to the places.
-    """
-    gaps = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("value"))
-    nothing = F.array().cast("array<struct<start:bigint,end:bigint,value:string>>")
-    start = F.struct(F.lit(0).cast("bigint").alias("to"), nothing.alias("found"))
-
-    def step(acc, pair):
-        begin = acc["to"] + F.length(pair["gap"])
-        end = begin + F.length(pair["value"])
-        return F.struct(end.cast("bigint").alias("to"), F.array_append(acc["found"], F.struct(
-            begin.cast("bigint").alias("start"), end.cast("bigint").alias("end"), pair["value"].alias("value"))).alias("found"))
-
-    return F.aggregate(both, start, step, lambda acc: acc["found"])
-
-
 def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
@@ -95,38 +80,43 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def _surroundings(text: Column, spans: Column) -> Column:
-    """The whole words near each span: structs ``value`` (the entity), ``term`` (lower case), ``start`` and ``end``."""
-    def near(span):
-        low = F.greatest(F.lit(0), span["start"] - CONTEXT)
-        left = F.substring(text, (low + 1).cast("int"), (span["start"] - low).cast("int"))
-        right = F.substring(text, (span["end"] + 1).cast("int"), F.lit(CONTEXT))
-        # Words cut off at the outer ends are left out
-        left_words = F.filter(placed_matches(left, WORD), lambda m: (low == 0) | (m["start"] > 0))
-        right_words = F.filter(placed_matches(right, WORD), lambda m: (F.length(right) < CONTEXT) | (m["end"] < CONTEXT))
-        return F.concat(moved(left_words, low, span), moved(right_words, span["end"], span))
+def _surroundings(held: DataFrame) -> DataFrame:
+    """Whole words within :data:`CONTEXT` characters of an entity: ``seen``, ``value`` (the entity), ``term`` (lower case), ``start``, ``end``.
+
+    Words and entities of a text meet in places of its length, so a text with many of both is not gone through once for each. Words
+    that an entity overlaps are left out.
+    """
+    spans = held.select("seen", F.explode("base").alias("s")).select("seen", "s.value", F.col("s.start").alias("from"), F.col("s.end").alias("to"))
+    near = F.sequence(_place(F.greatest(F.col("from") - CONTEXT, F.lit(0))), _place(F.col("to") + CONTEXT))
+    spans = spans.select(F.col("seen").alias("__seen"), "value", "from", "to", F.explode(near).alias("__place"))
+    words = held.select("seen", F.explode(placed_matches(F.col("text"), WORD)).alias("w")).select(
+        "seen", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.lower("w.value").alias("term"), _place(F.col("w.start")).alias("place"))
+    met = words.join(spans, (F.col("seen") == F.col("__seen")) & (F.col("place") == F.col("__place")))
+    overlaps = (F.col("start") < F.col("to")) & (F.col("from") < F.col("end"))
+    within = (F.col("start") >= F.col("from") - CONTEXT) & (F.col("end") <= F.col("to") + CONTEXT)
+    by_word = met.where(within | overlaps).groupBy("seen", "start", "end", "term").agg(
+        F.max(overlaps).alias("covered"), F.collect_set("value").alias("values"))
+    return by_word.where(~F.col("covered")).select("seen", F.explode("values").alias("value"), "term", "start", "end")
 
-    def moved(words, shift, span):
-        return F.transform(words, lambda m: F.struct(
-            span["value"].alias("value"), F.lower(m["value"]).alias("term"),
-            (m["start"] + shift).alias("start"), (m["end"] + shift).alias("end")))
 
-    return F.flatten(F.transform(spans, near))
+def _place(at: Column) -> Column:
+    return F.floor(at / PLACE)
 
 
-def disclosing_terms(narrow: DataFrame, near: DataFrame) -> DataFrame:
+def disclosing_terms(narrow: DataFrame, near: DataFrame, scratch: Scratch) -> DataFrame:
     """``value``, ``term`` and ``share``: how much of an entity's information each word of its surroundings discloses.
 
     ``narrow`` has every row's ``text``; ``near`` one row per entity and word near it, with the text's hash ``seen``. Counts are of
     distinct texts near entities and of texts over the whole corpus for words and entities at large.
     """
     pairs = near.groupBy("value", "term").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= SUPPORT)
-    exact = near.join(pairs, ["value", "term"]).select("value", "term", "seen").distinct().groupBy("value", "term").agg(
-        F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT)
+    exact = scratch.keep(near.join(pairs, ["value", "term"]).select("value", "term", "seen").distinct().groupBy("value", "term").agg(
+        F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT), "pairs")
     entities = near.select("value", "seen").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("entity"))
     words = narrow.where("text IS NOT NULL").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    wanted = exact.select("term").distinct()
-    spread = words.groupBy("term").agg(F.count(F.lit(1)).alias("word")).join(wanted, "term", "left_semi")
+    # Words that no entity has near it go before they are shuffled, where they are few enough to be told everywhere
+    wanted = broadcast_if_small(exact.select("term").distinct())
+    spread = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("word"))
     total = narrow.agg(F.count(F.lit(1))).first()[0]
     known = exact.join(entities, "value").join(spread, "term")
     information = F.log2(F.lit(float(max(total, 2))) / F.col("entity"))
@@ -144,42 +134,47 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column:
     """
     scratch = Scratch(docs.sparkSession, "pii")
     narrow = docs.select(quoted(id_column).alias("id"), quoted(text_column).alias("text"))
-    # Written once, so that a row's number stays the same
+    # The detectors go through each text once; without sanitised texts only those with an entity are kept
     rows = scratch.keep(narrow.select(
-        "id", F.monotonically_increasing_id().alias("row"), base_spans(F.col("text")).alias("base"), F.xxhash64("text").alias("seen"),
-        *([F.col("text")] if with_text else [])).select(
-            "*"), "base")
-    held = narrow.select(base_spans(F.col("text")).alias("base"), F.xxhash64("text").alias("seen"), "text").where(F.size("base") > 0)
-    near = scratch.keep(held.select("seen", F.explode(_surroundings(F.col("text"), F.col("base"))).alias("n")).select(
-        "seen", "n.value", "n.term", "n.start", "n.end").distinct(), "surroundings")
-    terms = disclosing_terms(narrow, near).where(F.col("share") >= GENERALISE)
+        "id", base_spans(F.col("text")).alias("base"), F.xxhash64("text").alias("seen"), F.col("text").alias("whole")).select(
+        "id", "base", "seen", F.when(F.lit(with_text) | (F.size("base") > 0), F.col("whole")).alias("text")), "base", compression="zstd")
+    held = rows.where(F.size("base") > 0).dropDuplicates(["seen"])
+    near = scratch.keep(_surroundings(held), "surroundings")
+    terms = disclosing_terms(narrow, near, scratch).where(F.col("share") >= GENERALISE)
     flagged = near.join(terms, ["value", "term"]).groupBy("seen", "start", "end").agg(F.max("share").alias("share"))
     shaped = F.struct(
         F.col("start"), F.lit(len(KINDS) - 1).alias("rank"), F.col("end"), F.lit("term").alias("kind"),
         F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("value"))
     added = scratch.keep(flagged.groupBy(F.col("seen").alias("__seen")).agg(F.collect_list(shaped).alias("terms")), "terms")
     joined = rows.join(added, F.col("seen") == F.col("__seen"), "left")
-    apart = F.filter(F.coalesce("terms", F.expr("CAST(array() AS array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>)")),
-                     lambda term: ~F.exists("base", lambda span: (span["start"] < term["end"]) & (term["start"] < span["end"])))
-    spans = F.array_sort(F.concat("base", apart))
-    found = joined.select("id", "base", spans.alias("spans"), *(["text"] if with_text else []))
-    return found.withColumn("sanitised", sanitised(F.col("text"), F.col("spans"))).drop("text") if with_text else found
+    nothing = F.expr("CAST(array() AS array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>)")
+    found = joined.select("id", "base", F.array_sort(F.concat("base", F.coalesce("terms", nothing))).alias("spans"), "text")
+    if not with_text:
+        return found.drop("text")
+    return found.withColumn("sanitised", sanitised(F.col("text"), F.col("spans"))).drop("text")
 
 
 def sanitised(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets, or by nothing if it is to be removed; of spans that overlap, the first."""
-    start = F.struct(F.lit(0).cast("bigint").alias("to"), F.array().cast("array<string>").alias("parts"))
+    """The text with each span replaced by its kind in brackets, or by nothing if it is to be removed; of spans that overlap, the first.
+
+    What lies between spans is cut from blocks of the text, so no cut starts from the text's beginning.
+    """
+    blocks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0))
+
+    def cut(whole, begin, end):
+        first = F.floor(begin / BLOCK)
+        part = F.array_join(F.slice(whole, (first + 1).cast("int"), F.greatest(F.lit(0), F.floor((end - 1) / BLOCK) - first + 1).cast("int")), "")
+        return F.when(end > begin, F.substring(part, (begin - first * BLOCK + 1).cast("int"), (end - begin).cast("int"))).otherwise("")
 
-    def step(acc, span):
-        gap = F.substring(text, (acc["to"] + 1).cast("int"), (span["start"] - acc["to"]).cast("int"))
-        name = F.when(span["value"] == "remove", "").otherwise(F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]")))
-        return F.when(span["start"] < acc["to"], acc).otherwise(
-            F.struct(span["end"].alias("to"), F.concat(acc["parts"], F.array(gap, name)).alias("parts")))
+    # How far earlier spans reach
+    reach = F.concat(F.array(F.lit(0).cast("bigint")), running_greatest(F.transform(spans, lambda span: span["end"])))
 
-    rest = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substring(text, (acc["to"] + 1).cast("int"), F.length(text)))
-    return F.aggregate(spans, start, step, rest)
+    def named(span):
+        return F.when(span["value"] == "remove", "").otherwise(F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]")))
 
+    def replaced(whole, ends):
+        parts = F.transform(spans, lambda span, at: F.when(span["start"] < ends[at], "").otherwise(
+            F.concat(cut(whole, ends[at], span["start"]), named(span))))
+        return F.concat(F.array_join(parts, ""), cut(whole, F.element_at(ends, -1), F.length(text).cast("bigint")))
 
-def listed(spans: Column) -> Column:
-    """Spans as ``kind:start:end``, comma-joined."""
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return F.when(text.isNotNull(), bound(blocks, lambda whole: bound(reach, lambda ends: replaced(whole, ends))))

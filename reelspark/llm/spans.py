@@ -11,23 +11,34 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _summed(values: Column) -> Column:
-    """0 and the running totals of a short array: each step copies what is there."""
+def _scan(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """0 and what ``step`` makes of it and each value of a short array after another: each step copies what is there."""
     start = F.array(F.lit(0).cast("bigint"))
-    return F.aggregate(values, start, lambda acc, value: F.array_append(acc, F.element_at(acc, -1) + value))
+    return F.aggregate(values, start, lambda acc, value: F.array_append(acc, step(F.element_at(acc, -1), value)))
 
 
-def running_totals(values: Column) -> Column:
-    """Running totals of an array of BIGINT: totals within about as many pieces as a piece has values, on top of the pieces' own."""
-    def totals(whole):
+def _running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """An associative step's running results over an array of BIGINT from 0 up: within about as many pieces as a piece has values,
+    on top of the pieces' own."""
+    def results(whole):
         width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(whole)))).cast("int")
         starts = F.when(F.size(whole) > 0, F.sequence(F.lit(1), F.size(whole), width)).otherwise(F.array().cast("array<int>"))
-        pieces = F.transform(starts, lambda at: _summed(F.slice(whole, at, width)))
+        pieces = F.transform(starts, lambda at: _scan(F.slice(whole, at, width), step))
         return bound(pieces, lambda inner: bound(
-            _summed(F.transform(inner, lambda piece: F.element_at(piece, -1))),
+            _scan(F.transform(inner, lambda piece: F.element_at(piece, -1)), step),
             lambda before: F.flatten(F.transform(inner, lambda piece, at: F.transform(
-                F.slice(piece, F.lit(2), F.size(piece) - 1), lambda value: value + before[at])))))
-    return bound(values, totals)
+                F.slice(piece, F.lit(2), F.size(piece) - 1), lambda value: step(before[at], value))))))
+    return bound(values, results)
+
+
+def running_totals(values: Column) -> Column:
+    """Running totals."""
+    return _running(values, lambda total, value: total + value)
+
+
+def running_greatest(values: Column) -> Column:
+    """The greatest value so far, 0 at least."""
+    return _running(values, lambda most, value: F.greatest(most, value))
 
 
 def placed_matches(text: Column, pattern: str) -> Column:

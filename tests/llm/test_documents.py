@@ -1,6 +1,7 @@
 """Scores, languages, contamination, personal data, chats and mixes."""
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -236,3 +237,13 @@ def test_mix_ranges_do_not_matter(spark, monkeypatch):
     assert sorted(map(tuple, QUERIES["op10_mixing"](spark, f"{DATA}/sf0.01").collect())) == whole
 
 
+
+
+def test_personal_data_in_a_text_of_many_entities(spark):
+    text = "".join(f"wörd{i % 50} user{i}@mail{i % 7}.example.com, " for i in range(100_000))
+    began = time.perf_counter()
+    row, = pii.find_personal_data(spark.createDataFrame([(1, text), (2, "x")], EMPTY)).where("id = 1").collect()
+    assert time.perf_counter() - began < 120
+    found = [match.span() for match in re.finditer(r"user[0-9]+@[a-z0-9.]+com", text)]
+    assert [(span.start, span.end) for span in row.base] == found
+    assert row.sanitised == re.sub(r"user[0-9]+@[a-z0-9.]+com", "[EMAIL]", text)
