@@ -57,6 +57,12 @@ def quoted(name: str):
     return F.col(f"`{name}`")
 
 
+def plainly(docs: DataFrame, *columns: str) -> tuple[DataFrame, list[str]]:
+    """``docs`` with its columns named by place, so that no name clashes with an operator's own, and what the given columns are now called."""
+    names = [f"column_{place}" for place in range(len(docs.columns))]
+    return docs.toDF(*names), [names[docs.columns.index(column)] for column in columns]
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array and the offsets of its values, nulls as empty texts."""
     if isinstance(column, pa.ChunkedArray):

@@ -16,7 +16,8 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, broadcast_if_small, quoted, text_bytes
+from .common import Scratch, broadcast_if_small, plainly, quoted, text_bytes
+from .spans import bound
 
 #: Lines of fewer words have only exact duplicates: one word is too much of them
 FUZZY_WORDS = 8
@@ -196,19 +197,22 @@ def _repeated(numbered: DataFrame, scratch: Scratch, id_column: str, text_column
 def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length_column: str | None = None) -> DataFrame:
     """``docs`` without the lines that :func:`repeated_lines` names; all rows and columns stay.
 
-    A text that loses all its lines becomes empty; null texts stay null. ``length_column`` is set to the new
+    A text that loses all its lines becomes empty; null texts stay null. Columns of any name, ``__twin`` too, come back as they were. ``length_column`` is set to the new
     number of characters if given.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    numbered = _numbered(docs, scratch, id_column, text_column)
-    drops = scratch.keep(_repeated(numbered, scratch, id_column, text_column), "drops")
+    plain, (id_name, text_name) = plainly(docs, id_column, text_column)
+    numbered = _numbered(plain, scratch, id_name, text_name)
+    drops = scratch.keep(_repeated(numbered, scratch, id_name, text_name), "drops")
     drops = drops.select(F.col("id").alias("__id"), F.col("twin").alias("__of"), F.col("drop").alias("__drop"))
-    same = quoted(id_column).eqNullSafe(F.col("__id")) & (F.col("__twin") == F.col("__of"))
+    same = F.col(id_name).eqNullSafe(F.col("__id")) & (F.col("__twin") == F.col("__of"))
     joined = numbered.join(broadcast_if_small(drops, values="__drop"), same, "left")
-    left = F.array_join(F.filter(
-        F.split(quoted(text_column), "\n", -1), lambda line, at: ~F.array_contains(F.col("__drop"), at.cast("int"))), "\n")
-    text = F.when(F.col("__drop").isNull(), quoted(text_column)).otherwise(left)
-    out = joined.withColumn(text_column, text).drop("__id", "__of", "__twin", "__drop")
+    # Numbers that stay, by hash, so that a text's lines are not compared with each number that goes
+    lines = F.split(F.col(text_name), "\n", -1)
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__drop").cast("array<int>"))
+    left = bound(lines, lambda whole: F.array_join(F.transform(kept, lambda at: whole[at]), "\n"))
+    out = joined.withColumn(text_name, F.when(F.col("__drop").isNull(), F.col(text_name)).otherwise(left))
     if length_column:
-        out = out.withColumn(length_column, F.length(quoted(text_column)).cast(docs.schema[length_column].dataType))
-    return out.select(*[quoted(name) for name in docs.columns])
+        _, (length_name,) = plainly(docs, length_column)
+        out = out.withColumn(length_name, F.length(text_name).cast(docs.schema[length_column].dataType))
+    return out.select(*plain.columns).toDF(*docs.columns)

@@ -13,7 +13,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Scratch, quoted
+from .common import Scratch, plainly, quoted
 
 #: Rows that one range of a running sum holds on average
 RANGE_ROWS = 20_000
@@ -128,10 +128,14 @@ def _null_safe(left: DataFrame, right: DataFrame, key: list[str]) -> DataFrame:
 def take_mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
     """The documents of the mix: the columns of ``docs`` and ``mix_copies``, how often the mix takes the row.
 
-    Rows with a null or repeated id each have their own copies.
+    Rows with a null or repeated id each have their own copies. Columns of any name come back as they were, but for one called
+    ``mix_copies``, whose place the new one takes.
     """
     scratch = Scratch(docs.sparkSession, "mixing")
-    numbered = scratch.keep(docs.withColumn("__row", F.monotonically_increasing_id()), "documents", compression="zstd")
-    mixed = mix(numbered, id_column, text_column, source_column, row_column="__row", **options).where("copies > 0")
-    chosen = mixed.select(F.col("row").alias("__taken"), F.col("copies").alias("mix_copies"))
-    return numbered.join(chosen, F.col("__row") == F.col("__taken")).drop("__row", "__taken")
+    plain, (id_name, text_name, source_name) = plainly(docs, id_column, text_column, source_column)
+    numbered = scratch.keep(plain.withColumn("__row", F.monotonically_increasing_id()), "documents", compression="zstd")
+    mixed = mix(numbered, id_name, text_name, source_name, row_column="__row", **options).where("copies > 0")
+    chosen = mixed.select(F.col("row").alias("__taken"), "copies")
+    joined = numbered.join(chosen, F.col("__row") == F.col("__taken"))
+    own = [(place, name) for place, name in zip(plain.columns, docs.columns) if name != "mix_copies"]
+    return joined.select(*[place for place, _ in own], "copies").toDF(*[name for _, name in own], "mix_copies")

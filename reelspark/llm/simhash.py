@@ -13,7 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, quoted, text_bytes
+from .common import Scratch, plainly, quoted, text_bytes
 from .components import connected_components
 
 SEED = 42
@@ -191,11 +191,15 @@ def _components(rows: DataFrame, scratch: Scratch, distance: int, blocks: int |
 def keep_first(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, distance: int = 4, words: int = 4, blocks: int | None = None,
 ) -> DataFrame:
-    """``docs`` with exactly one row of each group: that of the smallest id, null last, and of equal ids the first as written."""
+    """``docs`` with exactly one row of each group: that of the smallest id, null last, and of equal ids the first as written.
+
+    Columns of any name, ``__row`` too, come back as they were.
+    """
     scratch = Scratch(docs.sparkSession, "simhash")
-    numbered = scratch.keep(docs.withColumn("__row", F.monotonically_increasing_id()), "documents", compression="zstd")
-    named = numbered.select(F.struct(quoted(id_column).isNull().alias("no_id"), quoted(id_column).alias("id"), F.col("__row").alias("row")).alias("id"),
-                            quoted(text_column).alias("text"))
+    plain, (id_name, text_name) = plainly(docs, id_column, text_column)
+    numbered = scratch.keep(plain.withColumn("__row", F.monotonically_increasing_id()), "documents", compression="zstd")
+    named = numbered.select(F.struct(F.col(id_name).isNull().alias("no_id"), F.col(id_name).alias("id"), F.col("__row").alias("row")).alias("id"),
+                            F.col(text_name).alias("text"))
     rows = scratch.keep(fingerprints(named, "id", "text", words), "fingerprints")
     firsts = _components(rows, scratch, distance, blocks).select(F.col("component.row").alias("__first")).distinct()
-    return numbered.join(firsts, F.col("__row") == F.col("__first"), "left_semi").drop("__row")
+    return numbered.join(firsts, F.col("__row") == F.col("__first"), "left_semi").drop("__row").toDF(*docs.columns)
