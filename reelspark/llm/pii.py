@@ -1,25 +1,26 @@
-"""Personal data: fixed detectors, and words near what they find that give it away. DataFrame functions only.
+"""Personal data: fixed detectors, and words of the same text that give away what they find. DataFrame functions only.
 
-The detectors find e-mail and IP addresses, card and phone numbers; what they find are the protected entities. A word of an
-entity's surroundings discloses it as far as seeing the word makes the entity more likely than it is at large: the pointwise mutual
+The detectors find e-mail and IP addresses, card and phone numbers; what they find are the protected entities. Any word of an
+entity's text discloses it as far as seeing the word makes the entity more likely than it is at large: the pointwise mutual
 information of word and entity over the corpus, as a share of the entity's information, after the information-theoretic sanitisation of
-Sanchez, Batet and Viejo (2013). Words above the threshold are generalised, and those that nearly name the entity are removed.
+Sanchez, Batet and Viejo (2013). Words above the threshold are generalised, and those that nearly name the entity are removed,
+wherever they stand in the text. The estimate is smoothed, so entities and words of one text count too, at a discount.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import Scratch, broadcast_if_small, quoted
+from .common import Scratch, quoted
 from .spans import bound, listed, placed_matches, running_greatest
 
 #: Order of the kinds of spans
 KINDS = ("email", "ip", "card", "phone", "term")
-#: Characters on either side of an entity that are its surroundings
-CONTEXT = 60
 #: Characters of the places in which words and entities meet
 PLACE = 128
-#: Distinct texts in which word and entity meet, at least, for a count to say anything
-SUPPORT = 3
+#: Rows without the entity that a word is thought to have beside those that are counted (the usual half of a Bernoulli estimate)
+SMOOTHING = 0.5
 #: Shares of an entity's information from which a word is generalised, and removed
 GENERALISE, REMOVE = 0.8, 0.95
 #: Characters of the blocks that sanitised texts are cut from
@@ -80,49 +81,76 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def _surroundings(held: DataFrame) -> DataFrame:
-    """Whole words within :data:`CONTEXT` characters of an entity: ``seen``, ``value`` (the entity), ``term`` (lower case), ``start``, ``end``.
+def _blank(text: Column, base: Column) -> Column:
+    """The text with a space for each base span, so that no word is a part of an entity."""
+    return sanitised(text, base, lambda span: F.lit(" "))
 
-    Words and entities of a text meet in places of its length, so a text with many of both is not gone through once for each. Words
-    that an entity overlaps are left out.
-    """
-    spans = held.select("seen", F.explode("base").alias("s")).select("seen", "s.value", F.col("s.start").alias("from"), F.col("s.end").alias("to"))
-    near = F.sequence(_place(F.greatest(F.col("from") - CONTEXT, F.lit(0))), _place(F.col("to") + CONTEXT))
-    spans = spans.select(F.col("seen").alias("__seen"), "value", "from", "to", F.explode(near).alias("__place"))
-    words = held.select("seen", F.explode(placed_matches(F.col("text"), WORD)).alias("w")).select(
-        "seen", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.lower("w.value").alias("term"), _place(F.col("w.start")).alias("place"))
-    met = words.join(spans, (F.col("seen") == F.col("__seen")) & (F.col("place") == F.col("__place")))
-    overlaps = (F.col("start") < F.col("to")) & (F.col("from") < F.col("end"))
-    within = (F.col("start") >= F.col("from") - CONTEXT) & (F.col("end") <= F.col("to") + CONTEXT)
-    by_word = met.where(within | overlaps).groupBy("seen", "start", "end", "term").agg(
-        F.max(overlaps).alias("covered"), F.collect_set("value").alias("values"))
-    return by_word.where(~F.col("covered")).select("seen", F.explode("values").alias("value"), "term", "start", "end")
+
+def _distinct_words(text: Column) -> Column:
+    return F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))))
+
+
+def _texts_named() -> list[Column]:
+    """A name for a set of texts, the same whatever their order: two 64-bit hashes of each, combined by exclusive or."""
+    return [F.bit_xor(F.xxhash64("seen", F.lit(seed))).alias(f"x{seed}") for seed in (1, 2)]
+
+
+def _likely(both: Column, word: Column, p: Column) -> Column:
+    """Smoothed share of a word's rows that have the entity."""
+    return (both + SMOOTHING * p) / (word + SMOOTHING)
 
 
-def _place(at: Column) -> Column:
-    return F.floor(at / PLACE)
+def _reaches(both: Column, word: Column, p: Column) -> Column:
+    """Whether so many common rows can disclose :data:`GENERALISE` of the entity's information (a little less, for rounding)."""
+    return _likely(both, word, p) >= F.pow(p, F.lit(1 - GENERALISE)) * (1 - 1e-9)
 
 
-def disclosing_terms(narrow: DataFrame, near: DataFrame, scratch: Scratch) -> DataFrame:
-    """``value``, ``term`` and ``share``: how much of an entity's information each word of its surroundings discloses.
+def disclosing_terms(narrow: DataFrame, held: DataFrame, scratch: Scratch) -> DataFrame:
+    """``seen``, ``term`` and ``share``: the words of a text that disclose an entity of it, and how much of its information at most.
 
-    ``narrow`` has every row's ``text``; ``near`` one row per entity and word near it, with the text's hash ``seen``. Counts are of
-    distinct texts near entities and of texts over the whole corpus for words and entities at large.
+    ``narrow`` has every row's ``text``; ``held`` one row per distinct text with an entity: its name ``seen``, ``copies``, ``text`` and
+    ``base``. Rows with a word, with an entity and with both are counted over the whole corpus and whole texts. Of pairs, only those are
+    made whose rows alone let the word reach the threshold; and entities found in the same texts are one class, as are words, so a
+    list of addresses found nowhere else makes one pair with a word and not one for each address.
     """
-    pairs = near.groupBy("value", "term").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") >= SUPPORT)
-    exact = scratch.keep(near.join(pairs, ["value", "term"]).select("value", "term", "seen").distinct().groupBy("value", "term").agg(
-        F.count(F.lit(1)).alias("both")).where(F.col("both") >= SUPPORT), "pairs")
-    entities = near.select("value", "seen").distinct().groupBy("value").agg(F.count(F.lit(1)).alias("entity"))
-    words = narrow.where("text IS NOT NULL").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
-    # Words that no entity has near it go before they are shuffled, where they are few enough to be told everywhere
-    wanted = broadcast_if_small(exact.select("term").distinct())
-    spread = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("word"))
-    total = narrow.agg(F.count(F.lit(1))).first()[0]
-    known = exact.join(entities, "value").join(spread, "term")
-    information = F.log2(F.lit(float(max(total, 2))) / F.col("entity"))
-    mutual = F.log2(F.col("both") * F.lit(float(max(total, 2))) / (F.greatest("word", "both").cast("double") * F.col("entity")))
-    # An entity of nearly every text has no information to disclose
-    return known.select("value", "term", F.when(information > 1e-9, F.least(F.lit(1.0), mutual / information)).otherwise(0.0).alias("share"))
+    total = float(max(narrow.count(), 1))
+    uses = scratch.keep(held.select("seen", "copies", _distinct_words(_blank(F.col("text"), F.col("base"))).alias("term")), "words", compression="zstd")
+    met = held.select("seen", "copies", F.explode(F.array_distinct(F.transform("base", lambda s: s["value"]))).alias("value"))
+    entities = met.groupBy("value").agg(F.sum("copies").alias("rows"), *_texts_named()).withColumn("p", F.col("rows") / total)
+    classes = scratch.keep(met.join(entities, "value").groupBy("seen", "x1", "x2").agg(
+        F.any_value("rows").alias("rows"), F.any_value("p").alias("p"), F.any_value("copies").alias("copies")), "entities")
+    spread = narrow.where("text IS NOT NULL").select(_distinct_words(F.col("text")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("everywhere"))
+    words = uses.groupBy("term").agg(F.sum("copies").alias("here"), *[name.alias(f"w{n}") for n, name in enumerate(_texts_named(), 1)])
+    words = words.join(spread, "term", "left").select("term", "w1", "w2", F.greatest("here", F.coalesce("everywhere", "here")).alias("word"))
+    words = scratch.keep(uses.join(words, "term").select("seen", "term", "w1", "w2", "word"), "counted", compression="zstd")
+    named = words.select(F.col("seen").alias("__seen"), "w1", "w2", "word").distinct()
+    possible = _reaches(F.least("rows", "word"), F.col("word"), F.col("p"))
+    pairs = scratch.keep(classes.join(named, (F.col("seen") == F.col("__seen")) & possible).drop("__seen", "rows"), "pairs", compression="zstd")
+    both = pairs.groupBy("x1", "x2", "w1", "w2", "word", "p").agg(F.sum("copies").alias("both")).where(_reaches(F.col("both"), F.col("word"), F.col("p")))
+    # Of an entity of every text nothing is left to disclose
+    shares = both.where("p < 1").select("x1", "x2", "w1", "w2", "word", (1 - F.log2(_likely(F.col("both"), F.col("word"), F.col("p"))) / F.log2("p")).alias("share"))
+    told = pairs.join(shares, ["x1", "x2", "w1", "w2", "word"]).groupBy("seen", "w1", "w2", "word").agg(F.max("share").alias("share"))
+    return words.join(told, ["seen", "w1", "w2", "word"]).select("seen", "term", "share")
+
+
+def _placed_terms(held: DataFrame, terms: DataFrame) -> DataFrame:
+    """Every occurrence of a text's disclosing words that no base span overlaps: ``seen``, ``start``, ``end``, ``share``.
+
+    Words and spans meet in places of the text's length, so a text with many of both is not gone through once for each.
+    """
+    words = held.select("seen", F.explode(placed_matches(F.col("text"), WORD)).alias("w")).select(
+        "seen", F.lower("w.value").alias("term"), F.col("w.start").alias("start"), F.col("w.end").alias("end"))
+    flagged = words.join(terms, ["seen", "term"]).select("seen", "start", "end", "share", F.explode(_places("start", "end")).alias("place"))
+    spans = held.select(F.col("seen").alias("__seen"), F.explode("base").alias("s")).select(
+        "__seen", F.col("s.start").alias("from"), F.col("s.end").alias("to"), F.explode(_places("s.start", "s.end")).alias("__place"))
+    covered = (F.col("seen") == F.col("__seen")) & (F.col("place") == F.col("__place")) & (F.col("start") < F.col("to")) & (F.col("from") < F.col("end"))
+    # A word that lies in several places stays only if it is free in all of them
+    free = flagged.join(spans, covered, "left_anti").groupBy("seen", "start", "end").agg(F.max("share").alias("share"), F.count(F.lit(1)).alias("places"))
+    return free.where(F.col("places") == F.size(_places("start", "end"))).drop("places")
+
+
+def _places(start: str, end: str) -> Column:
+    return F.sequence(F.floor(F.col(start) / PLACE), F.floor((F.col(end) - 1) / PLACE))
 
 
 def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", *, with_text: bool = True) -> DataFrame:
@@ -130,22 +158,22 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column:
 
     Spans are structs ``start``, ``rank``, ``end``, ``kind``, ``value`` by start and kind; ``base`` has what the detectors find, ``spans`` also
     the ``term`` spans of disclosing words (with ``value`` generalise or remove), none of which overlaps a base span. Null and empty
-    texts have none; null and repeated ids keep their rows; no other column is read.
+    texts have none; null and repeated ids keep their rows, and copies of a text count as often as they occur; no other column is read.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     narrow = docs.select(quoted(id_column).alias("id"), quoted(text_column).alias("text"))
     # The detectors go through each text once; without sanitised texts only those with an entity are kept
     rows = scratch.keep(narrow.select(
-        "id", base_spans(F.col("text")).alias("base"), F.xxhash64("text").alias("seen"), F.col("text").alias("whole")).select(
+        "id", base_spans(F.col("text")).alias("base"), F.md5("text").alias("seen"), F.col("text").alias("whole")).select(
         "id", "base", "seen", F.when(F.lit(with_text) | (F.size("base") > 0), F.col("whole")).alias("text")), "base", compression="zstd")
-    held = rows.where(F.size("base") > 0).dropDuplicates(["seen"])
-    near = scratch.keep(_surroundings(held), "surroundings")
-    terms = disclosing_terms(narrow, near, scratch).where(F.col("share") >= GENERALISE)
-    flagged = near.join(terms, ["value", "term"]).groupBy("seen", "start", "end").agg(F.max("share").alias("share"))
+    entities = rows.where(F.size("base") > 0)
+    copies = entities.groupBy("seen").agg(F.count(F.lit(1)).alias("copies"))
+    held = scratch.keep(entities.dropDuplicates(["seen"]).select("seen", "base", "text").join(copies, "seen"), "texts", compression="zstd")
+    flagged = _placed_terms(held, scratch.keep(disclosing_terms(narrow, held, scratch), "terms"))
     shaped = F.struct(
         F.col("start"), F.lit(len(KINDS) - 1).alias("rank"), F.col("end"), F.lit("term").alias("kind"),
         F.when(F.col("share") >= REMOVE, "remove").otherwise("generalise").alias("value"))
-    added = scratch.keep(flagged.groupBy(F.col("seen").alias("__seen")).agg(F.collect_list(shaped).alias("terms")), "terms")
+    added = scratch.keep(flagged.groupBy(F.col("seen").alias("__seen")).agg(F.collect_list(shaped).alias("terms")), "placed")
     joined = rows.join(added, F.col("seen") == F.col("__seen"), "left")
     nothing = F.expr("CAST(array() AS array<struct<start:bigint,rank:int,end:bigint,kind:string,value:string>>)")
     found = joined.select("id", "base", F.array_sort(F.concat("base", F.coalesce("terms", nothing))).alias("spans"), "text")
@@ -154,8 +182,13 @@ def find_personal_data(docs: DataFrame, id_column: str = "doc_id", text_column:
     return found.withColumn("sanitised", sanitised(F.col("text"), F.col("spans"))).drop("text")
 
 
-def sanitised(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets, or by nothing if it is to be removed; of spans that overlap, the first.
+def _bracketed(span: Column) -> Column:
+    """A span's kind in brackets, or nothing if it is to be removed."""
+    return F.when(span["value"] == "remove", "").otherwise(F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]")))
+
+
+def sanitised(text: Column, spans: Column, named: Callable[[Column], Column] = _bracketed) -> Column:
+    """The text with each span replaced by what ``named`` makes of it; of spans that overlap, the first.
 
     What lies between spans is cut from blocks of the text, so no cut starts from the text's beginning.
     """
@@ -169,9 +202,6 @@ def sanitised(text: Column, spans: Column) -> Column:
     # How far earlier spans reach
     reach = F.concat(F.array(F.lit(0).cast("bigint")), running_greatest(F.transform(spans, lambda span: span["end"])))
 
-    def named(span):
-        return F.when(span["value"] == "remove", "").otherwise(F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]")))
-
     def replaced(whole, ends):
         parts = F.transform(spans, lambda span, at: F.when(span["start"] < ends[at], "").otherwise(
             F.concat(cut(whole, ends[at], span["start"]), named(span))))

@@ -1,7 +1,9 @@
 """Scores, languages, contamination, personal data, chats and mixes."""
+import math
 import random
 import re
 import time
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -164,6 +166,47 @@ def test_disclosing_words(spark):
     assert sorted((r.id is None, len(r.spans)) for r in odd) == [(False, 0), (False, 1), (True, 0), (True, 1)]
 
 
+def test_terms_equal_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet").select("doc_id", "text")
+    # A name at the head of a letter whose address is at its end, named twice; a text with two entities; one that comes twice
+    extra = [(9001, "quillon writes. " + "the and of " * 200 + " quillon.x@corp.org quillon"), (9002, "the zarb and +44 20 7946 0958 zarb of 10.0.0.9"),
+             (9003, "vex of a@b.cd the"), (9003, "vex of a@b.cd the"), (9004, "vex the of and"), (9005, None), (9006, "")]
+    docs = docs.union(spark.createDataFrame(extra, docs.schema))
+    found = pii.find_personal_data(docs).collect()
+    texts = [(row.id, row.text) for row in docs.withColumnRenamed("doc_id", "id").collect()]
+    base = {row.id: row.base for row in found}
+    word = re.compile(r"[^\W\d_][^\W_]*")
+    uses, everywhere, entities = {}, Counter(), Counter()
+    for id, text in texts:
+        everywhere.update({w.lower() for w in word.findall(text or "")})
+        if base[id]:
+            blank = list(text)
+            for span in base[id]:
+                blank[span.start:span.end] = " " * (span.end - span.start)
+            uses[id, len(uses)] = {w.lower() for w in word.findall("".join(blank))}, {span.value for span in base[id]}
+    both, here = Counter(), Counter()
+    for terms, values in uses.values():
+        entities.update(values)
+        here.update(terms)
+        both.update((term, value) for term in terms for value in values)
+
+    def share(term, value):
+        n, p = max(everywhere[term], here[term]), entities[value] / len(texts)
+        return 1 - math.log2((both[term, value] + 0.5 * p) / (n + 0.5)) / math.log2(p)
+
+    want = {}
+    by_id = dict(texts)
+    for (id, _), (terms, values) in uses.items():
+        shares = {term: max(share(term, value) for value in values) for term in terms}
+        want[id] = sorted(
+            (m.start(), m.end(), "remove" if shares[m[0].lower()] >= 0.95 else "generalise") for m in word.finditer(by_id[id])
+            if shares.get(m[0].lower(), 0) >= 0.8 and all(m.end() <= s.start or m.start() >= s.end for s in base[id]))
+    got = {row.id: [(s.start, s.end, s.value) for s in row.spans if s.kind == "term"] for row in found}
+    assert got == {id: want.get(id, []) for id in got}
+    assert [by_id[9001][begin:end] for begin, end, _ in got[9001]].count("quillon") == 2
+    assert {by_id[9002][begin:end] for begin, end, _ in got[9002]} == {"zarb"} and got[9003]
+
+
 def conversations(seed):
     rng = random.Random(seed)
     rows = []
