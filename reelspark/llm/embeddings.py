@@ -79,7 +79,7 @@ def near_vectors(
 ) -> DataFrame:
     """``id``, ``n_links``, ``component`` (the smallest id reachable) and ``kept`` (the id is the component's) of every row.
 
-    Vectors link at a cosine of ``threshold`` or more, in double precision. Null and empty vectors, zeros, and vectors with null or
+    Vectors link at a cosine of ``threshold`` or more, in double precision, however long or short they are. Null and empty vectors, zeros, and vectors with null or
     non-finite components link with nothing, and vectors of different lengths do not link. Equal vectors are compared once: each links with
     its copies, and shares its class's links. A null id counts as a vector but names no component unless there is no other.
     """
@@ -144,7 +144,7 @@ def _packed(classes: DataFrame, scratch: Scratch) -> DataFrame:
             yield done(current, held)
 
     def done(key, held):
-        matrix = np.array([vector for _, _, vector in held], np.float64)
+        matrix = _scaled(np.array([vector for _, _, vector in held], np.float64))
         return pa.RecordBatch.from_arrays([
             pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([key[2]], pa.int32()),
             pa.array([[name for name, _, _ in held]], pa.list_(pa.string())), pa.array([[n for _, n, _ in held]], pa.list_(pa.int64())),
@@ -154,6 +154,12 @@ def _packed(classes: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.keep(ordered.mapInArrow(run, schema), "blocks")
 
 
+def _scaled(matrix: np.ndarray) -> np.ndarray:
+    """Rows times powers of two that bring their largest component to 0.5 to 1: no square over- or underflows, and no cosine changes."""
+    _, exponent = np.frexp(np.abs(matrix).max(axis=1))
+    return np.ldexp(matrix, -exponent[:, None])
+
+
 def _tiles(packed: DataFrame) -> DataFrame:
     """One row per pair of blocks of one dimension, a block with itself included; each pair lies in one partition."""
     pairs = packed.select("dimension", F.col("block").alias("a"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("b"))

@@ -143,6 +143,16 @@ def test_near_vectors(spark, monkeypatch, block):
     assert embeddings.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_of_extreme_lengths(spark):
+    rng = np.random.default_rng(3)
+    near = rng.normal(size=8)
+    rows = [(n, (near + rng.normal(scale=0.01, size=8)).tolist()) for n in range(3)] + [(3, (-near).tolist())]
+    long, short = [[(n, (np.array(v) * scale).tolist()) for n, v in rows] for scale in (1e200, 1e-170)]
+    for these in (rows, long, short, [rows[0], long[1], short[2], (3, (-near * 1e-300).tolist())]):
+        got = {tuple(r) for r in embeddings.near_vectors(spark.createDataFrame(these, "vec_id long, embedding array<double>")).collect()}
+        assert got == {(0, 2, 0, True), (1, 2, 0, False), (2, 2, 0, False), (3, 0, 3, True)}
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(8)
     rows = rng.normal(size=(200, 40))
