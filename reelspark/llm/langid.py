@@ -107,7 +107,8 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     """Fit on documents with a text and a language; the others teach nothing.
 
     Document frequencies cover all of them. Centroids come from at most ``LANGUAGE_ROWS`` documents of a language and about
-    ``SAMPLE_ROWS`` in all, the first by a hash of the id, of at most ``SAMPLE_CHARS`` characters. Without any such document every text is ``und``.
+    ``SAMPLE_ROWS`` in all, the first by a hash of the id, of at most ``SAMPLE_CHARS`` characters; an id
+    counts once in a language, by its least text. Of more than ``SAMPLE_ROWS`` languages the last are never learned. Without any such document every text is ``und``.
     """
     tune(docs.sparkSession)
     known = docs.select(quoted(id_column).alias("id"), quoted(text_column).alias("text"), quoted(lang_column).cast("string").alias("lang")).where(
@@ -130,8 +131,8 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     rarity[0] = 0
     short = known.where(F.length("text") <= SAMPLE_CHARS)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    ranked = short.select("id", "lang").withColumn("rank", rank).where(F.col("rank") <= LANGUAGE_ROWS)
-    ids = F.broadcast(ranked.orderBy("rank", "lang").limit(SAMPLE_ROWS).select("id", F.col("lang").alias("language")))
+    ranked = short.select("id", "lang").distinct().withColumn("rank", rank).where(F.col("rank") <= LANGUAGE_ROWS)
+    ids = F.broadcast(ranked.orderBy("rank", "lang").limit(SAMPLE_ROWS).select("id", "lang"))
 
     def vectors(batches):
         for batch in batches:
@@ -140,7 +141,9 @@ def train(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                 batch.column(0), pa.array([held.tobytes() for held, _ in bags], pa.binary()),
                 pa.array([times.tobytes() for _, times in bags], pa.binary())], ["language", "held", "times"])
 
-    chosen = short.join(ids, "id").select("language", "text").mapInArrow(vectors, "language string, held binary, times binary").toArrow()
+    # Of rows that repeat an id in a language, the least text teaches
+    texts = short.join(ids, ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text"))
+    chosen = texts.select(F.col("lang").alias("language"), "text").mapInArrow(vectors, "language string, held binary, times binary").toArrow()
     by_language: dict[str, list[np.ndarray]] = {}
     for language, held, times in sorted(zip(*[chosen.column(i).to_pylist() for i in range(3)])):
         vector = np.zeros(BUCKETS, np.float32)

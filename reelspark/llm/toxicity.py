@@ -137,7 +137,8 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     classes = [known.where(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(TRAINING_ROWS) for value in (0, 1)]
     # At most 2 * TRAINING_ROWS rows
     sample = F.broadcast(classes[0].unionByName(classes[1]))
-    chosen = texts.join(sample, "id").select("id", "label", "text")
+    # Of rows that repeat an id, the least text teaches
+    chosen = texts.join(sample, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
     kind = chosen.schema["id"].dataType.simpleString()
 
     def run(batches):
@@ -151,10 +152,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     found = {}
     for batch in bags.to_batches():
         for name, label, held, times in zip(*[batch.column(i) for i in range(4)]):
-            # Of rows that repeat an id, one teaches
-            bag = held.as_py(), times.as_py()
-            if name.as_py() not in found or found[name.as_py()][1] > bag:
-                found[name.as_py()] = label.as_py(), bag
+            found[name.as_py()] = label.as_py(), (held.as_py(), times.as_py())
     del bags
     marks = np.array([found[name][0] for name in sorted(found)], np.int64)
     rows = [tuple(np.frombuffer(part, np.int32) for part in found.pop(name)[1]) for name in sorted(found)]

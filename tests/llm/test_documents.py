@@ -36,6 +36,20 @@ def test_toxicity_on_held_out_rows(spark):
     assert row[0] > 0.95 and row[1] > 0.6 and row[2] < 0.03
 
 
+def test_training_rows_that_repeat_an_id(spark):
+    """A third of all rows on one id: they teach once, and the others as if they were alone."""
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    first = docs.where("lang IS NOT NULL AND length(text) BETWEEN 100 AND 2000").orderBy("doc_id").limit(1)
+    hot = docs.unionByName(first.crossJoin(spark.range(500)).select("doc_id", "text", "lang"))
+    plain, repeated = langid.train(docs), langid.train(hot)
+    assert plain.languages == repeated.languages and len(plain.centroids) == len(repeated.centroids)
+    labels = spark.read.parquet(f"{DATA}/sf0.01/labels.parquet")
+    labelled = docs.select("doc_id", "text").join(labels, "doc_id")
+    more = labelled.unionByName(labelled.orderBy("doc_id").limit(1).crossJoin(spark.range(500)).drop("id"))
+    one, other = (toxicity.train(rows.select("doc_id", "text"), labels) for rows in (labelled, more))
+    assert np.array_equal(one.weight, other.weight) and np.array_equal(one.pull, other.pull)
+
+
 def test_language_on_held_out_rows(spark):
     row = joined(spark, "op6_langid").where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int")), F.min("score"), F.max("score")).first()
     assert row[0] > 0.98 and 0 <= row[1] <= row[2] <= 1
