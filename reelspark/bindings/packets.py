@@ -197,3 +197,80 @@ def unit_inventory(load):
         F.encode(F.concat(F.lit(code), F.replace("text", F.lit(". "), F.lit("." + code))), "UTF-8").alias("payload"))
     units = op.unit_inventory(framed, ["source", "doc_id"], "payload", "annex-b")
     return op.unit_summary(units, "source", "doc_id", "annex-b")
+
+
+_SENTENCES = """pc AS (SELECT source, doc_id, string_split(text, '. ') AS parts FROM documents),
+sn AS (SELECT source, doc_id, i, octet_length(encode(parts[i])) AS n, encode(parts[i]) AS bytes FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM pc))"""
+_SUMMARY = """pp AS (SELECT source, doc_id, max(CASE WHEN status = 'ok' AND shows THEN 1 ELSE 0 END) AS shows FROM un GROUP BY source, doc_id),
+pf AS (SELECT source, count(*) AS packets, avg(shows) AS shown_share FROM pp GROUP BY source)
+SELECT source, type, status, count(*) AS units, CAST(sum(size) AS BIGINT) AS bytes, any_value(packets) AS packets, any_value(shown_share) AS shown_share FROM un JOIN pf USING (source) GROUP BY source, type, status"""
+
+
+def _hex(value):
+    """Big-endian hexadecimal digits of a number, four bytes."""
+    return F.lpad(F.hex(value), 8, "0")
+
+
+def _sentences(load):
+    return load("documents").withColumn("parts", F.split("text", r"\. "))
+
+
+@query("unit_inventory_lengths", f"""WITH {_SENTENCES},
+st AS (SELECT source, doc_id, CASE WHEN min(n) = 0 THEN 'invalid-length' WHEN doc_id % 11 = 0 THEN 'truncated-length' WHEN min(n) < 2 THEN 'missing-header' ELSE 'ok' END AS status
+  FROM sn GROUP BY source, doc_id),
+un AS (SELECT source, doc_id, CAST('0x' || substr(hex(bytes), 1, 2) AS INTEGER) >> 1 & 63 AS type, n AS size, status,
+    CAST('0x' || substr(hex(bytes), 1, 2) AS INTEGER) >> 1 & 63 <= 31 AS shows FROM sn JOIN st USING (source, doc_id) WHERE status = 'ok'
+  UNION ALL SELECT source, doc_id, NULL, NULL, status, false FROM st WHERE status <> 'ok'),
+{_SUMMARY}""")
+def unit_inventory_lengths(load):
+    """Documents as packets of units behind four-byte lengths; every eleventh ends within a length."""
+    unit = lambda part: F.concat(_hex(F.octet_length(part)), F.hex(F.encode(part, "UTF-8")))
+    framed = _sentences(load).select("source", "doc_id", F.unhex(F.concat(
+        F.array_join(F.transform("parts", unit), ""), F.when(F.col("doc_id") % 11 == 0, "000000").otherwise(""))).alias("payload"))
+    units = op.unit_inventory(framed, ["source", "doc_id"], "payload", "length-4")
+    return op.unit_summary(units, "source", "doc_id", "length-4")
+
+
+@query("unit_inventory_av1", f"""WITH {_SENTENCES},
+st AS (SELECT DISTINCT source, doc_id, CASE WHEN doc_id % 7 = 0 THEN 'forbidden-bit' WHEN doc_id % 13 = 0 THEN 'truncated-size' ELSE 'ok' END AS status FROM sn),
+un AS (SELECT source, doc_id, CAST(n % 8 AS INTEGER) AS type, 1 + CAST(n % 5 = 0 AS INTEGER) + CASE WHEN n < 128 THEN 1 ELSE 4 END + n AS size, status, n % 8 IN (3, 6, 7) AS shows
+    FROM sn JOIN st USING (source, doc_id) WHERE status = 'ok'
+  UNION ALL SELECT source, doc_id, NULL, NULL, status, false FROM st WHERE status <> 'ok'),
+{_SUMMARY}""")
+def unit_inventory_av1(load):
+    """Documents as packets of OBUs of one sentence, with and without an extension, sizes in one byte or four."""
+
+    def unit(part):
+        size = F.octet_length(part)
+        byte = lambda bits, flag: F.lpad(F.hex(F.shiftright(size, bits).bitwiseAND(127) + flag), 2, "0")
+        header = (size % 8) * 8 + 2
+        return F.concat(
+            F.when(size % 5 == 0, F.concat(F.lpad(F.hex(header + 4), 2, "0"), F.lit("00"))).otherwise(F.lpad(F.hex(header), 2, "0")),
+            F.when(size < 128, byte(0, 0)).otherwise(F.concat(byte(0, 128), byte(7, 128), byte(14, 128), byte(21, 0))),
+            F.hex(F.encode(part, "UTF-8")))
+
+    framed = _sentences(load).select("source", "doc_id", F.unhex(F.concat(
+        F.when(F.col("doc_id") % 7 == 0, "80").otherwise(""), F.array_join(F.transform("parts", unit), ""),
+        F.when(F.col("doc_id") % 13 == 0, "0AFF").otherwise(""))).alias("payload"))
+    units = op.unit_inventory(framed, ["source", "doc_id"], "payload", "av1")
+    return op.unit_summary(units, "source", "doc_id", "av1")
+
+
+@query("unit_inventory_vp9", f"""WITH {_SENTENCES},
+fr AS (SELECT *, (i - 1) // 8 AS packet, n % 2 = 0 AS hid FROM sn),
+whole AS (SELECT source, doc_id, packet, arg_min(hid, i) AS hid, sum(n + 1) + 4 * count(*) + 2 AS size FROM fr WHERE doc_id % 6 = 0 GROUP BY source, doc_id, packet),
+un AS (SELECT source, hid AS hidden, n + 1 AS size FROM fr WHERE doc_id % 6 > 0 UNION ALL SELECT source, hid, size FROM whole)
+SELECT source, hidden, count(*) AS units, CAST(sum(size) AS BIGINT) AS bytes FROM un GROUP BY source, hidden""")
+def unit_inventory_vp9(load):
+    """Documents as superframes of up to eight sentences; where the index is damaged, the packet is one frame."""
+    eights = F.transform(F.sequence(F.lit(0), (F.size("parts") - 1).cast("int"), F.lit(8)), lambda first: F.slice("parts", first + 1, F.lit(8)))
+    little = lambda part: F.concat(*[F.substring(_hex(F.octet_length(part) + 1), place, 2) for place in (7, 5, 3, 1)])
+    frame = lambda part: F.concat(F.when(F.octet_length(part) % 2 == 0, "80").otherwise("82"), F.hex(F.encode(part, "UTF-8")))
+    marker = F.hex(F.lit(0xC0 + 0x18) + F.size("frames") - 1)
+    framed = _sentences(load).where("parts IS NOT NULL").select(
+        "source", "doc_id", F.posexplode(eights).alias("packet", "frames")).select(
+        "source", "doc_id", "packet", F.unhex(F.concat(
+            F.array_join(F.transform("frames", frame), ""), F.when(F.col("doc_id") % 6 == 0, "00").otherwise(marker),
+            F.array_join(F.transform("frames", little), ""), marker)).alias("payload"))
+    units = op.unit_inventory(framed, ["source", "doc_id", "packet"], "payload", "vp9")
+    return units.groupBy("source", "hidden").agg(F.count(F.lit(1)).alias("units"), F.sum("size").alias("bytes"))

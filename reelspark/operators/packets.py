@@ -3,9 +3,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..functions.framing import STATUSES, find_units
 from ..plans import Framed, Lag, Lead, RunningSum, Timeline, asof_join
 
 # Fixed values
@@ -16,103 +20,39 @@ HEVC_LAST_SUB_LAYER_NON_REFERENCE_TYPE = 14
 HEVC_SPS_TYPE = 33
 AV1_FRAME_TYPES = [3, 6, 7]
 
-UNIT_COLUMNS = "unit_no int, offset bigint, size bigint, type int, layer int, temporal_id int, hidden boolean, status string"
+UNIT_COLUMNS = T.StructType().add("unit_no", "integer").add("offset", "long").add("size", "long").add("type", "integer").add(
+    "layer", "integer").add("temporal_id", "integer").add("hidden", "boolean").add("status", "string")
 
 
 # ---- P1 -------------------------------------------------------------------------------------------------------
-class _BadPacket(ValueError):
-    pass
-
-
-def _annex_b(data: bytes) -> list[tuple[int, int]]:
-    """Spans between start codes 00 00 01 or 00 00 00 01; only zeros may come before the first."""
-    spans, at = [], data.find(b"\x00\x00\x01")
-    if at < 0:
-        raise _BadPacket("no-start-code")
-    if any(data[:at]):
-        raise _BadPacket("data-before-start-code")
-    while at >= 0:
-        begin = at + 3
-        at = data.find(b"\x00\x00\x01", begin)
-        end = len(data) if at < 0 else at - (1 if at > begin and data[at - 1] == 0 else 0)
-        spans.append((begin, end))
-    return spans
-
-
-def _length_prefixed(data: bytes, width: int) -> list[tuple[int, int]]:
-    spans, at = [], 0
-    while at < len(data):
-        if at + width > len(data):
-            raise _BadPacket("truncated-length")
-        size = int.from_bytes(data[at:at + width], "big")
-        at += width
-        if size == 0 or at + size > len(data):
-            raise _BadPacket("invalid-length")
-        spans.append((at, at + size))
-        at += size
-    return spans
-
-
-def _av1(data: bytes) -> list[tuple[int, int, int]]:
-    """OBU spans with their types; only the last may leave out its leb128 size."""
-    units, at = [], 0
-    if not data:
-        raise _BadPacket("empty")
-    while at < len(data):
-        header = data[at]
-        if header & 0x80:
-            raise _BadPacket("forbidden-bit")
-        payload = at + (2 if header & 0x04 else 1)
-        if payload > len(data):
-            raise _BadPacket("truncated-extension")
-        end = len(data)
-        if header & 0x02:
-            size, shift = 0, 0
-            while True:
-                if payload >= len(data):
-                    raise _BadPacket("truncated-size")
-                if shift >= 56:
-                    raise _BadPacket("size-too-long")
-                byte = data[payload]
-                payload += 1
-                size |= (byte & 0x7F) << shift
-                shift += 7
-                if not byte & 0x80:
-                    break
-            if size > 0xFFFFFFFF or payload + size > len(data):
-                raise _BadPacket("size-exceeds-packet")
-            end = payload + size
-        units.append((at, end, (header >> 3) & 0x0F))
-        at = end
-    return units
-
-
-def _vp9(data: bytes) -> list[tuple[int, int]]:
-    """Frames of a superframe, or the whole packet where its index does not hold."""
-    whole = [(0, len(data))]
-    if not data or data[-1] & 0xE0 != 0xC0:
-        return whole
-    marker = data[-1]
-    count, width = (marker & 7) + 1, ((marker >> 3) & 3) + 1
-    index = len(data) - 2 - width * count
-    if index < 0 or data[index] != marker:
-        return whole
-    spans, at = [], 0
-    for n in range(count):
-        size = int.from_bytes(data[index + 1 + n * width:index + 1 + (n + 1) * width], "little")
-        if at + size > index:
-            return whole
-        spans.append((at, at + size))
-        at += size
-    return spans
-
-
-def _vp9_hidden(frame: bytes) -> bool:
-    if not frame or frame[0] >> 6 != 2:
-        return False
-    profile = ((frame[0] >> 4) & 1) << 1 | (frame[0] >> 5) & 1
-    shift = 1 if profile == 3 else 0
-    return not (frame[0] >> (3 - shift)) & 1 and not (frame[0] >> (1 - shift)) & 1
+_SLICE_BYTES = 16 << 20
+
+
+def _unit_batch(keys: list[pa.Array], payload: pa.Array, framing: str, schema: pa.Schema) -> pa.RecordBatch:
+    """Units of some packets, each with its packet's keys; a malformed packet is one row with its status."""
+    payload = payload.fill_null(b"")
+    edges = np.frombuffer(payload.buffers()[1], np.int32)[payload.offset:payload.offset + len(payload) + 1].astype(np.int64)
+    data = np.frombuffer(payload.buffers()[2] or b"", np.uint8)[edges[0]:edges[-1]]
+    edges = edges - edges[0]
+    units = find_units(data, edges[:-1], edges[1:], framing)
+    bad = np.flatnonzero(units.status)
+    packet = np.concatenate([units.packet, bad])
+    order = np.argsort(packet, kind="stable")
+    packet, is_unit = packet[order], order < len(units.packet)
+
+    def column(values, kind):
+        if values is None:
+            return pa.nulls(len(packet), kind)
+        return pa.array(np.concatenate([values, np.zeros(len(bad), values.dtype)])[order], mask=~is_unit).cast(kind)
+
+    units_before = np.searchsorted(units.packet, units.packet)
+    values = {
+        "unit_no": np.arange(len(units.packet)) - units_before, "offset": units.begin - edges[units.packet],
+        "size": units.end - units.begin, "type": units.type, "layer": units.layer, "temporal_id": units.temporal_id,
+        "hidden": units.hidden}
+    rows = pa.array(packet)
+    columns = [key.take(rows) for key in keys] + [column(values[name], schema.field(name).type) for name in values]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(STATUSES).take(pa.array(units.status[packet]))], schema=schema)
 
 
 def split_units(data: bytes, framing: str) -> list[tuple]:
@@ -120,43 +60,33 @@ def split_units(data: bytes, framing: str) -> list[tuple]:
 
     ``framing`` is ``annex-b``, ``length-1`` to ``length-4``, ``av1`` or ``vp9``.
     """
-    try:
-        if framing == "av1":
-            rows = [(begin, end, kind, None, None, None) for begin, end, kind in _av1(data)]
-        elif framing == "vp9":
-            rows = [(begin, end, None, None, None, _vp9_hidden(data[begin:end])) for begin, end in _vp9(data)]
-        else:
-            spans = _annex_b(data) if framing == "annex-b" else _length_prefixed(data, int(framing[-1]))
-            rows = []
-            for begin, end in spans:
-                if end - begin < 2:
-                    raise _BadPacket("missing-header")
-                first, second = data[begin], data[begin + 1]
-                rows.append((begin, end, (first >> 1) & 0x3F, (first & 1) << 5 | second >> 3, (second & 7) - 1, None))
-    except _BadPacket as problem:
-        return [(None, None, None, None, None, None, None, str(problem))]
-    return [(n, begin, end - begin, kind, layer, temporal, hidden, "ok")
-            for n, (begin, end, kind, layer, temporal, hidden) in enumerate(rows)]
+    batch = _unit_batch([], pa.array([data], pa.binary()), framing, to_arrow_schema(UNIT_COLUMNS))
+    return list(zip(*(column.to_pylist() for column in batch.columns)))
 
 
 def unit_inventory(packets: DataFrame, key: list[str], payload: str, framing: str) -> DataFrame:
     """P1. One row per unit of each packet (type, layer and temporal id for NAL units), payload left out.
 
-    Packets are split where they lie, batch by batch; a malformed packet gives one row with its status.
+    Packets are split where they lie, some megabytes of them at once; a malformed packet gives one row with its status, and
+    a null payload counts as an empty one.
     """
-    schema = T.StructType([packets.schema[name] for name in key] + list(T.StructType.fromDDL(UNIT_COLUMNS)))
-
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for packet in pdf.itertuples(index=False):
-                rows += [(*packet[:-1], *unit) for unit in split_units(bytes(packet[-1] or b""), framing)]
-            frame = pd.DataFrame(rows, columns=schema.names)
-            for name in ("unit_no", "offset", "size", "type", "layer", "temporal_id"):
-                frame[name] = frame[name].astype("Int64")
-            yield frame
-
-    return packets.select(*key, F.col(payload)).mapInPandas(explode, schema)
+    own = packets.select(*key, F.col(payload).alias("__payload"))
+    schema = T.StructType([own.schema[name] for name in key] + UNIT_COLUMNS.fields)
+    wide = to_arrow_schema(UNIT_COLUMNS)
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = pa.schema([batch.schema.field(n) for n in range(len(key))] + list(wide))
+            reach = np.cumsum(pc.fill_null(pc.binary_length(batch.column(len(key))), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                limit = _SLICE_BYTES + (reach[at - 1] if at else 0)
+                stop = max(at + 1, int(np.searchsorted(reach, limit, side="right")))
+                part = batch.slice(at, stop - at)
+                yield _unit_batch(part.columns[:-1], part.column(len(key)), framing, out)
+                at = stop
+
+    return own.mapInArrow(explode, schema)
 
 
 def unit_summary(units: DataFrame, file: str, packet: str, framing: str) -> DataFrame:
