@@ -1,10 +1,16 @@
 """Catalogue operators and sources over the test tables."""
+import re
+import uuid
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from ..functions import tables as fixed
 from ..operators import catalog as op
+from ..session import work_dir
 from ..sources.cues import read_cues
-from ..sources.library import classify_library
+from ..sources.library import classify_library, scan_library as scan_folder
 from ..sources.lut import lut_headers, read_lut
 from ..sources.probe import read_probe_reports
 from ..sources.trace import read_trace_exports
@@ -102,6 +108,39 @@ def scan_library(load):
     return classify_library(listing, "path", "size_bytes")
 
 
+_TREE = """split_part(url, '/', 4) || CASE WHEN page_id % 3 = 0 THEN '/_' ELSE '/' END || CAST(page_id % 12 AS VARCHAR) || '/'
+  || CASE page_id % 6 WHEN 0 THEN 'Film.' WHEN 1 THEN '_extra.' WHEN 2 THEN '.hidden.' WHEN 3 THEN 'a b.' WHEN 4 THEN '.trash/clip.' ELSE 'deep/er/clip.' END
+  || CAST(page_id AS VARCHAR) || CASE page_id % 5 WHEN 0 THEN '.MKV' WHEN 1 THEN '.en.srt' WHEN 2 THEN '.txt' ELSE '.mp4' END"""
+
+
+def _writer(root):
+    """Write (path, content) rows as files below a folder; a repeated task writes the same bytes again."""
+
+    def write(batches):
+        system, top = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system.create_dir(f"{top}/{path}".rsplit("/", 1)[0])
+                with system.open_output_stream(f"{top}/{path}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_pydict({"files": pa.array([batch.num_rows], pa.int64())})
+
+    return write
+
+
+@query("scan_library_tree", f"""SELECT path, size_bytes, CASE WHEN path LIKE '%.srt' THEN 'subtitle' ELSE 'media' END AS kind
+FROM (SELECT {_TREE} AS path, strlen(html) AS size_bytes FROM pages) WHERE path NOT LIKE '%/.%' AND path NOT LIKE '%.txt'""")
+def scan_library_tree(load):
+    """A tree of files with the pages' content, written by tasks and listed."""
+    pages = load("pages")
+    spark = pages.sparkSession
+    root = f"{work_dir(spark)}/library-{uuid.uuid4().hex}"
+    root = re.sub(r"^(file:)?/+", "file:///", root)
+    files = pages.select(F.expr(_TREE.replace("VARCHAR", "STRING")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    files.mapInArrow(_writer(root), "files long").write.format("noop").mode("overwrite").save()
+    return scan_folder(spark, root, tasks=64)
+
+
 _RULES = "rl AS (SELECT * FROM (VALUES " + ", ".join(
     f"({n}, {_sql_list(c)}, {_sql_list(v)}, {_sql_list(a)})" for n, (c, v, a) in enumerate(fixed.CONTAINER_RULES)
 ) + ") t(rule_no, containers, videos, audios))"

@@ -1,10 +1,12 @@
 """Order-dependent rules and byte splitting against hand-made sequences."""
 import random
 
+import pytest
+
 from reelspark.operators.audio import ReconcileFold
 from reelspark.operators.frames import PeakFold, crop_timeline
 from reelspark.operators.metadata import PairFold, pair_layers
-from reelspark.operators.packets import split_units
+from reelspark.operators.packets import split_units, unit_inventory
 from reelspark.operators.timing import FrameIntervalFold, RefreshIntervalFold
 from reelspark.operators.verdicts import QuarantineFold
 from reelspark.plans.fold import fold_rows
@@ -40,6 +42,31 @@ def test_av1_and_vp9():
     assert len(split_units(hidden + shown + bytes([0xC1, 9, 9, 0xC1]), "vp9")) == 1
 
 
+@pytest.mark.parametrize("framing", ["annex-b", "length-1", "length-4", "av1", "vp9"])
+def test_many_packets_give_the_units_of_each(spark, framing):
+    """Packets of known units, malformed and null ones among them, in slices of several packets and of one."""
+    draw, packets, want = random.Random(framing), [], []
+    for number in range(300):
+        units = [bytes(draw.randrange(2, 128) for _ in range(draw.randrange(2, 40))) for _ in range(draw.randrange(1, 6))]
+        lead = {"annex-b": lambda u: b"\x00\x00\x01", "av1": lambda u: bytes([0x32, len(u)]), "vp9": lambda u: b""}.get(
+            framing, lambda u: len(u).to_bytes(int(framing[-1]), "big"))
+        data = b"".join(lead(unit) + unit for unit in units)
+        sizes = [len(unit) + (2 if framing == "av1" else 0) for unit in units]
+        if framing == "vp9":
+            marker = bytes([0xC0 + len(units) - 1])
+            data += marker + bytes(map(len, units)) + marker
+        if number % 17 == 0:
+            data, sizes = None, {"annex-b": [None], "av1": [None], "vp9": [0]}.get(framing, [])
+        elif number % 13 == 0 and framing != "vp9":
+            data, sizes = {"annex-b": b"\x07" + data, "av1": b"\xff" + data}.get(framing, data + b"\x09"), [None]
+        packets.append((number, data))
+        want += [(number, size) for size in sizes]
+    rows = spark.createDataFrame(packets, "n int, payload binary").coalesce(1)
+    got = unit_inventory(rows, ["n"], "payload", framing).collect()
+    assert sorted(((row["n"], row["size"]) for row in got), key=str) == sorted(want, key=str)
+    assert all((row["status"] == "ok") == (row["size"] is not None) for row in got)
+
+
 def test_frame_interval_of_24_fps_in_milliseconds():
     rows = [(round(n * 1000 / 24) * 1000, 42_000) for n in range(60)]
     found = [value for value, in run(FrameIntervalFold("t", "d"), rows)]

@@ -18,6 +18,19 @@ def test_scan_library(spark, tmp_path):
     assert rows == {"Show/S1/e2.MKV": (5, "media"), "Show/S1/e2.en.srt": (5, "subtitle"), "a b.mp4": (5, "media")}
 
 
+@pytest.mark.parametrize("tasks", [1, 3, 1_000])
+def test_scan_library_keeps_underscores_however_it_is_dealt(spark, tmp_path, tasks):
+    names = [f"{top}/{below}/{file}" for top in ("_a", "b c", "d") for below in ("_x/y/z", "w") for file in ("_1.mp4", "2.srt", ".3.mp4")]
+    for name in names + ["top.mkv"]:
+        path = tmp_path / "lib" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"123")
+    rows = [row["path"] for row in scan_library(spark, f"file:{tmp_path}/lib", tasks).collect()]
+    assert sorted(rows) == sorted([name for name in names if "/." not in name] + ["top.mkv"])
+    (tmp_path / "none").mkdir()
+    assert scan_library(spark, str(tmp_path / "none"), tasks).count() == 0
+
+
 def test_cues(spark):
     text = (
         "WEBVTT\r\n\r\n1\r\n00:05.000 --> 00:06.500 position:10%\r\n<i>one</i> <b unclosed\r\nsecond --> line\r\n\r\n"
