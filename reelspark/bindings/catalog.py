@@ -138,7 +138,7 @@ def scan_library_tree(load):
     root = re.sub(r"^(file:)?/+", "file:///", root)
     files = pages.select(F.expr(_TREE.replace("VARCHAR", "STRING")).alias("path"), F.encode("html", "UTF-8").alias("content"))
     files.mapInArrow(_writer(root), "files long").write.format("noop").mode("overwrite").save()
-    return scan_folder(spark, root, tasks=64)
+    return scan_folder(spark, root)
 
 
 _RULES = "rl AS (SELECT * FROM (VALUES " + ", ".join(

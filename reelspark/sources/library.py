@@ -33,7 +33,7 @@ class _Folders(InputPartition):
 
 class _LibraryReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.root, self.tasks = options["path"], int(options.get("tasks", 1_000))
+        self.root, self.tasks = options["path"], int(options["tasks"])
 
     def _open(self) -> tuple[fs.FileSystem, str]:
         local = re.fullmatch(r"(?:file:)?/+(.*)", self.root)
@@ -82,14 +82,15 @@ class LibrarySource(DataSource):
         return _LibraryReader(dict(self.options))
 
 
-def scan_library(spark: SparkSession, root: str, tasks: int = 1_000) -> DataFrame:
+def scan_library(spark: SparkSession, root: str, tasks: int | None = None) -> DataFrame:
     """S1. Media and subtitle files below a folder. Only names and lengths are read, no content.
 
     ``root`` is a path or the address of a file system that Arrow knows (``hdfs:``, ``s3:``, ``gs:``), reachable from every
-    task. Folders are opened breadth first until ``tasks`` of them wait; those, and the ones already opened, are dealt to that
-    many tasks. Names that start with an underscore are kept, names that start with a dot are hidden; an empty folder
+    task. Folders are opened breadth first until ``tasks`` of them (two for each of the session's slots) wait; those, and the
+    ones already opened, are dealt to that many tasks. Names that start with an underscore are kept, names that start with a dot are hidden; an empty folder
     gives no rows and a missing one fails.
     """
     spark.dataSource.register(LibrarySource)
+    tasks = tasks or 2 * spark.sparkContext.defaultParallelism
     listing = spark.read.format("library").option("tasks", tasks).load(root)
     return classify_library(listing, "path", "size_bytes")
