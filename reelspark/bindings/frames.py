@@ -60,12 +60,13 @@ def picture_extent(load):
     return op.picture_extent(_stats(load), _AXIS, "line")
 
 
-_SHOTS = _EXTENTS + """, fr AS (SELECT stream_id, frame_no, bool_and(first_line IS NOT NULL) AS picture FROM ex GROUP BY ALL),
-pv AS (SELECT a.stream_id, a.frame_no, a.axis, sum(abs(a.level_sum - b.level_sum)) / CAST(count(*) * 64 AS DOUBLE) AS m FROM ls a JOIN ls b
-  ON a.stream_id = b.stream_id AND a.frame_no = b.frame_no + 1 AND a.axis = b.axis AND a.line = b.line GROUP BY ALL),
-ch AS (SELECT stream_id, frame_no, sum(m) / 2 AS c FROM pv GROUP BY ALL),
-ss AS (SELECT f.stream_id, f.frame_no, f.picture, CASE WHEN f.picture AND coalesce(lag(f.picture) OVER w, false) THEN c END AS level_change FROM fr f LEFT JOIN ch USING (stream_id, frame_no) WINDOW w AS (PARTITION BY f.stream_id ORDER BY f.frame_no)),
-st AS (SELECT *, picture AND (level_change IS NULL OR level_change > 8) AS starts_shot FROM ss)"""
+_SHOTS = _EXTENTS + """, fr AS (SELECT stream_id, frame_no, count(first_line) = 2 AS picture, max(lines) FILTER (axis = 'row') AS rs, max(lines) FILTER (axis = 'column') AS cs FROM ex GROUP BY ALL),
+lk AS (SELECT *, CASE WHEN picture AND lag(picture) OVER w AND lag(rs) OVER w = rs AND lag(cs) OVER w = cs THEN lag(frame_no) OVER w END AS before
+  FROM fr WINDOW w AS (PARTITION BY stream_id ORDER BY frame_no)),
+pv AS (SELECT a.stream_id, a.frame_no, a.axis, sum(abs(a.level_sum - b.level_sum)) / CAST(count(*) * 64 AS DOUBLE) AS m FROM lk JOIN ls a ON a.stream_id = lk.stream_id AND a.frame_no = lk.frame_no
+  JOIN ls b ON a.stream_id = b.stream_id AND b.frame_no = lk.before AND a.axis = b.axis AND a.line = b.line GROUP BY ALL),
+ch AS (SELECT stream_id, frame_no, sum(m) / 2 AS level_change FROM pv GROUP BY ALL),
+st AS (SELECT stream_id, frame_no, picture, level_change, picture AND (before IS NULL OR level_change > 8) AS starts_shot FROM lk LEFT JOIN ch USING (stream_id, frame_no))"""
 
 
 def _shots(load):
