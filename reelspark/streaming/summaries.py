@@ -1,18 +1,20 @@
 """E4, E5. Summaries of event streams."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .closing import timed
 
-#: Streamed percentiles are approximate, within one part in so many of a group; the batch form is exact
-PERCENTILE_ACCURACY = 10_000
-
 
 def _micros(column: str) -> Column:
     return F.unix_micros(column)
 
 
+def _percentile(column: str, share: float, kind: T.DataType) -> Column:
+    """The least value that at least a share of the known values do not exceed."""
+    return F.expr(f"percentile_disc({share}) WITHIN GROUP (ORDER BY `{column}`)").cast(kind)
+
+
 def stream_event_summary(
     stream: DataFrame, group: list[str], ts: str, event_id: str, wait: str, delay: str, width: str, slide: str | None = None,
     percentiles=(0.5, 0.95),
@@ -21,13 +23,15 @@ def stream_event_summary(
 
     Workers flush in batches, so events come out of order and may come twice: the watermark waits ``delay`` for them and
     an event id counts once within it. Append mode emits a window when no more events can change it.
+
+    Percentiles are exact, as in the batch form: the state of a window and group counts its distinct waits.
     """
     unique = timed(stream, ts, delay).dropDuplicatesWithinWatermark([event_id])
     window = F.window(ts, width, slide) if slide else F.window(ts, width)
     totals = unique.groupBy(*group, window.alias("__window")).agg(
         F.count(F.lit(1)).alias("events"), F.sum(wait).alias("wait_sum_us"), F.avg(wait).alias("wait_mean_us"),
         F.max(wait).alias("wait_max_us"),
-        *[F.percentile_approx(wait, p, PERCENTILE_ACCURACY).alias(f"wait_p{round(p * 100)}_us") for p in percentiles])
+        *[_percentile(wait, p, stream.schema[wait].dataType).alias(f"wait_p{round(p * 100)}_us") for p in percentiles])
     return totals.withColumn("window_us", _micros("__window.start")).drop("__window")
 
 

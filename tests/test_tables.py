@@ -13,7 +13,7 @@ def equal_to_sql(spark, name, folder, **tables):
     con = duckdb.connect()
     con.sql("SET TimeZone = 'UTC'")
     for table, df in tables.items():
-        df.toPandas().to_parquet(f"{folder}/{table}.parquet")
+        df.toPandas().to_parquet(f"{folder}/{table}.parquet", coerce_timestamps="us")
         con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
     rows = QUERIES[name](spark, str(folder)).collect()
     relation = con.sql(ORACLE[name])
@@ -30,3 +30,12 @@ def test_shots_of_frames_cut_short_or_lost(spark, tmp_path):
     found = {row["frame_no"]: row for row in equal_to_sql(spark, "shots", tmp_path, embeddings=kept)}
     assert found[74]["starts_shot"] and found[74]["level_change"] is None and found[73]["picture"]
     assert found[43]["level_change"] is not None and not found[51]["picture"]
+
+
+def test_streamed_percentiles_are_exact(spark, tmp_path):
+    # 60,000 distinct waits of one kind on one day
+    events = spark.range(60_000).selectExpr(
+        "id AS event_id", "timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id % 80000) AS ts", "id % 7 AS user_id", "'view' AS event_type",
+        "(id * 7919 % 60000) * (id * 7919 % 60000) / 1000D AS value", "'{\"k\": 1}' AS props")
+    row, = equal_to_sql(spark, "stream_event_summary", tmp_path, events=events)
+    assert row["events"] == 60_000 and row["wait_p95_us"] == 56_999 ** 2
