@@ -19,6 +19,8 @@ MEBIBYTE = 1024 * 1024
 ENHANCEMENT_FULL_SIZE_WIDTH = 1920
 RATE_TOLERANCE = 0.001
 MAXIMUM_RANGE_HEADER = 128
+#: Media that receive their sidecars from one copy of a list
+MEDIA_PER_LIST = 1000
 
 
 # ---- C1 -------------------------------------------------------------------------------------------------------
@@ -101,17 +103,26 @@ def sidecar_join(media: DataFrame, subs: DataFrame, media_id: str, path: str, su
 
     A subtitle fits when its base name is the media's, or continues it after a dot, ignoring case. So its base name cut
     at each of its dots is looked up among the media of the folder: an equi join, however many files a folder holds.
+
+    Media of one folder and base name have the same list: it is collected and sorted once, and each of them receives it. A list that
+    many media share is dealt out in copies, so that they spread over tasks.
     """
     owners = media.withColumn("__folder", folder_of(path)).withColumn("__base", F.lower(base_name(name_of(path))))
+    place = ["__folder", "__base"]
     parts = F.split(F.lower(base_name(name_of(sub_path))), r"\.")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
-    offered = subs.select(
-        folder_of(sub_path).alias("__folder"), F.col(sub_path).alias("__sub"), F.explode(F.array_distinct(prefixes)).alias("__base"))
-    order = F.struct(natural_key(name_of("__sub")).alias("k"), F.col("__sub").alias("path"))
-    found = owners.select(media_id, "__folder", "__base").join(offered, ["__folder", "__base"])
-    lists = found.groupBy(media_id).agg(F.transform(F.sort_array(F.collect_set(order)), lambda item: item["path"]).alias("__list"))
-    return media.join(lists, media_id, "left").withColumn(
-        "subtitles", F.coalesce("__list", F.array().cast("array<string>"))).drop("__list")
+    item = F.struct(natural_key(name_of(sub_path)).alias("k"), F.col(sub_path).alias("path"))
+    offered = subs.select(folder_of(sub_path).alias("__folder"), item.alias("__item"), F.explode(F.array_distinct(prefixes)).alias("__base"))
+    shared = owners.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / MEDIA_PER_LIST).alias("__copies"))
+    lists = (
+        offered.join(shared, place).groupBy(*place, "__copies")
+        .agg(F.transform(F.sort_array(F.collect_set("__item")), lambda item: item["path"]).alias("__list"))
+        .withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__copies") - 1))).drop("__copies"))
+    many = shared.where("__copies > 1")
+    dealt = owners.join(many, place, "left").withColumn(
+        "__copy", F.coalesce(F.pmod(F.xxhash64(media_id, path), F.col("__copies")), F.lit(0))).drop("__copies").repartition(*place, "__copy")
+    return dealt.join(lists, [*place, "__copy"], "left").select(
+        *[F.col(name) for name in media.columns], F.coalesce("__list", F.array().cast("array<string>")).alias("subtitles"))
 
 
 def directory_rollup(media: DataFrame, path: str, size: str) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from oracle import DATA, plain
+from reelspark.operators import catalog
 
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
@@ -39,3 +40,22 @@ def test_streamed_percentiles_are_exact(spark, tmp_path):
         "(id * 7919 % 60000) * (id * 7919 % 60000) / 1000D AS value", "'{\"k\": 1}' AS props")
     row, = equal_to_sql(spark, "stream_event_summary", tmp_path, events=events)
     assert row["events"] == 60_000 and row["wait_p95_us"] == 56_999 ** 2
+
+
+def test_media_of_one_name_share_a_list(spark, monkeypatch):
+    monkeypatch.setattr(catalog, "MEDIA_PER_LIST", 3, raising=False)
+    names = [f"a/{'Film' if n % 3 else 'film.cut'}.mkv" for n in range(40)] + ["a/other.mp4", "film.mkv"]
+    media = spark.createDataFrame(list(enumerate(names)), "id long, path string")
+    subs = [f"a/FILM.cut.{n}.srt" for n in range(12)] + ["a/film.srt", "a/films.srt", "film.en.srt", "a/film.cut.srt"]
+    joined = catalog.sidecar_join(media, spark.createDataFrame([(sub,) for sub in subs], "sub string"), "id", "path", "sub")
+    found = {row["id"]: row["subtitles"] for row in joined.collect()}
+    assert len(found) == len(names)
+    for number, name in enumerate(names):
+        folder, base = name.rpartition("/")[0], name.rpartition("/")[2].rpartition(".")[0].lower()
+        fits = {sub for sub in subs if sub.rpartition("/")[0] == folder and (sub.rpartition("/")[2].lower() + ".").startswith(base + ".")}
+        assert len(found[number]) == len(fits) and set(found[number]) == fits
+    assert found[0].index("a/FILM.cut.9.srt") < found[0].index("a/FILM.cut.10.srt")
+    # Pairs of media and subtitles are never collected
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    collects = [line for line in plan.splitlines() if "collect_set" in line]
+    assert collects and all(line.split("Aggregate [", 1)[1].startswith("__folder") for line in collects)
