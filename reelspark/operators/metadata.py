@@ -6,6 +6,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans import Fold, Framed, Lag, LastKnown, Lead, RowNumber, RunningMax, RunningSum, Timeline, fold
+from ..plans.skew import find_chunks
 
 # Fixed values
 MAXIMUM_LUMINANCE_NITS = 10_000.0
@@ -57,7 +58,8 @@ def pair_layers(
 
     both = side(base, base_seq, base_ts, 0).unionByName(side(enhancement, enh_seq, enh_ts, 1))
     order = ["__t", "__side", "__seq"]
-    line = Timeline(both, key, order).scan(
+    chunks = find_chunks(both, key, order).unless_small(both)
+    line = Timeline(both, key, order, chunks).scan(
         __near=Lag("__t"), __top0=RunningMax(F.when(F.col("__side") == 0, F.col("__seq"))),
         __top1=RunningMax(F.when(F.col("__side") == 1, F.col("__seq"))))
     line = line.apply(lambda df: df.withColumn(
@@ -80,7 +82,7 @@ def pair_layers(
     settled = rows.where("__path = 'settled'").select(*key, "__side", own.alias("__own"), "__partner")
 
     group = [*key, "__island"]
-    folded = fold(rows.where("__path = 'crowded'"), group, order, PairFold(tolerance))
+    folded = fold(rows.where("__path = 'crowded'"), group, order, PairFold(tolerance), small_keys=not chunks)
     mine = F.struct(F.col("__seq"), F.col("__t"), F.col("__own_back").alias("__back"))
     other = F.struct(F.col("__p_seq").alias("__seq"), F.col("__p_t").alias("__t"), F.col("__p_back").alias("__back"))
     matched = F.when(F.col("__p_seq").isNotNull(), other)

@@ -86,8 +86,12 @@ def run_sorted(
         finished(current, state)
 
 
-def fold(df: DataFrame, key, order, rule: Fold) -> DataFrame:
-    """Key and order columns with the rule's outputs, one row per input row."""
+def fold(df: DataFrame, key, order, rule: Fold, small_keys: bool = False) -> DataFrame:
+    """Key and order columns with the rule's outputs, one row per input row.
+
+    ``small_keys`` says that no key needs chunks, as where the caller found none for a key that this one divides further: then
+    ``df`` is not run to find out.
+    """
     key = [key] if isinstance(key, str) else list(key)
     order = [order] if isinstance(order, str) else list(order)
     columns = list(dict.fromkeys([*key, *order, *rule.inputs]))
@@ -101,7 +105,7 @@ def fold(df: DataFrame, key, order, rule: Fold) -> DataFrame:
         laid_out = narrow.repartition(*key).sortWithinPartitions(*key, *order)
         return laid_out.mapInArrow(lambda batches: run_sorted(batches, rule, key, carried, arrow_schema), schema)
 
-    chunks = find_chunks(narrow, key, order)
+    chunks = None if small_keys else find_chunks(narrow, key, order)
     if not chunks:
         return laid_out_plainly()
     spark, folder = df.sparkSession, f"{work_dir(df.sparkSession)}/fold-{uuid.uuid4().hex}"

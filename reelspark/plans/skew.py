@@ -65,6 +65,17 @@ class Chunks:
     def __bool__(self) -> bool:
         return self.cut
 
+    def unless_small(self, df: DataFrame) -> "Chunks":
+        """These chunks, or none where no key that was cut has more rows than the setting: among very many small keys some are cut too.
+
+        The rows of the keys with cuts are counted, so ``df`` should be cheap to read again.
+        """
+        if self.cut:
+            cut_keys = F.broadcast(self.cuts.select(*self.hot_names()))
+            sizes = df.join(cut_keys, same_key(self.key), "left_semi").groupBy(*self.key).agg(F.count(F.lit(1)).alias("__n"))
+            self.cut = not sizes.where(F.col("__n") > hot_rows(df)).isEmpty()
+        return self
+
     def hot_names(self) -> list[str]:
         return [f"__hot_{name}" for name in self.key]
 

@@ -1,10 +1,15 @@
 """Queries over tables whose sizes no group divides, against their SQL."""
+import glob
+
 import duckdb
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from oracle import DATA, plain
 from reelspark.operators import catalog
+from reelspark.operators.metadata import pair_layers
+from reelspark.plans.skew import HOT_ROWS_SETTING
+from reelspark.session import work_dir
 
 QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 
@@ -59,3 +64,26 @@ def test_media_of_one_name_share_a_list(spark, monkeypatch):
     plan = joined._jdf.queryExecution().optimizedPlan().toString()
     collects = [line for line in plan.splitlines() if "collect_set" in line]
     assert collects and all(line.split("Aggregate [", 1)[1].startswith("__folder") for line in collects)
+
+
+def test_small_keys_are_paired_without_chunks(spark):
+    # Every key has 80 rows, some of which are cut points
+    frames = spark.range(2000).selectExpr("id div 40 AS k", "id % 40 AS seq", "id % 40 * 41 AS ts")
+    late = frames.selectExpr("k", "seq", "ts + seq % 7 * 9 AS ts")
+
+    def pairs():
+        paired = pair_layers(frames, late, "k", "seq", "ts", "seq", "ts", tolerance=50)
+        return sorted(map(str, paired.collect()))
+
+    def states():
+        return glob.glob(f"{work_dir(spark).removeprefix('file:')}/fold-*")
+
+    whole, before = pairs(), states()
+    spark.conf.set(HOT_ROWS_SETTING, "100")
+    try:
+        assert pairs() == whole and states() == before
+        # Keys with more rows than the setting still are
+        spark.conf.set(HOT_ROWS_SETTING, "30")
+        assert pairs() == whole and len(states()) == len(before) + 1
+    finally:
+        spark.conf.unset(HOT_ROWS_SETTING)
